@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from weirflow.llm.packing import op10_packing
 from weirflow.llm.sharding import op8_sharding
 from weirflow.llm.simhash import op9_simhash
+from weirflow.llm.suffix_dedup import op7_suffix_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op7_suffix_dedup": op7_suffix_dedup,
         "op8_sharding": op8_sharding,
         "op9_simhash": op9_simhash,
         "op10_packing": op10_packing,
