@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from weirflow.llm.langid import op2_langid
+from weirflow.llm.line_dedup import op6_line_dedup
 from weirflow.llm.packing import op10_packing
 from weirflow.llm.sharding import op8_sharding
 from weirflow.llm.simhash import op9_simhash
@@ -16,6 +17,7 @@ from weirflow.llm.suffix_dedup import op7_suffix_dedup
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_langid": op2_langid,
+        "op6_line_dedup": op6_line_dedup,
         "op7_suffix_dedup": op7_suffix_dedup,
         "op8_sharding": op8_sharding,
         "op9_simhash": op9_simhash,

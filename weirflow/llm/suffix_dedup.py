@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weirflow.llm.common import save, session, table
+from weirflow.llm.common import keyed, save, session, table, tidy
 
 LENGTH, GRAM = 100, 32
 #: Bytes of text that a task scans at once (a longer text is scanned in parts that overlap by LENGTH - 1 bytes).
@@ -31,7 +31,6 @@ SCAN = 1 << 20
 ORDERED = 1 << 20
 #: An anchor with more unequal contexts than this isn't gathered in one task: its windows are compared by hash aggregates.
 HOT_ANCHOR = 128
-LAST = (1 << 63) - 1
 U = np.uint64
 
 
@@ -293,21 +292,15 @@ def drop_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     if length < GRAM:
         raise ValueError(f"length must be at least {GRAM}")
     spark = session(df.sparkSession)
-    doc = F.coalesce(F.col(id_col).cast("long"), F.lit(LAST))
-    data = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
-    again = not df.groupBy(doc.alias("doc")).count().where("count > 1").isEmpty()
-    tie = F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))) if again else F.lit(0).cast("long")
-    docs = df.select(F.col(id_col).cast("long").alias("id"), doc.alias("doc"), tie.alias("tie"), data.alias("data"))
-    marks = save(_sift(_marks(docs.select("doc", "tie", "data"), length)), "marks")
-    spark._jvm.System.gc()  # lets Spark drop the shuffle files of the finished step
-    unique = docs.select("doc", "tie", "data")
-    want = _texts(unique.dropDuplicates(["doc", "tie"]) if again else unique, marks, length)
-    texts = save(want, "contexts")
-    spark._jvm.System.gc()
+    docs, unique = keyed(df, id_col, text_col)
+    marks = save(_sift(_marks(unique, length)), "marks")
+    tidy(spark)
+    texts = save(_texts(unique, marks, length), "contexts")
+    tidy(spark)
     whole = marks.where("kind = 0").select("doc", "tie", "lo", (F.col("lo") + F.col("n") + (length - 1)).alias("hi"))
     spans = whole.union(_ordered(texts.where("kind = 1"), length)).union(_hashed(texts.where("kind = 2"), length))
     by_doc = save(spans.groupBy("doc", "tie").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")), "spans")
-    spark._jvm.System.gc()
+    tidy(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
