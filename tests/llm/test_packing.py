@@ -52,3 +52,10 @@ def test_pack_cuts_little_and_fills_every_window():
 
 def test_empty(spark):
     assert P.pack_documents(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_forgetting_chunks_keeps_ids_right(monkeypatch):
+    monkeypatch.setattr(P, "REMEMBERED", 3)
+    ids, tok = P.Ids(P.default_tokenizer()), Tokenizer.from_file(P.default_tokenizer())
+    for t in ["one two three four", "one five, don't", "five one six\nseven", "two"]:
+        assert ids.of([t, "one", None], b"") == [np.array(tok.encode(x, add_special_tokens=False).ids, dtype="<u4").tobytes() for x in (t, "one", "")]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import zlib
 from bisect import bisect_right, insort
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,8 +22,8 @@ ROUND_TOKENS = 1 << 20
 STEP_TOKENS = 1 << 16
 #: Sequence numbers of one task start at its partition number times this.
 PER_TASK = 1 << 40
-#: Distinct space-separated chunks whose ids a task remembers.
-REMEMBERED = 200_000
+#: Distinct space-separated chunks whose ids a task remembers, and characters of text that it splits at once.
+REMEMBERED, SPLIT = 200_000, 1 << 20
 
 
 def default_tokenizer() -> str:
@@ -34,7 +34,8 @@ def default_tokenizer() -> str:
 
 class Ids(dict):
     """Chunk -> its ids as little-endian unsigned 32-bit integers. The tokenizer drops white space and never joins words
-    across it, so a text's ids are those of its chunks between spaces, one after another."""
+    across it, so a text's ids are those of its chunks between spaces, one after another. Chunks not met before are encoded
+    together, as words of one sequence."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -42,22 +43,41 @@ class Ids(dict):
         super().__init__({"": b""})
         self.tok = Tokenizer.from_file(path)
 
-    def __missing__(self, chunk: str) -> bytes:
-        out = np.array(self.tok.encode(chunk, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        if len(chunk) < 64:
-            if len(self) > REMEMBERED:
-                self.clear()
-                self[""] = b""
-            self[chunk] = out
+    def learn(self, chunks: list[str]) -> None:
+        got = self.tok.encode(chunks, is_pretokenized=True, add_special_tokens=False)
+        ids, word = np.array(got.ids, dtype="<u4"), np.array(got.word_ids, dtype=np.int64)
+        ends = 4 * np.searchsorted(word, np.arange(len(chunks) + 1))
+        data = ids.tobytes()
+        self.update(zip(chunks, [data[x:y] for x, y in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)], strict=True))
+
+    def of(self, texts: list[str | None], end: bytes) -> list[bytes]:
+        # "<|" may begin a special token's name, which can hold what chunks don't show: such a text is encoded as it is.
+        odd = [i for i, t in enumerate(texts) if t and "<|" in t]
+        split = [[] if not t or "<|" in t else t.replace("\n", " ").split(" ") for t in texts]
+        if len(self) > REMEMBERED:
+            self.clear()
+            self[""] = b""
+        new = set().union(*split).difference(self)
+        if new:
+            self.learn(sorted(new))
+        get = self.__getitem__
+        out = [b"".join([*map(get, x), end]) for x in split]
+        for i in odd:
+            out[i] = np.array(self.tok.encode(texts[i], add_special_tokens=False).ids, dtype="<u4").tobytes() + end
         return out
 
-    def of(self, text: str | None, end: bytes) -> bytes:
-        if not text:
-            return end
-        if "<|" in text or "<\n|" in text:  # may hold a special token's name, which can contain what chunks don't show
-            return self[text] + end
-        get = self.__getitem__
-        return b"".join([*map(get, text.replace("\n", " ").split(" ")), end])
+
+def together(rows: Iterable[tuple]) -> Iterator[list[tuple]]:
+    """Lists of rows (doc, text) of at least SPLIT characters, but for the last."""
+    some, size = [], 0
+    for r in rows:
+        some.append(r)
+        size += len(r[1] or "")
+        if size >= SPLIT:
+            yield some
+            some, size = [], 0
+    if some:
+        yield some
 
 
 class Pieces:
@@ -207,9 +227,9 @@ def pack_documents(df: DataFrame, tokenizer: str | None = None, id_col: str = "d
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names)
 
         docs_len: dict[int, int] = {}
-        for b in batches:
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                data = ids.of(text, end)
+        rows = ((doc, text) for b in batches for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
+        for some in together(rows):
+            for (doc, _), data in zip(some, ids.of([x for _, x in some], end), strict=True):
                 n += 1
                 docs[n], docs_len[n] = (doc, data, 0), len(data) // 4
                 pieces.append((n, 0, docs_len[n]))
