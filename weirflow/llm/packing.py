@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import zlib
 from bisect import bisect_right, insort
 from collections.abc import Iterable, Iterator
@@ -23,7 +24,9 @@ STEP_TOKENS = 1 << 16
 #: Sequence numbers of one task start at its partition number times this.
 PER_TASK = 1 << 40
 #: Distinct space-separated chunks whose ids a task remembers, and characters of text that it splits at once.
-REMEMBERED, SPLIT = 200_000, 1 << 20
+REMEMBERED, SPLIT = 600_000, 1 << 20
+#: Letters that Python and the tokenizer may lower differently.
+UNUSUAL = re.compile(r"[^\x00-\u024f\u1e00-\u1eff\u2000-\u206f]|\u0130")
 
 
 def default_tokenizer() -> str:
@@ -32,6 +35,19 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def chunks(text: str) -> list[str]:
+    """The text between spaces, in lower case as the tokenizer has it; a full stop or comma that ends a word is a chunk of its own,
+    as it is a token, so fewer chunks are new."""
+    text = text.replace("\n", " ")
+    if text.isascii() or not UNUSUAL.search(text):
+        text = text.lower()
+        for mark in (".", ","):
+            parts = text.split(f"{mark} ")
+            if all(p[-1:].isalnum() for p in parts[:-1]):  # else the mark may be one token with what stands before it
+                text = f" {mark} ".join(parts)
+    return text.split(" ")
+
+
 class Ids(dict):
     """Chunk -> its ids as little-endian unsigned 32-bit integers. The tokenizer drops white space and never joins words
     across it, so a text's ids are those of its chunks between spaces, one after another. Chunks not met before are encoded
@@ -43,6 +59,16 @@ class Ids(dict):
         super().__init__({"": b""})
         self.tok = Tokenizer.from_file(path)
 
+    @staticmethod
+    def here(path: str) -> Ids:
+        """This Python worker's, which outlives the task: it hangs on an imported module, as this one travels by value."""
+        import tokenizers
+
+        kept = vars(tokenizers).setdefault("_ids_by_path", {})
+        if path not in kept:
+            kept[path] = Ids(path)
+        return kept[path]
+
     def learn(self, chunks: list[str]) -> None:
         got = self.tok.encode(chunks, is_pretokenized=True, add_special_tokens=False)
         ids, word = np.array(got.ids, dtype="<u4"), np.array(got.word_ids, dtype=np.int64)
@@ -53,15 +79,17 @@ class Ids(dict):
     def of(self, texts: list[str | None], end: bytes) -> list[bytes]:
         # "<|" may begin a special token's name, which can hold what chunks don't show: such a text is encoded as it is.
         odd = [i for i, t in enumerate(texts) if t and "<|" in t]
-        split = [[] if not t or "<|" in t else t.replace("\n", " ").split(" ") for t in texts]
+        split = [[] if not t or "<|" in t else chunks(t) for t in texts]
         if len(self) > REMEMBERED:
             self.clear()
             self[""] = b""
-        new = set().union(*split).difference(self)
-        if new:
-            self.learn(sorted(new))
-        get = self.__getitem__
-        out = [b"".join([*map(get, x), end]) for x in split]
+        found = [list(map(self.get, x)) for x in split]
+        short = [i for i, x in enumerate(found) if None in x]
+        if short:
+            self.learn(sorted({c for i in short for c, v in zip(split[i], found[i], strict=True) if v is None}))
+            for i in short:
+                found[i] = [self[c] if v is None else v for c, v in zip(split[i], found[i], strict=True)]
+        out = [b"".join(x) + end for x in found]
         for i in odd:
             out[i] = np.array(self.tok.encode(texts[i], add_special_tokens=False).ids, dtype="<u4").tobytes() + end
         return out
@@ -200,7 +228,7 @@ def pack_documents(df: DataFrame, tokenizer: str | None = None, id_col: str = "d
     types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, end = Ids(path), np.array([end_id], dtype="<u4").tobytes()
+        ids, end = Ids.here(path), np.array([end_id], dtype="<u4").tobytes()
         first = TaskContext.get().partitionId() * PER_TASK
         steps, seq = Steps(STEP_TOKENS), 0
         docs: dict[int, tuple] = {}
