@@ -243,23 +243,39 @@ def _ordered(rows: DataFrame, length: int) -> DataFrame:
 
 
 def _hashed(rows: DataFrame, length: int) -> DataFrame:
-    """The same for anchors with very many contexts: first places of window hashes by aggregates, which no hot anchor gathers."""
+    """The same for anchors with very many contexts: first places of window hashes by aggregates, which no hot anchor gathers.
+    Of equal windows that a task reads together only the first goes on; the others are known to be copies."""
+
+    def one(held: list[tuple]) -> pa.RecordBatch:
+        doc, tie, lo, n = (np.array([x[k] for x in held], dtype=np.int64) for k in range(4))
+        digests = b"".join(xxhash.xxh3_128_digest(x[4][k : k + length]) for x in held for k in range(x[3]))
+        h1, h2 = np.frombuffer(digests, dtype=np.int64).reshape(-1, 2).T
+        which = np.repeat(np.arange(len(held)), n)
+        d, t, s = doc[which], tie[which], lo[which] + np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
+        order = np.lexsort((s, t, d, h2, h1))
+        new = np.r_[True, (np.diff(h1[order]) != 0) | (np.diff(h2[order]) != 0)]
+        copy = np.zeros(len(s), dtype=bool)
+        copy[order] = ~new
+        spans = [c.to_numpy(zero_copy_only=False) for c in _spans(d[copy], t[copy], s[copy], length).columns] if copy.any() else [np.empty(0, dtype=np.int64)] * 4
+        none = np.zeros(len(spans[0]), dtype=np.int64)
+        cols = [(h1[~copy], none), (h2[~copy], none), (d[~copy], spans[0]), (t[~copy], spans[1]), (s[~copy], spans[2]), (np.zeros((~copy).sum(), dtype=np.int64), spans[3])]
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in cols], ["h1", "h2", "doc", "tie", "lo", "hi"])
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digest = xxhash.xxh3_128_digest
+        held = []
         for batch in batches:
-            out: list[list] = [[], [], [], [], []]
-            for doc, tie, lo, n, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                for k in range(n):
-                    h = digest(data[k : k + length])
-                    for c, v in zip(out, (int.from_bytes(h[:8], "big", signed=True), int.from_bytes(h[8:], "big", signed=True), doc, tie, lo + k), strict=True):
-                        c.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["h1", "h2", "doc", "tie", "lo"])
-
-    windows = rows.select("doc", "tie", "lo", "n", "data").mapInArrow(explode, "h1 long, h2 long, doc long, tie long, lo long")
+            held += zip(*(c.to_pylist() for c in batch.columns), strict=True)
+            if len(held) >= 4096:
+                yield one(held)
+                held = []
+        if held:
+            yield one(held)
+
+    got = save(rows.select("doc", "tie", "lo", "n", "data").mapInArrow(explode, "h1 long, h2 long, doc long, tie long, lo long, hi long"), "windows")
+    windows = got.where("hi = 0").drop("hi")
     first = windows.groupBy("h1", "h2").agg(F.min(F.struct("doc", "tie", "lo")).alias("first"), F.count("*").alias("c")).where("c > 1").drop("c")
     gone = windows.join(first, ["h1", "h2"]).where(F.struct("doc", "tie", "lo") != F.col("first"))
-    return gone.select("doc", "tie", "lo", (F.col("lo") + length).alias("hi"))
+    return got.where("hi > 0").select("doc", "tie", "lo", "hi").union(gone.select("doc", "tie", "lo", (F.col("lo") + length).alias("hi")))
 
 
 def kept_ranges(spans: list[tuple[int, int]], size: int) -> tuple[int, int, list[tuple[int, int]]]:
