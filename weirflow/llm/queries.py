@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from weirflow.llm.decontaminate import op4_decontaminate
+from weirflow.llm.embedding_dedup import op3_embedding_dedup
 from weirflow.llm.langid import op2_langid
 from weirflow.llm.line_dedup import op6_line_dedup
 from weirflow.llm.packing import op10_packing
@@ -18,6 +19,7 @@ from weirflow.llm.suffix_dedup import op7_suffix_dedup
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_langid": op2_langid,
+        "op3_embedding_dedup": op3_embedding_dedup,
         "op4_decontaminate": op4_decontaminate,
         "op6_line_dedup": op6_line_dedup,
         "op7_suffix_dedup": op7_suffix_dedup,
