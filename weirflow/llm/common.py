@@ -108,13 +108,15 @@ LAST = (1 << 63) - 1
 
 
 def keyed(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """(rows, distinct rows) of df as (id, doc, tie, data): doc orders ids, nulls last; data is the text's UTF-8 bytes, null as
-    empty; (doc, tie) tells different texts apart. tie is 0 unless an id repeats, then a hash of the text; equal rows stay equal."""
+    """(rows, distinct rows) of df as (id, doc, tie, data, rest): doc orders ids, nulls last; data is the text's UTF-8 bytes, null as
+    empty; (doc, tie) tells different texts apart. tie is 0 unless an id repeats, then a hash of the text; equal rows stay equal.
+    rest (only in rows) holds the other columns."""
     doc = F.coalesce(F.col(id_col).cast("long"), F.lit(LAST))
     text = F.coalesce(F.col(text_col), F.lit(""))
     again = not df.groupBy(doc.alias("doc")).count().where("count > 1").isEmpty()
     tie = F.xxhash64(text) if again else F.lit(0).cast("long")
-    rows = df.select(F.col(id_col).cast("long").alias("id"), doc.alias("doc"), tie.alias("tie"), text.cast("binary").alias("data"))
+    others = [F.col(c) for c in df.columns if c not in (id_col, text_col)] or [F.lit(0).alias("none")]
+    rows = df.select(F.col(id_col).cast("long").alias("id"), doc.alias("doc"), tie.alias("tie"), text.cast("binary").alias("data"), F.struct(*others).alias("rest"))
     one = rows.select("doc", "tie", "data")
     return rows, one.dropDuplicates(["doc", "tie"]) if again else one
 

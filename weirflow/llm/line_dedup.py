@@ -9,6 +9,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from weirflow.llm.common import components, keyed, save, session, table, tidy
 
@@ -251,27 +252,33 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     Lines are what stands between line feeds; lines of white space only stay and are compared with none. Two lines link at
     a Jaccard similarity of at least `similar` of their sets of 8-character shingles (a shorter line is one shingle), groups
     are what links reach, and the first line is that of the least id, then of the least number; null ids come last.
-    Returns one row per row of df: id_col, text_col (a null text becomes empty), n_lines and n_removed (of lines that aren't
-    blank). Equal rows are one text and share its result; extra columns are ignored; an empty table gives no rows.
+    Returns the rows of df with text_col replaced (a null text becomes empty) and n_lines and n_removed (of lines that
+    aren't blank), which replace columns of these names. Equal rows are one text and share its result; an empty table gives
+    no rows.
     """
     session(df.sparkSession)
+    new = ("n_lines", "n_removed")
+    df = df.select(*[c for c in df.columns if c not in new])
     docs, unique = keyed(df, id_col, text_col)
     gone = dropped_lines(unique, similar)
-    out = docs.join(gone, ["doc", "tie"], "left")
+    out = docs.join(gone, ["doc", "tie"], "left").select("id", "rest", "data", "gone")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, n, m = [], [], []
-            for data, gone in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            for data, gone in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 lines, drop = split_lines(data), set(gone or ())
-                texts.append(b"\n".join(x for i, x in enumerate(lines) if i not in drop).decode("utf-8", "replace") if drop else data.decode("utf-8", "replace"))
+                texts.append((b"\n".join(x for i, x in enumerate(lines) if i not in drop) if drop else data).decode("utf-8", "replace"))
                 n.append(sum(1 for x in lines if x and not x.isspace()))
                 m.append(len(drop))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array(n, pa.int64()), pa.array(m, pa.int64())], [id_col, text_col, "n_lines", "n_removed"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(n, pa.int64()), pa.array(m, pa.int64())], ["id", "rest", "text", "n_lines", "n_removed"])
 
-    return out.select("id", "data", "gone").mapInArrow(run, f"`{id_col}` long, `{text_col}` string, n_lines long, n_removed long")
+    schema = T.StructType([out.schema["id"], out.schema["rest"], T.StructField("text", T.StringType()), *(T.StructField(c, T.LongType()) for c in new)])
+    got = out.mapInArrow(run, schema)
+    names = {id_col: "id", text_col: "text"}
+    return got.select(*[F.col(names[c]).alias(c) if c in names else F.col("rest").getField(c).alias(c) for c in df.columns], *new)
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = dedup_lines(table(spark, sf_dir, "documents"))
+    out = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"), F.octet_length("text").cast("long").alias("kept_bytes"))

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from weirflow.llm.decontaminate import op4_decontaminate
 from weirflow.llm.embedding_dedup import op3_embedding_dedup
 from weirflow.llm.langid import op2_langid
+from weirflow.llm.licenses import op5_licenses
 from weirflow.llm.line_dedup import op6_line_dedup
 from weirflow.llm.packing import op10_packing
 from weirflow.llm.sharding import op8_sharding
@@ -21,13 +22,21 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_langid": op2_langid,
         "op3_embedding_dedup": op3_embedding_dedup,
         "op4_decontaminate": op4_decontaminate,
+        "op5_licenses": op5_licenses,
         "op6_line_dedup": op6_line_dedup,
         "op7_suffix_dedup": op7_suffix_dedup,
         "op8_sharding": op8_sharding,
         "op9_simhash": op9_simhash,
         "op10_packing": op10_packing,
+        "pipeline": pipeline,
     }
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def oracle_sql() -> dict[str, str]:
     return {}
