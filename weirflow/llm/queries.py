@@ -11,6 +11,7 @@ from weirflow.llm.embedding_dedup import op3_embedding_dedup
 from weirflow.llm.langid import op2_langid
 from weirflow.llm.licenses import op5_licenses
 from weirflow.llm.line_dedup import op6_line_dedup
+from weirflow.llm.lm_score import op1_lm_score
 from weirflow.llm.packing import op10_packing
 from weirflow.llm.sharding import op8_sharding
 from weirflow.llm.simhash import op9_simhash
@@ -19,6 +20,7 @@ from weirflow.llm.suffix_dedup import op7_suffix_dedup
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_lm_score": op1_lm_score,
         "op2_langid": op2_langid,
         "op3_embedding_dedup": op3_embedding_dedup,
         "op4_decontaminate": op4_decontaminate,
