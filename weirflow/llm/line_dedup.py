@@ -16,9 +16,8 @@ from weirflow.llm.common import components, keyed, save, session, table, tidy
 SHINGLE, SIMILAR = 8, 0.8
 #: Signatures are BANDS x ROWS minima: a pair of similarity 0.8 shares a band with probability 1 - (1 - 0.8^4)^12 = 0.998.
 BANDS, ROWS = 12, 4
-#: Lines that share a band in runs up to this length are compared pair by pair. In longer runs each line is first compared with
-#: NEXT others; then, if that leaves more than one component in the run, with all lines of the other components.
-SHORT_RUN, NEXT = 24, 8
+#: Runs of lines that share a band are compared by sets up to this length, longer ones by an index of their shingles.
+SMALL_RUN = 32
 #: Characters whose signatures are made at once.
 CHUNK = 1 << 17
 U = np.uint64
@@ -117,59 +116,38 @@ def _bands(docs: DataFrame) -> DataFrame:
 
 
 def _runs(bands: DataFrame) -> DataFrame:
-    """Candidates from the bands: (a, b, 0) to compare; of runs longer than SHORT_RUN also (key, h, 1) for each line."""
+    """(run, h): the lines of each run, two or more that share a band. A run is known by its lines, so that the same ones
+    sharing several bands are one run."""
 
     def one(key: np.ndarray, h: np.ndarray) -> Iterator[pa.RecordBatch]:
+        order = np.lexsort((h, key))
+        key, h = key[order], h[order]
+        new = np.r_[True, (key[1:] != key[:-1]) | (h[1:] != h[:-1])]
+        key, h = key[new], h[new]
         start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
         size = np.diff(np.r_[start, len(key)])
-        rest = np.repeat(start + size, size) - np.arange(len(key))  # to the end of its run
-        length = np.repeat(size, size)
-        left, right = [], []
-        for d in range(1, SHORT_RUN):
-            at = np.flatnonzero((rest > d) & ((length <= SHORT_RUN) | (d <= NEXT)))
-            if not len(at):
-                break
-            left.append(h[at])
-            right.append(h[at + d])
-        long = length > SHORT_RUN
-        if long.any():
-            pivot = np.repeat(start, size)[long]
-            left.append(h[pivot])
-            right.append(h[long])
-        if left:
-            a, b = np.concatenate(left), np.concatenate(right)
-            a, b = np.minimum(a, b)[a != b], np.maximum(a, b)[a != b]
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.zeros(len(a), dtype=np.int32))], ["a", "b", "kind"])
-        if long.any():
-            yield pa.RecordBatch.from_arrays([pa.array(key[long]), pa.array(h[long]), pa.array(np.ones(long.sum(), dtype=np.int32))], ["a", "b", "kind"])
+        mixed = (h.view(U) ^ (h.view(U) >> U(31))) * U(0xBF58476D1CE4E5B9)
+        run = np.repeat(np.add.reduceat(mixed ^ (mixed >> U(29)), start) + size.astype(U), size)
+        keep = np.repeat(size > 1, size)
+        if keep.any():
+            yield pa.RecordBatch.from_arrays([pa.array(run[keep].view(np.int64)), pa.array(h[keep])], ["run", "h"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, h = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
-        last = None
-
-        def unique(key: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            # In each run, lines in an order of their own: neighbours differ from band to band.
-            mixed = (h.view(U) ^ key.view(U)) * U(0xBF58476D1CE4E5B9)
-            order = np.lexsort((mixed ^ (mixed >> U(31)), key))
-            key, h = key[order], h[order]
-            new = np.r_[True, (key[1:] != key[:-1]) | (h[1:] != h[:-1])]
-            return key[new], h[new]
-
         for batch in batches:
             key = np.concatenate([key, batch.column(0).to_numpy(zero_copy_only=False)])
             h = np.concatenate([h, batch.column(1).to_numpy(zero_copy_only=False)])
             if len(key) < 65_536:
                 continue
-            last = key[-1]
-            ends = key == last
-            done_k, done_h = unique(key[~ends], h[~ends])
-            key, h = unique(key[ends], h[ends])
-            if len(done_k):
-                yield from one(done_k, done_h)
+            ends = key == key[-1]
+            if not ends.all():
+                yield from one(key[~ends], h[~ends])
+            key, h = key[ends], np.unique(h[ends])
+            key = key[: len(h)]
         if len(key):
-            yield from one(*unique(key, h))
+            yield from one(key, h)
 
-    return bands.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long, kind int")
+    return bands.repartition("key").sortWithinPartitions("key").mapInArrow(run, "run long, h long")
 
 
 def _texts(docs: DataFrame, want: DataFrame) -> DataFrame:
@@ -189,46 +167,86 @@ def _texts(docs: DataFrame, want: DataFrame) -> DataFrame:
     return docs.join(by_doc, ["doc", "tie"]).select("data", "lines").mapInArrow(run, "h long, line string")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, similar: float) -> DataFrame:
-    """Those pairs (a, b) whose lines have at least the given Jaccard similarity."""
-    a = texts.select(F.col("h").alias("a"), F.col("line").alias("x"))
-    b = texts.select(F.col("h").alias("b"), F.col("line").alias("y"))
+def spanning(lines: list[str], similar: float, k: int = SHINGLE) -> list[tuple[int, int]]:
+    """Links that connect what similar pairs connect among these lines. Each step of the search compares one line with those
+    that aren't reached yet, so a group that is alike takes few comparisons and no pairs are kept."""
+    if len(lines) <= SMALL_RUN:
+        sets = [shingles(x, k) for x in lines]
+
+        def near(x: int, rest: np.ndarray) -> np.ndarray:
+            a, out = sets[x], []
+            for y in rest:
+                b = sets[y]
+                small, large = sorted((len(a), len(b)))
+                both = len(a & b) if small >= similar * large else 0
+                out.append(both >= similar * (len(a) + len(b) - both))
+            return np.array(out, dtype=bool)
+    else:
+        hs = [np.unique(shingle_hashes(np.frombuffer((x + "\0" * max(0, k - len(x))).encode("utf-32-le", "surrogatepass"), dtype=np.uint32), k)) for x in lines]
+        size = np.array([len(h) for h in hs])
+        names, ids = np.unique(np.concatenate(hs), return_inverse=True)
+        start = np.cumsum(size) - size
+        mark = np.zeros(len(names), dtype=bool)
+
+        def near(x: int, rest: np.ndarray) -> np.ndarray:
+            own = ids[start[x] : start[x] + size[x]]
+            rest_size = size[rest]
+            first = np.cumsum(rest_size) - rest_size
+            mark[own] = True
+            at = np.arange(rest_size.sum()) + np.repeat(start[rest] - first, rest_size)
+            both = np.add.reduceat(mark[ids[at]].astype(np.int32), first)
+            mark[own] = False
+            return both >= similar * (size[x] + rest_size - both)
+
+    out, rest, queue = [], np.arange(1, len(lines)), [0]
+    while len(rest):
+        if not queue:
+            queue, rest = [int(rest[0])], rest[1:]
+            continue
+        x = queue.pop()
+        hit = near(x, rest)
+        out += [(x, int(y)) for y in rest[hit]]
+        queue += rest[hit].tolist()
+        rest = rest[~hit]
+    return out
+
+
+def _verified(runs: DataFrame, texts: DataFrame, similar: float) -> DataFrame:
+    """Links (a, b) within runs by exact similarity; runs are read one after another."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(held: list[tuple]) -> list[tuple[int, int]]:
+            return [(held[i][1], held[j][1]) for i, j in spanning([x[2] for x in held], similar)]
+
+        held: list[tuple] = []
+        links: list[tuple[int, int]] = []
         for batch in batches:
-            sets: dict[str, set] = {}
-            keep = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                p, q = (sets.setdefault(t, None) or sets.__setitem__(t, shingles(t)) or sets[t] for t in (x, y))
-                both = len(p & q) if min(len(p), len(q)) >= similar * max(len(p), len(q)) else 0
-                keep.append(both >= similar * (len(p) + len(q) - both))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep))
+            for x in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if held and x[0] != held[0][0]:
+                    links += out(held)
+                    held = []
+                held.append(x)
+            if links:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*links, strict=True)], ["a", "b"])
+                links = []
+        links = out(held) if held else []
+        if links:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*links, strict=True)], ["a", "b"])
 
-    return pairs.join(a, "a").join(b, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return runs.join(texts, "h").select("run", "h", "line").repartition("run").sortWithinPartitions("run").mapInArrow(run, "a long, b long")
 
 
 def line_components(docs: DataFrame, occurrences: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """(h, root) of all lines that have a similar one. docs: (doc, tie, data)."""
     spark = docs.sparkSession
-    runs = save(_runs(_bands(docs)), "runs")
+    runs = save(_runs(_bands(docs)).distinct(), "runs")
     tidy(spark)
-    pairs = save(runs.where("kind = 0").select("a", "b").distinct(), "pairs")
-    long = runs.where("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("h"))
-    ends = pairs.select(F.col("a").alias("h")).union(pairs.select("b")).union(long.select("h")).distinct()
-    first = occurrences.groupBy("h").agg(F.min(F.struct("doc", "tie", "no")).alias("f")).join(ends, "h").select("h", "f.doc", "f.tie", "f.no")
+    first = occurrences.groupBy("h").agg(F.min(F.struct("doc", "tie", "no")).alias("f")).join(runs.select("h").distinct(), "h").select("h", "f.doc", "f.tie", "f.no")
     texts = save(_texts(docs, first), "lines")
     tidy(spark)
-    links = save(_verified(pairs, texts, similar), "similar")
-    comp = components(links)
-    if long.isEmpty():
-        return comp.withColumnRenamed("node", "h")
-    # A long run is done if one component holds all of it; else its lines are compared with those of other components.
-    member = save(long.join(comp.withColumnRenamed("node", "h"), "h", "left").select("key", "h", F.coalesce("root", "h").alias("root")), "members")
-    split = member.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
-    rest = member.join(split, "key")
-    more = rest.alias("p").join(rest.alias("q"), "key").where("p.root < q.root").select(F.least("p.h", "q.h").alias("a"), F.greatest("p.h", "q.h").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
-    both = links.union(_verified(more, texts, similar))
-    return components(both).withColumnRenamed("node", "h")
+    links = save(_verified(runs, texts, similar), "similar")
+    tidy(spark)
+    return components(links).withColumnRenamed("node", "h")
 
 
 def dropped_lines(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
