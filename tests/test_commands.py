@@ -99,3 +99,14 @@ def test_streaming(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(r.value for r in spark.sql("select value from odd").collect()) == sorted(2 * (i % 10) for i in range(20) if i % 2)
+
+
+def test_labelled_chains_and_sessions(spark):
+    from weirflow.plans.command import Session
+
+    p = Pipeline(spark).define("twice", O.compute("_ * 2"), O.sum_()).seq(4)
+    assert p.call("twice").collect() == [12]
+    with pytest.raises(ValueError):
+        p.call("nowhere")
+    s = Session(spark)
+    assert s.run("seq=4").strings() == ["0", "1", "2", "3"] and s.run("_ sum").strings() == ["6"] and s.run("_ f='{}!'").strings() == ["6!"]

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from weirflow.functions.expressions import Value, compile_expression, kind_of, to_float, to_int
 from weirflow.functions.formats import compile_format, show
 from weirflow.functions.patterns import translate
-from weirflow.records import ERROR, ORDER, VALUE, Stream, empty_start, union
+from weirflow.records import ERROR, ORDER, VALUE, Stream, union
 
 Op = Callable[[Stream], Stream]
 
@@ -60,6 +60,22 @@ def atom(name: str, value: object) -> Op:
     return lambda s: replace(s, atoms={**s.atoms, name: value})
 
 
+def define(label: str, *ops: Op) -> Op:
+    """Give a chain a label that `call` can name."""
+    return atom(f"chain {label}", chain(*ops))
+
+
+def call(label: str) -> Op:
+    """Go on with a labelled chain."""
+
+    def run(s: Stream) -> Stream:
+        if f"chain {label}" not in s.atoms:
+            raise ValueError(f"no chain is labelled {label!r}")
+        return s.atoms[f"chain {label}"](s)
+
+    return run
+
+
 def transparent(op: Op) -> Op:
     """Run op for the columns it names and the records it keeps; the current column stays what it was."""
 
@@ -623,6 +639,3 @@ def py(code: str, returns: str = "string") -> Op:
         return replace(out, df=out.df.drop("_x"))
 
     return run
-
-
-__all__ = ["Op", "chain", "empty_start"]

@@ -95,6 +95,8 @@ def _calls(tokens: list[str], at: int, macros: dict[str, list[str]], top: bool =
 
 
 def _call(tok: str) -> Call:
+    if tok == "_":
+        return Call("_")
     m = _HEAD.fullmatch(tok)
     if not m:
         raise ValueError(f"cannot read operator {tok!r}")
@@ -231,6 +233,8 @@ def _operator(call: Call, following: Call | None, fpm: bool) -> O.Op:
         return O.aggregate(*_bodies(call, fpm))
     if n == "transparent":
         return O.transparent(O.chain(*_bodies(call, fpm)))
+    if n in ("call", "callcc"):  # both go on with the chain; Spark runs either in parallel
+        return O.call(_one(call))
     if n in PLUGINS:
         return PLUGINS[n](call)
     if n in ("exec", "GET", "http_get"):
@@ -253,6 +257,10 @@ def run(spark: SparkSession, command: str | list[str], start: Pipeline | None =
     settings = O.chain(*[O.atom(k, v) for k, v in SETTINGS.items()])
     at = next((i for i, c in enumerate(calls) if not c.name.startswith("%")), len(calls))
     p = start or Pipeline(spark)
+    if at < len(calls) and calls[at].name == "_":
+        if start is None:
+            raise ValueError("`_` needs the output of a command before")
+        calls.pop(at)
     if at < len(calls) and calls[at].name in ("file", "csv", "jsonl"):
         c = calls.pop(at)
         if c.name == "csv":
@@ -262,3 +270,15 @@ def run(spark: SparkSession, command: str | list[str], start: Pipeline | None =
         else:
             p = Pipeline(spark, file(spark, _one(c)))
     return p.then(settings, build(calls))
+
+
+class Session:
+    """Commands one after another; `_` stands for the output of the one before."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.last = spark, None
+
+    def run(self, command: str | list[str]) -> Pipeline:
+        uses = (parse_command(command) or [Call("nop")])[0].name == "_"
+        self.last = run(self.spark, command, self.last if uses else None)
+        return self.last
