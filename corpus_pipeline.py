@@ -17,8 +17,6 @@ from weirflow.llm.simhash import simhash_groups
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is rejected go (no letters, or unlike every language); the rest stay as they are."""
-    if docs.where("text is not null and lang is not null").isEmpty():
-        return docs.where("false")
     return identify(docs, train(docs)).where("not lang_rejected").select(*docs.columns)
 
 

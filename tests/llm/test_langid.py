@@ -3,7 +3,6 @@ from collections import Counter, defaultdict
 from math import log
 
 import numpy as np
-import pytest
 
 from weirflow.llm import langid as L
 
@@ -78,8 +77,8 @@ def test_edges(spark):
     got = {r.doc_id: (r.lang_pred, r.lang_rejected) for r in L.identify(df, m).collect()}
     assert [got[i] for i in range(7)] == [("und", True)] * 3 + [("en", False), ("en", True), ("en", False), ("en", False)]
     assert L.identify(df.where("false"), m).collect() == []
-    with pytest.raises(ValueError):
-        L.train(df.selectExpr("doc_id", "text", "cast(null as string) as lang"))
+    none = L.train(df.selectExpr("doc_id", "text", "cast(null as string) as lang"))
+    assert {(r.lang_pred, r.lang_rejected) for r in L.identify(df, none).collect()} == {("und", True)}
 
 
 def test_sample_is_bounded(spark):

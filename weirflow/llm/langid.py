@@ -160,7 +160,7 @@ def fit(samples: dict[str, list[str]], order: int = ORDER, discount: float = DIS
 def score_text(model: Model, text: str, letters: np.ndarray) -> tuple[np.ndarray, int]:
     """(log likelihood by language, characters scored); no characters if the text has no letter."""
     codes = symbols(text, letters)
-    if not (codes != 32).any():
+    if not model.langs or not (codes != 32).any():
         return np.zeros(len(model.langs)), 0
     total, pad = np.zeros(len(model.langs)), np.full(ORDER, 32, dtype=np.uint32)
     for k in range(0, len(codes), PART):
@@ -231,11 +231,10 @@ def held_out(id_col: str, mod: int, rest: int) -> Column:
 
 
 def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", mod: int = 5, rest: int = 0) -> Model:
-    """Fit on a bounded sample of the labelled rows that aren't held out. No labelled row: a model of no language is an error."""
+    """Fit on a bounded sample of the labelled rows that aren't held out. Without any, the model has no language and all texts
+    are `und`."""
     got = sample(df, ~held_out(id_col, mod, rest), id_col, text_col, lang_col)
-    if not got:
-        raise ValueError("no labelled text to learn a language from")
-    return fit(got)
+    return fit(got) if got else Model([], [], [], [], [], *np.zeros((3, 0)))
 
 
 def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
