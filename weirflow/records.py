@@ -80,17 +80,22 @@ class Stream:
         return Window.partitionBy(*self.groups).orderBy(order)
 
     def ranked(self, name: str, descending: bool = False) -> Stream:
-        """Adds the place of each record in its group, from 0. The root group is ranked by range partitions and their counts, so
-        no task sees the whole stream."""
+        """Adds the place of each record in its group, from 0. The root group is cut at quantiles of its first order key, ranked
+        piece by piece, and shifted by the counts of the pieces before, so no task sees the whole stream. The cuts are
+        literals: every evaluation of the plan, in whichever task, cuts alike."""
         if self.groups:
             return replace(self, df=self.df.withColumn(name, (F.row_number().over(self.window(descending)) - 1).cast("long")))
-        key = F.col(ORDER).desc() if descending else F.col(ORDER).asc()
-        placed = self.df.repartitionByRange(key).sortWithinPartitions(key).withColumn("_p", F.spark_partition_id()).withColumn("_m", F.monotonically_increasing_id())
-        per = placed.groupBy("_p").agg(F.count("*").alias("_n"), F.min("_m").alias("_first"))
-        before = F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        starts = per.withColumn("_before", before).drop("_n")
-        df = placed.join(F.broadcast(starts), "_p").withColumn(name, (F.col("_before") + F.col("_m") - F.col("_first")).cast("long"))
-        return replace(self, df=df.drop("_p", "_m", "_first", "_before"))
+        first, pieces = F.element_at(ORDER, 1), int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        at = [(i + 1) / pieces for i in range(pieces - 1)]
+        cuts = self.df.agg(F.percentile_approx(first, at or [0.5]).alias("c")).collect()[0]["c"] or [0]
+        literals = F.array(*[F.lit(c).cast("long") for c in sorted(set(cuts))])
+        cut = self.df.withColumn("_p", F.size(F.filter(literals, lambda c: c < first)))
+        order = Window.orderBy(F.col("_p").desc() if descending else F.col("_p")).rowsBetween(Window.unboundedPreceding, -1)
+        before = F.coalesce(F.sum("_n").over(order), F.lit(0))
+        starts = cut.groupBy("_p").agg(F.count("*").alias("_n")).withColumn("_before", before).drop("_n")
+        own = F.row_number().over(Window.partitionBy("_p").orderBy(F.col(ORDER).desc() if descending else F.col(ORDER)))
+        df = cut.withColumn("_k", own).join(F.broadcast(starts), "_p").withColumn(name, (F.col("_before") + F.col("_k") - 1).cast("long"))
+        return replace(self, df=df.drop("_p", "_k", "_before"))
 
     def ordered(self) -> DataFrame:
         return self.df.orderBy(ORDER)
