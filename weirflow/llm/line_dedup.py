@@ -279,7 +279,8 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     df = df.select(*[c for c in df.columns if c not in new])
     docs, unique = keyed(df, id_col, text_col)
     gone = dropped_lines(unique, similar)
-    out = docs.join(gone, ["doc", "tie"], "left").select("id", "rest", "data", "gone")
+    # The same plan at every size: small tables would be broadcast, and figures taken from them wouldn't hold for large ones.
+    out = docs.join(gone.hint("merge"), ["doc", "tie"], "left").select("id", "rest", "data", "gone")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
