@@ -21,13 +21,13 @@ from pyspark.sql import functions as F
 
 from weirflow.llm.common import save, session, table, tidy
 
-HEAD, CLASS, BUCKETS = 2048, 64, 32
-EMBED, HIDDEN = 24, 32
+HEAD, CLASS, BUCKETS = 1024, 32, 32
+EMBED, HIDDEN = 16, 24
 CLASSES = HEAD // CLASS + BUCKETS
 #: Words whose counts are broadcast; the counts of rarer ones are joined.
 KNOWN = 1 << 16
 #: Lanes and steps of a training window, rounds, and of how many of its documents a task trains on one in a round.
-LANES, STEPS, ROUNDS, STRIDE, RATE = 64, 16, 2, 8, 0.05
+LANES, STEPS, ROUNDS, STRIDE, RATE = 128, 16, 2, 12, 0.07
 #: Lanes and steps when scoring, and tokens that a task scores together.
 SCORE_LANES, SCORE_STEPS, TOGETHER = 256, 32, 1 << 21
 #: Distinct words that a task counts or remembers at once.
@@ -55,19 +55,39 @@ def end_hash() -> int:
 
 
 class Vocabulary(dict):
-    """Word -> (symbol of the model, place among the words of known count or -1, hash)."""
+    """Word -> its place among the words of known count; of another word -1 minus its place in `others`, a list of hashes."""
 
     def __init__(self, hashes: np.ndarray):
         super().__init__()
         self.rank = {h: i for i, h in enumerate(hashes.tolist())}
+        self.hashes, self.others = hashes, []
+        self.symbols_of = np.where(np.arange(len(hashes)) < HEAD, np.arange(len(hashes)), HEAD + (hashes & (BUCKETS - 1))).astype(np.int32)
 
-    def __missing__(self, w: bytes) -> tuple[int, int, int]:
+    def __missing__(self, w: bytes) -> int:
+        h = word_hash(w)
+        k = self.rank.get(h)
+        if k is None:
+            self.others.append(h)
+            k = -len(self.others)
+        self[w] = k
+        return k
+
+    def codes(self, text: str | None) -> np.ndarray:
+        ws = words(text)
+        return np.fromiter(map(self.__getitem__, ws), dtype=np.int32, count=len(ws))
+
+    def symbols(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(symbols of the model, hashes of the other words in order)."""
+        out, other = self.symbols_of[np.maximum(codes, 0)], codes < 0
+        h = np.array(self.others, dtype=np.int64)[-1 - codes[other]] if other.any() else np.empty(0, dtype=np.int64)
+        out[other] = HEAD + (h & (BUCKETS - 1))
+        return out, h
+
+    def forget(self) -> None:
+        """Once no codes are held, what is remembered may go."""
         if len(self) > REMEMBERED:
             self.clear()
-        h = word_hash(w)
-        k = self.rank.get(h, -1)
-        out = self[w] = (k if 0 <= k < HEAD else HEAD + (h & (BUCKETS - 1)), k, h)
-        return out
+            self.others = []
 
 
 def count_words(docs: DataFrame) -> DataFrame:
@@ -304,7 +324,8 @@ def train(docs: DataFrame, hashes: np.ndarray, p: dict[str, np.ndarray]) -> dict
             for b in batches:
                 for text in b.column(0).to_pylist():
                     if n % STRIDE == turn:
-                        held.append(np.array([vocab[w][0] for w in words(text)], dtype=np.int32))
+                        held.append(vocab.symbols(vocab.codes(text))[0])
+                        vocab.forget()
                         size += len(held[-1])
                         if size >= TOGETHER:
                             total += train_on(p, held, end)
@@ -357,22 +378,28 @@ def score_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         first, row = TaskContext.get().partitionId() << 32, 0
 
         def out(held: list[tuple], row: int) -> pa.RecordBatch:
-            model = score_docs(p, [x[2] for x in held], end_symbol) / np.log(10)
-            cols = list(zip(*[(first + row + i, x[0], x[1], len(x[2]), x[3], x[4] - len(x[2]) * base_log, m + x[5], x[6]) for i, (x, m) in enumerate(zip(held, model.tolist(), strict=True))], strict=True))
-            kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.int64()))
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], NAMES)
+            size = np.array([len(x[2]) for x in held])
+            start = np.cumsum(size) - size
+            codes = np.concatenate([x[2] for x in held])
+            symbol, h = vocab.symbols(codes)
+            there, tail, rank = codes >= 0, symbol >= HEAD, np.maximum(codes, 0)
+            # Log counts of the words of known count; those of the others are joined.
+            logs = np.where(there, log1[rank], 0.0)
+            tails = np.where(tail, logs - bucket_log[np.maximum(symbol - HEAD, 0)], 0.0)
+            model = score_docs(p, np.split(symbol, start[1:]), end_symbol) / np.log(10)
+            per_doc = np.add.reduceat((~there).astype(np.int64), start)
+            rare = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(per_doc)].astype(np.int32)), pa.array(h))
+            vocab.forget()
+            return pa.RecordBatch.from_arrays([
+                pa.array(first + row + np.arange(len(held))), pa.array([x[0] for x in held], pa.int64()), pa.array([x[1] for x in held], pa.bool_()), pa.array(size),
+                pa.array(np.add.reduceat((there & known[rank]).astype(np.int64), start)), pa.array(np.add.reduceat(logs, start) - size * base_log), pa.array(model + np.add.reduceat(tails, start)), rare,
+            ], NAMES)
 
         held, size = [], 0
         for b in batches:
             for doc, is_out, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                got = np.array([vocab[w] for w in words(text)], dtype=np.int64)
-                symbol, rank, h = got[:, 0].astype(np.int32), got[:, 1], got[:, 2]
-                tail = symbol >= HEAD
-                in_top = rank[rank >= 0]
-                tail_top = rank[tail & (rank >= 0)]
-                # Log counts of known words; those of the rest are joined.
-                held.append((doc, is_out, symbol, int(known[in_top].sum()), float(log1[in_top].sum()), float(log1[tail_top].sum() - bucket_log[symbol[tail] - HEAD].sum()), h[rank < 0].tolist()))
-                size += len(symbol)
+                held.append((doc, is_out, vocab.codes(text)))
+                size += len(held[-1][2])
                 if size >= TOGETHER:
                     yield out(held, row)
                     row += len(held)
