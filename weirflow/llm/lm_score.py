@@ -28,6 +28,8 @@ CLASSES = HEAD // CLASS + BUCKETS
 KNOWN = 1 << 16
 #: Lanes and steps of a training window, rounds, and of how many of its documents a task trains on one in a round.
 LANES, STEPS, ROUNDS, STRIDE, RATE = 128, 16, 2, 12, 0.07
+#: Tokens after which training starts a long document's next piece with a fresh state, so that no lane outlasts the others.
+PIECE = 1024
 #: Lanes and steps when scoring, and tokens that a task scores together.
 SCORE_LANES, SCORE_STEPS, TOGETHER = 256, 32, 1 << 21
 #: Distinct words that a task counts or remembers at once.
@@ -251,7 +253,7 @@ def inputs(ids: np.ndarray, fresh: np.ndarray, end: int) -> np.ndarray:
 
 def train_on(p: dict, docs: list[np.ndarray], end: int) -> int:
     """AdaGrad over one pass of the documents, window by window with the state carried on; returns the number of tokens."""
-    ids, who, fresh = lanes(docs, LANES)
+    ids, who, fresh = lanes([d[k : k + PIECE] for d in docs for k in range(0, len(d), PIECE)], LANES)
     read, h = inputs(ids, fresh, end), np.zeros((ids.shape[1], HIDDEN), dtype=np.float32)
     seen = {k: np.full(s, 1e-8, dtype=np.float32) for k, s in SHAPES.items()}
     for t in range(0, len(ids), STEPS):
