@@ -11,8 +11,8 @@ from weirflow.llm.common import save, table
 from weirflow.llm.decontaminate import clean
 from weirflow.llm.langid import identify, train
 from weirflow.llm.line_dedup import dedup_lines
+from weirflow.llm.near_copies import near_copy_groups
 from weirflow.llm.packing import pack_documents
-from weirflow.llm.simhash import simhash_groups
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,8 +26,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document of the least id stays. Documents without an id stay unless a group has one."""
-    groups = simhash_groups(docs)
+    """Of each group of near copies, by five-word shingles and a similarity of 0.8 or more, the document of the least id stays. Documents without an id stay unless a group has one."""
+    groups = near_copy_groups(docs)
     first = groups.where("doc_id <=> component_id").select("doc_id").distinct()
     return docs.join(first, docs["doc_id"].eqNullSafe(first["doc_id"]), "left_semi")
 

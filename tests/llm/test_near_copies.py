@@ -1,0 +1,56 @@
+import random
+
+import corpus_pipeline as C
+from weirflow.llm import near_copies as N
+
+
+def brute(rows):
+    """(id, least id that links of five-word Jaccard similarity 0.8 reach)."""
+    sets = []
+    for _, t in rows:
+        w = (t or "").lower().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    comp = list(range(len(rows)))
+
+    def find(x):
+        while comp[x] != x:
+            x = comp[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if a == b or len(a & b) >= 0.8 * len(a | b):
+                comp[find(i)] = find(j)
+    ids = {}
+    for i, (d, _) in enumerate(rows):
+        if d is not None:
+            ids[find(i)] = min(ids.get(find(i), d), d)
+    return sorted(((d, ids.get(find(i))) for i, (d, _) in enumerate(rows)), key=str)
+
+
+def edited(rnd, words, edits):
+    out = list(words)
+    for k in range(edits):
+        out[rnd.randrange(len(out))] = f"new{rnd.random()}"
+    return " ".join(out)
+
+
+def corpus():
+    rnd, rows = random.Random(11), []
+    for size, edits in [(300, (0, 1, 3, 5, 6, 7, 9)), (60, (0, 1, 1)), (12, (0, 1))] * 8 + [(200, [k % 5 for k in range(60)])]:
+        base = [rnd.choice("abcdefghij") + str(rnd.randrange(400)) for _ in range(size)]
+        rows += [(len(rows) + k, edited(rnd, base, e)) for k, e in enumerate(edits)]
+    return [*rows, (900, None), (901, " \t"), (902, "a b"), (903, "A  b"), (904, "a b c"), (None, "a b")]
+
+
+def test_groups_are_those_of_brute_force(spark):
+    rows = corpus()
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((tuple(r) for r in N.near_copy_groups(df).collect()), key=str) == brute(rows)
+    assert N.near_copy_groups(df.where("false")).collect() == []
+
+
+def test_stage_drops_copies_of_similarity_0_8(spark, sf):
+    rows = corpus()
+    docs = spark.createDataFrame([(d, t, "en", "s", 0) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(str(r.doc_id) for r in C.near_copies(spark, docs, sf).collect()) == sorted(str(d) for d, c in brute(rows) if d == c)
