@@ -98,3 +98,13 @@ def test_averages_of_many_tasks(spark, monkeypatch):
     df = spark.createDataFrame([(i, i + 1, bytearray(M.pack_weights(p))) for i, p in enumerate(w)], "task long, n long, data binary")
     want = sum(i * (i + 1) for i in range(11)) / sum(i + 1 for i in range(11))
     assert np.allclose(M._averaged(df)["b"], want, rtol=1e-5)
+
+
+def test_rounds_train_on_every_document_once(spark, monkeypatch):
+    seen, averaged = [], M._averaged
+    monkeypatch.setattr(M, "_averaged", lambda w: seen.append(sum(r.n for r in w.select("n").collect())) or averaged(w))
+    texts = ["a b c " * (k + 1) for k in range(30)]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1)
+    hashes = np.array([M.word_hash(w) for w in (M.END, b"a", b"b", b"c")])
+    M.train(docs, hashes, M.start_weights(np.array([30, 465, 465, 465]), np.zeros(M.BUCKETS)))
+    assert len(seen) == M.ROUNDS and sum(seen) == sum(len(M.words(t)) for t in texts)

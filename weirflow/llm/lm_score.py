@@ -26,8 +26,8 @@ EMBED, HIDDEN = 16, 24
 CLASSES = HEAD // CLASS + BUCKETS
 #: Words whose counts are broadcast; the counts of rarer ones are joined.
 KNOWN = 1 << 16
-#: Lanes and steps of a training window, rounds, and of how many of its documents a task trains on one in a round.
-LANES, STEPS, ROUNDS, STRIDE, RATE = 128, 16, 2, 12, 0.07
+#: Lanes and steps of a training window, and rounds, which deal all of a task's documents among them.
+LANES, STEPS, ROUNDS, RATE = 128, 16, 2, 0.07
 #: Tokens after which training starts a long document's next piece with a fresh state, so that no lane outlasts the others.
 PIECE = 1024
 #: Lanes and steps when scoring, and tokens that a task scores together.
@@ -218,7 +218,9 @@ def gradients(p: dict, ids: np.ndarray, target: np.ndarray, fresh: np.ndarray, l
     flat = dx.reshape(-1, 3 * n)
     g["b"] = flat.sum(axis=0)
     by_word = np.zeros((HEAD + BUCKETS, 3 * n), dtype=np.float32)
-    np.add.at(by_word, ids.ravel(), flat)
+    order = np.argsort(ids.ravel(), kind="stable")
+    word, first = np.unique(ids.ravel()[order], return_index=True)
+    by_word[word] = np.add.reduceat(flat[order], first, axis=0)
     g["Wx"], g["E"] = p["E"].T @ by_word, by_word @ p["Wx"].T
     return g, out[-1]
 
@@ -314,7 +316,8 @@ def _averaged(weights: DataFrame) -> dict[str, np.ndarray] | None:
 
 
 def train(docs: DataFrame, hashes: np.ndarray, p: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-    """docs (text): in each round every task trains on one in STRIDE of its documents, starting from the last round's weights."""
+    """docs (text): in each round every task trains on its next share of its documents, starting from the last round's weights; the
+    rounds' shares are disjoint and together all documents."""
     spark, end = docs.sparkSession, hashes[:HEAD].tolist().index(end_hash())
     for turn in range(ROUNDS):
         shared = spark.sparkContext.broadcast((hashes, pack_weights(p)))
@@ -325,7 +328,7 @@ def train(docs: DataFrame, hashes: np.ndarray, p: dict[str, np.ndarray]) -> dict
             held, size = [], 0
             for b in batches:
                 for text in b.column(0).to_pylist():
-                    if n % STRIDE == turn:
+                    if n % ROUNDS == turn:
                         held.append(vocab.symbols(vocab.codes(text))[0])
                         vocab.forget()
                         size += len(held[-1])
