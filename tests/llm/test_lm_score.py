@@ -108,3 +108,9 @@ def test_rounds_train_on_every_document_once(spark, monkeypatch):
     hashes = np.array([M.word_hash(w) for w in (M.END, b"a", b"b", b"c")])
     M.train(docs, hashes, M.start_weights(np.array([30, 465, 465, 465]), np.zeros(M.BUCKETS)))
     assert len(seen) == M.ROUNDS and sum(seen) == sum(len(M.words(t)) for t in texts)
+
+
+def test_words_of_the_head_are_told_apart():
+    ws = [f"w{k}".encode() for k in range(2048)]
+    symbols, _ = M.Vocabulary(np.array([M.word_hash(w) for w in ws])).symbols(np.arange(2048))
+    assert len(set(symbols.tolist())) == 2048 and M.EMBED >= 24 and M.HIDDEN >= 32

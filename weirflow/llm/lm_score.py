@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 
 from weirflow.llm.common import save, session, table, tidy
 
-HEAD, CLASS, BUCKETS = 1024, 32, 32
-EMBED, HIDDEN = 16, 24
+HEAD, CLASS, BUCKETS = 2048, 32, 32
+EMBED, HIDDEN = 24, 32
 CLASSES = HEAD // CLASS + BUCKETS
 #: Words whose counts are broadcast; the counts of rarer ones are joined.
 KNOWN = 1 << 16
