@@ -58,3 +58,33 @@ def test_query_and_empty(spark, sf):
     assert run(spark, []) == []
     df = spark.createDataFrame([(None, [1.0, 2.0]), (4, [1.0, 2.0]), (4, [1.0, 2.0])], "vec_id long, embedding array<double>")
     assert sorted((tuple(r) for r in E.near_duplicates(df).collect()), key=str) == [(4, 2, 4, True), (4, 2, 4, True), (None, 2, 4, False)]
+
+
+def crowd(n, mean, dim=64, seed=9):
+    """n vectors around one centre; every third has a link planted at cosine 0.955."""
+    r = np.random.default_rng(seed)
+    unit = lambda x: x / np.sqrt((x * x).sum(axis=-1, keepdims=True))
+    c = unit(r.standard_normal(dim))
+
+    def at(base, cosine):
+        w = r.standard_normal(base.shape)
+        w = unit(w - (w * base).sum(axis=1, keepdims=True) * base)
+        return cosine * base + np.sqrt(1 - cosine**2) * w
+
+    x = at(np.repeat(c[None], n, axis=0), mean)
+    x[1::3] = at(x[0::3][: len(x[1::3])], 0.955)
+    return [(k, v.tolist()) for k, v in enumerate(x)]
+
+
+def test_crowds_lose_no_links(spark):
+    rows = crowd(3000, 0.9)
+    got, want = run(spark, rows), brute(rows)
+    assert sum(w[1] for w in want) >= 2000
+    assert sum(g[1] for g in got) >= 0.995 * sum(w[1] for w in want)
+    assert sum(g == w for g, w in zip(got, want, strict=True)) >= 0.995 * len(want)
+
+
+def test_passes_follow_the_size():
+    assert [E.run_bits(n, 24) for n in (0, 24, 25, 1_600_000)] == [0, 0, 1, 17]
+    for bits in (0, 5, 14, 22):
+        assert (1 - (1 - np.arccos(0.95) / np.pi) ** bits) ** E.passes_for(bits, 0.95) <= E.MISSED

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +15,8 @@ COSINE = 0.95
 #: Passes, sign bits of a key and vectors that follow one in a pass's order that it is compared with. Two vectors of cosine
 #: 0.95 differ in a sign with probability 0.1: in each pass they share the first bits of the key, and so stand close.
 PASSES, KEY_BITS, WINDOW = 16, 48, 24
+#: Passes are as many, PASSES at least, that a pair at the threshold shares a run of leading bits in one of them but for this share.
+MISSED = 0.001
 #: Vectors of a component that are compared at once to count its links.
 BLOCK = 1024
 
@@ -44,14 +46,26 @@ def sort_keys(x: np.ndarray, passes: int, seed: int = 5) -> np.ndarray:
     return (bits * (1 << np.arange(KEY_BITS - 1, -1, -1, dtype=np.int64))).sum(axis=2)
 
 
+def run_bits(n: int, window: int) -> int:
+    """Leading bits of which n evenly spread keys have runs of about `window`."""
+    return min(KEY_BITS, max(0, int(np.ceil(np.log2(max(n, 1) / window)))))
+
+
+def passes_for(bits: int, cosine: float) -> int:
+    """Passes after which a pair of that cosine has shared the first `bits` bits of a key, but for MISSED of the cases."""
+    once = (1 - np.arccos(np.clip(cosine, -1, 1)) / np.pi) ** bits
+    return 1 if once >= 1 - MISSED else int(np.ceil(np.log(MISSED) / np.log1p(-once)))
+
+
 def near_duplicates(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", cosine: float = COSINE, passes: int = PASSES, window: int = WINDOW) -> DataFrame:
     """Link vectors of cosine at least `cosine` in double precision.
 
     Equal vectors are one class first. In each pass the classes are ordered by a key of random signs, range-partitioned, and
-    each is compared with the next `window` (a partition also holds the first rows of the one that follows), so a group of
-    any size costs the same for each vector; verified pairs of all passes are united. Then all links within a component
-    are counted, block by block, so what a window didn't reach counts as well. A link is lost only if no pass brings its
-    ends, nor a chain of links between them, within a window.
+    each is compared with the next `window` (a partition also holds the first rows of the one that follows). Where more than
+    that share the leading bits of which evenly spread keys would have runs of a window, all of the run are compared, block by
+    block; verified pairs of all passes are united. Then all links within a component are counted, block by block, so what
+    wasn't reached counts as well. A link is lost only if its ends share those bits in no pass, nor those of a chain of links
+    between them; passes grow with the input, so that this stays rare (MISSED). `passes` is the least number of them.
 
     Returns one row per row of df: id_col, n_links (other rows linked directly), component_id (the least id that links
     reach, itself included) and kept (id = component_id). Null, zero and ragged vectors and such with null or non-finite components link
@@ -66,6 +80,9 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embed
     slim = save(coded.select("id", "h"), "ids")
     classes = save(coded.where("h is not null").groupBy("h").agg(F.first("v").alias("v"), F.min("id").alias("least"), F.count("*").alias("copies")), "vectors")
 
+    lead = run_bits(classes.count(), window)
+    passes = max(passes, passes_for(lead, cosine))
+
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x, _ = unit_vectors(b.column(1).to_pylist())
@@ -110,6 +127,11 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embed
             yield from out(*held)
 
     links = both.repartition("part").sortWithinPartitions("part", "row").mapInArrow(compare, "a long, b long").distinct()
+    run = F.shiftrightunsigned("key", KEY_BITS - lead) * passes + F.col("pass") if lead else F.col("pass").cast("long")
+    in_runs = placed.select(run.alias("root"), "h", "v", F.lit(1).cast("long").alias("copies"))
+    long_runs = save(in_runs.groupBy("root").count().where(F.col("count") > window + 1).select("root"), "runs")
+    if not long_runs.isEmpty():
+        links = links.union(_spanning(in_runs.join(long_runs, "root", "left_semi"), cosine))
     comp = components(save(links, "near"))
     member = save(comp.withColumnRenamed("node", "h").join(classes, "h"), "members")
     counts = _links_inside(member, cosine)
@@ -122,8 +144,41 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embed
 
 
 def _links_inside(member: DataFrame, cosine: float) -> DataFrame:
-    """(h, links): copies of other classes of its component that each class links with. Components are cut into blocks of BLOCK
-    classes, and each pair of blocks is one piece of work: no task holds more, and no pair is sent."""
+    """(h, links): copies of other classes of its component that each class links with."""
+
+    def piece(one: np.ndarray, two: np.ndarray | None, h: np.ndarray, copies: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        hit = x[one] @ x[one if two is None else two].T >= cosine
+        if two is None:
+            np.fill_diagonal(hit, False)
+            return h, (hit * copies[None, :]).sum(axis=1)
+        return np.r_[h[one], h[two]], np.r_[hit @ copies[two], hit.T @ copies[one]]
+
+    return _by_blocks(member, piece, ["h", "links"]).groupBy("h").agg(F.sum("links").alias("links"))
+
+
+def _spanning(member: DataFrame, cosine: float) -> DataFrame:
+    """Pairs (a, b) that connect all that links connect within each root; a piece sends fewer than it has classes."""
+
+    def piece(one: np.ndarray, two: np.ndarray | None, h: np.ndarray, copies: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        other = one if two is None else two
+        i, j = np.nonzero(x[one] @ x[other].T >= cosine)
+        a, b, label = one[i], other[j], np.arange(len(h))
+        while True:
+            least = np.minimum(label[a], label[b])
+            if (label[a] == least).all() and (label[b] == least).all():
+                break
+            np.minimum.at(label, a, least)
+            np.minimum.at(label, b, least)
+            label = label[label]
+        joined = np.flatnonzero(label != np.arange(len(h)))
+        return h[label[joined]], h[joined]
+
+    return _by_blocks(member, piece, ["a", "b"])
+
+
+def _by_blocks(member: DataFrame, piece: Callable, names: list[str]) -> DataFrame:
+    """What piece gives for each pair of blocks of the classes (root, h, v, copies) of one root, as two columns of longs. Roots
+    are cut into blocks of BLOCK classes, and each pair of blocks is one piece of work: no task holds more, and no pair is sent."""
     size = member.groupBy("root").agg(F.count("*").alias("n"))
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     cut = member.join(size, "root").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("h"), F.col("blocks")).cast("int"))
@@ -132,37 +187,32 @@ def _links_inside(member: DataFrame, cosine: float) -> DataFrame:
     pieces = pieces.select("root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), F.col("block"), "h", "v", "copies")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def piece(held: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
+        def of(held: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
             _, i, j, *_ = held[0]
             block, h, copies = (np.array([x[k] for x in held]) for k in (3, 4, 6))
             x, _ = unit_vectors([t[5] for t in held])
-            one, two = np.flatnonzero(block == i), np.flatnonzero(block == j)
-            hit = x[one] @ x[two].T >= cosine
-            if i == j:
-                np.fill_diagonal(hit, False)
-                return h, (hit * copies[None, :]).sum(axis=1)
-            return np.r_[h[one], h[two]], np.r_[hit @ copies[two], hit.T @ copies[one]]
+            return piece(np.flatnonzero(block == i), None if i == j else np.flatnonzero(block == j), h, copies, x)
 
         def out(done: list) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in zip(*done, strict=True)], ["h", "links"])
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in zip(*done, strict=True)], names)
 
         held: list[tuple] = []
         done: list = []
         for b in batches:
             for x in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if held and held[0][:3] != x[:3]:
-                    done.append(piece(held))
+                    done.append(of(held))
                     held = []
                     if len(done) >= 2000:
                         yield out(done)
                         done = []
                 held.append(x)
         if held:
-            done.append(piece(held))
+            done.append(of(held))
         if done:
             yield out(done)
 
-    return pieces.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j").mapInArrow(run, "h long, links long").groupBy("h").agg(F.sum("links").alias("links"))
+    return pieces.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j").mapInArrow(run, f"{names[0]} long, {names[1]} long")
 
 
 def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
