@@ -1,6 +1,9 @@
 import hashlib
 import random
 
+import numpy as np
+import pytest
+
 from weirflow.llm import suffix_dedup as D
 
 
@@ -53,9 +56,19 @@ def test_matches_brute_force(spark, monkeypatch):
     assert run(spark, rows) == brute(rows)
 
 
-def test_hot_anchors(spark, monkeypatch):
-    monkeypatch.setattr(D, "HOT_ANCHOR", 2)
-    rows = corpus(random.Random(8))
+@pytest.mark.parametrize("group", [1, 2, 5])
+def test_large_groups_are_halved(spark, monkeypatch, group):
+    monkeypatch.setattr(D, "GROUP", group)
+    monkeypatch.setattr(D, "ORDERED", 500)
+    rows = corpus(random.Random(8 + group))
+    assert run(spark, rows) == brute(rows)
+
+
+def test_common_passage_with_many_ends(spark, monkeypatch):
+    monkeypatch.setattr(D, "GROUP", 8)
+    rnd = random.Random(3)
+    passage = "".join(rnd.choice("abcdefgh ") for _ in range(180))
+    rows = [(k, f"{k * 7919}{passage}{k * 104729}"[rnd.randrange(3) :]) for k in range(200)]
     assert run(spark, rows) == brute(rows)
 
 
@@ -71,10 +84,26 @@ def test_repeated_and_null_ids(spark):
     assert [(r[0], r[2]) for r in got] == [(1, 0), (1, 0), (2, n), (None, n)]
 
 
-def test_suffix_ranks():
-    t = b"banana bandana banana"
-    import numpy as np
-
-    r = D.suffix_ranks(np.frombuffer(t, dtype=np.uint8), 10)
-    pre = [t[i : i + 10].ljust(10, b"\0") for i in range(len(t))]
-    assert [sorted(set(pre)).index(p) for p in pre] == [sorted(set(r.tolist())).index(x) for x in r.tolist()]
+def test_longest_previous_factors():
+    rnd = np.random.default_rng(5)
+    for depth, letters in ((8, 2), (32, 2), (100, 1), (40, 3)):
+        t = rnd.integers(97, 97 + letters, 300).astype(np.uint8)
+        t[150:250] = t[20:120]
+        starts = np.arange(0, 300 - depth)
+        place = rnd.permutation(len(starts))
+        got = D.longest_previous(t, starts, place, depth)
+        for i in range(len(starts)):
+            best = 0
+            for j in np.flatnonzero(place < place[i]):
+                k = 0
+                while k < depth and t[starts[i] + k] == t[starts[j] + k]:
+                    k += 1
+                best = max(best, k)
+            assert got[i] == (best if best == depth else best // 8 * 8)
+
+
+def test_previous_smaller():
+    x = np.random.default_rng(6).permutation(500)
+    for v in (x, np.sort(x), np.sort(x)[::-1]):
+        want = [max((j for j in range(i) if v[j] < v[i]), default=-1) for i in range(500)]
+        assert D.previous_smaller(v).tolist() == want

@@ -1,14 +1,17 @@
 """Removal of repeated byte strings by longest-previous-factor arrays over suffix order.
 
 A byte goes if a string of `length` bytes that covers it also starts earlier, so a position's longest previous factor
-matters only up to `length`: suffixes are ordered by their first `length` bytes, and the previous smaller position in
-that order, where it shares all of them, is the earlier copy.
+matters only up to `length`: suffixes are put in the order of their first `length` bytes, the previous and the next
+smaller position in that order hold the longest earlier match, and a position whose factor is `length` bytes long is a copy.
 
-All suffixes of a corpus don't fit a shuffle. Every string of `length` bytes picks an anchor among its own GRAM-byte
+All suffixes of a corpus don't fit a task. Every string of `length` bytes picks an anchor among its own GRAM-byte
 strings (the one of least hash, the first of equals), which depends on nothing but the string. Windows that follow one
 another and pick the same anchor form a context. Equal contexts hold equal windows, so of those all but the first are
-copies as a whole; what differs is where repeats begin and end. Only there, for contexts that share an anchor but
-aren't equal, are the bytes themselves brought together and put in suffix order.
+copies as a whole (told by the anchor's and the context's hash, 128 bits together); what differs is where repeats begin and
+end. Only there, for contexts that share an anchor but aren't equal, are the bytes themselves brought together and put in
+suffix order. A group too large for one task is halved by the place of the anchor in the window: the windows of a half
+have more bytes in common than the anchor, and equal windows agree in them, so they are the key of smaller groups, down to
+single windows if need be. No window is compared in any other way, and rows grow with the contexts, not with their pairs.
 """
 
 from __future__ import annotations
@@ -29,8 +32,8 @@ LENGTH, GRAM = 100, 32
 SCAN = 1 << 20
 #: Bytes of contexts that are put in suffix order at once; an anchor's contexts stay together.
 ORDERED = 1 << 20
-#: An anchor with more unequal contexts than this isn't gathered in one task: its windows are compared by hash aggregates.
-HOT_ANCHOR = 128
+#: Unequal contexts of one key that are put in suffix order together; the windows of a larger group are keyed on more bytes.
+GROUP = 4096
 U = np.uint64
 
 
@@ -62,29 +65,61 @@ def contexts(b: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarra
     return h, at, lo, np.r_[lo[1:], len(at)]
 
 
-def suffix_ranks(t: np.ndarray, depth: int) -> np.ndarray:
-    """Ranks of the suffixes of t in the order of their first `depth` bytes; equal prefixes have equal ranks."""
+def suffix_ranks(t: np.ndarray, depth: int) -> list[tuple[int, np.ndarray]]:
+    """(width, ranks of the suffixes of t in the order of their first `width` bytes) for widths that double up to `depth`; equal
+    prefixes have equal ranks."""
     pad = np.zeros(len(t) + depth, dtype=np.uint8)
     pad[: len(t)] = t
     width, r = min(8, depth), np.zeros(len(t) + depth - 7, dtype=U)
     for k in range(width):
         r = (r << U(8)) | pad[k : len(r) + k]
     r = np.unique(r, return_inverse=True)[1].astype(U)
+    out = [(width, r)]
     while width < depth:
         step = min(width, depth - width)
         r = np.unique(r[:-step] * U(len(pad) + 1) + r[step:], return_inverse=True)[1].astype(U)
         width += step
-    return r[: len(t)].astype(np.int64)
+        out.append((width, r))
+    return out
 
 
-def has_previous(rank: np.ndarray, *place: np.ndarray) -> np.ndarray:
-    """Whether an equal rank (the whole prefix) stands at an earlier place; place: most significant key first. In suffix
-    order with equal prefixes by place, the previous smaller place of a suffix stands just before it."""
-    order = np.lexsort((*place[::-1], rank))
-    new = np.r_[True, np.diff(rank[order]) != 0]
-    first = order[np.flatnonzero(new)[np.cumsum(new) - 1]]
-    out = np.empty(len(rank), dtype=bool)
-    out[order] = np.logical_or.reduce([p[order] != p[first] for p in place])
+def previous_smaller(x: np.ndarray) -> np.ndarray:
+    """For each place of x the nearest place before it with a smaller value, -1 for none: whoever points at a larger value takes
+    over that one's pointer, which halves the chains each time."""
+    at = np.arange(-1, len(x) - 1)
+    todo = np.arange(len(x))
+    while len(todo):
+        p = at[todo]
+        todo = todo[(p >= 0) & (x[p] > x[todo])]
+        at[todo] = at[at[todo]]
+    return at
+
+
+def common_prefix(ranks: list[tuple[int, np.ndarray]], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Bytes that the suffixes at i and j have in common, in steps of the least width, up to the largest."""
+    depth, whole = ranks[-1]
+    size = np.where(whole[i] == whole[j], depth, 0)
+    left = np.flatnonzero(size == 0)
+    for width, r in ranks[-2::-1]:
+        a, b = i[left] + size[left], j[left] + size[left]
+        ok = np.maximum(a, b) < len(r)
+        ok[ok] = r[a[ok]] == r[b[ok]]
+        size[left] += width * ok
+    return size
+
+
+def longest_previous(t: np.ndarray, starts: np.ndarray, place: np.ndarray, depth: int) -> np.ndarray:
+    """The longest previous factor, up to `depth` bytes, of the suffixes of t at `starts`: what each has in common with one of
+    less `place` (distinct numbers). Of all those the longest match is the previous or the next smaller place in suffix order."""
+    ranks = suffix_ranks(t, depth)
+    order = np.lexsort((place, ranks[-1][1][starts]))
+    s, p, n = starts[order], place[order], len(starts)
+    before, after = previous_smaller(p), n - 1 - previous_smaller(p[::-1])[::-1]
+    factor = np.zeros(n, dtype=np.int64)
+    for near, some in ((before, before >= 0), (after, after < n)):
+        factor[some] = np.maximum(factor[some], common_prefix(ranks, s[some], s[near[some]]))
+    out = np.empty(n, dtype=np.int64)
+    out[order] = factor
     return out
 
 
@@ -145,7 +180,7 @@ def _marks(docs: DataFrame, length: int) -> DataFrame:
 
 def _sift(marks: DataFrame) -> DataFrame:
     """marks by anchor -> rows (kind, anchor, doc, tie, lo, n). kind 0: windows that are copies as a whole; 1: first contexts
-    whose anchor has other contexts as well; 2: the same where they are more than HOT_ANCHOR."""
+    whose anchor has other contexts as well; 2: the same where they are more than GROUP."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [np.empty(0, dtype=np.int64) for _ in MARK_NAMES]
@@ -180,7 +215,7 @@ def _sift(marks: DataFrame) -> DataFrame:
                 count = np.repeat(x := np.diff(np.r_[start, len(firsts[0])]), x)
                 many = count > 1
                 if many.any():
-                    yield rows(1 + (count[many] > HOT_ANCHOR), [c[many] for c in firsts])
+                    yield rows(1 + (count[many] > GROUP), [c[many] for c in firsts])
 
         for batch in batches:
             cols = [np.concatenate([x, c.to_numpy(zero_copy_only=False)]) for x, c in zip(held, batch.columns, strict=True)]
@@ -213,17 +248,20 @@ def _spans(doc: np.ndarray, tie: np.ndarray, s: np.ndarray, length: int) -> pa.R
 
 
 def _ordered(rows: DataFrame, length: int) -> DataFrame:
-    """Spans that are copies, of contexts (anchor, doc, tie, lo, n, data), by suffix order among those of one anchor."""
+    """Spans that are copies, of contexts (key, doc, tie, lo, n, data), by the longest previous factors among those of one key."""
 
     def one(held: list[tuple]) -> Iterator[pa.RecordBatch]:
-        anchor, doc, tie, lo, n = (np.array([x[k] for x in held], dtype=np.int64) for k in range(5))
+        doc, tie, lo, n = (np.array([x[k] for x in held], dtype=np.int64) for k in range(1, 5))
         size = n + length - 1
         start = np.cumsum(size) - size
-        rank = suffix_ranks(np.frombuffer(b"".join(x[5] for x in held), dtype=np.uint8), length)
         which = np.repeat(np.arange(len(held)), n)
         step = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
         d, t, s = doc[which], tie[which], lo[which] + step
-        gone = has_previous(rank[start[which] + step], d, t, s)
+        # Contexts of several keys share the array; an equal string elsewhere has picked the same anchor, so has the same key.
+        place = np.empty(len(which), dtype=np.int64)
+        place[np.lexsort((s, t, d))] = np.arange(len(which))
+        text = np.frombuffer(b"".join(x[5] for x in held), dtype=np.uint8)
+        gone = longest_previous(text, start[which] + step, place, length) >= length
         if gone.any():
             yield _spans(d[gone], t[gone], s[gone], length)
 
@@ -239,29 +277,53 @@ def _ordered(rows: DataFrame, length: int) -> DataFrame:
         if held:
             yield from one(held)
 
-    return rows.select("anchor", "doc", "tie", "lo", "n", "data").repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, SPAN)
+    return rows.select("key", "doc", "tie", "lo", "n", "data").repartition("key").sortWithinPartitions("key").mapInArrow(run, SPAN)
+
+
+HALF = "key long, hull long, side int, at int, doc long, tie long, lo long, n int, data binary"
+HALF_NAMES = [x.split()[0] for x in HALF.split(", ")]
 
 
-def _hashed(rows: DataFrame, length: int) -> DataFrame:
-    """The same for anchors with very many contexts: first places of window hashes by aggregates, which no hot anchor gathers.
-    Of equal windows that a task reads together only the first goes on; the others are known to be copies."""
+def _halved(rows: DataFrame, length: int, bounds: list[tuple[int, int]]) -> DataFrame:
+    """Contexts (side, at, doc, tie, lo, n, data) cut in two by how many bytes stand before the anchor; the windows of side k have
+    bounds[k][0] to bounds[k][1] of them. The key is what all windows of a half have in common, hull what they are made of; at:
+    the anchor's place in data. Of equal halves that a task reads together only the first goes on, the others, known to be copies,
+    have n < 0 and no data."""
 
     def one(held: list[tuple]) -> pa.RecordBatch:
-        doc, tie, lo, n = (np.array([x[k] for x in held], dtype=np.int64) for k in range(4))
-        digests = b"".join(xxhash.xxh3_128_digest(x[4][k : k + length]) for x in held for k in range(x[3]))
-        h1, h2 = np.frombuffer(digests, dtype=np.int64).reshape(-1, 2).T
-        which = np.repeat(np.arange(len(held)), n)
-        d, t, s = doc[which], tie[which], lo[which] + np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
-        order = np.lexsort((s, t, d, h2, h1))
-        new = np.r_[True, (np.diff(h1[order]) != 0) | (np.diff(h2[order]) != 0)]
-        copy = np.zeros(len(s), dtype=bool)
-        copy[order] = ~new
-        spans = [c.to_numpy(zero_copy_only=False) for c in _spans(d[copy], t[copy], s[copy], length).columns] if copy.any() else [np.empty(0, dtype=np.int64)] * 4
-        none = np.zeros(len(spans[0]), dtype=np.int64)
-        cols = [(h1[~copy], none), (h2[~copy], none), (d[~copy], spans[0]), (t[~copy], spans[1]), (s[~copy], spans[2]), (np.zeros((~copy).sum(), dtype=np.int64), spans[3])]
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in cols], ["h1", "h2", "doc", "tie", "lo", "hi"])
+        place = [x[1] for x in held]
+        if None in place:  # contexts as the scan has found them
+            size = np.array([len(x[6]) for x in held])
+            _, at, _, _ = contexts(np.frombuffer(b"".join(x[6] for x in held), dtype=np.uint8), length)
+            first = np.cumsum(size) - size
+            place = (at[first] - first).tolist()
+        digest, best, out = xxhash.xxh3_64_intdigest, {}, []
+        for (side, _, doc, tie, lo, n, data), at in zip(held, place, strict=True):
+            low, high = bounds[side]
+            mid = (low + high) // 2
+            for k, a, b in ((0, low, mid), (1, mid + 1, high)):
+                most, least = min(b, at), max(a, at - n + 1)
+                if most < least:
+                    continue
+                shift, m = at - most, most - least + 1
+                part = data[shift : shift + m + length - 1]
+                key = digest(data[at - a : at - b + length], 2 * side + k)
+                row = (key, digest(part, 1 + 128 * most + m), 2 * side + k, most, doc, tie, lo + shift, m, part)
+                seen = best.get(row[:2])
+                if seen is None:
+                    best[row[:2]] = len(out)
+                    out.append(row)
+                elif row[4:7] < out[seen][4:7]:
+                    out[seen], row = row, out[seen]
+                    out.append((*row[:7], -row[7], None))
+                else:
+                    out.append((*row[:7], -row[7], None))
+        signed = lambda c: np.array(c, dtype=U).view(np.int64)
+        cols = list(zip(*out, strict=True)) if out else [[]] * 9
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array(signed(c) if i < 2 else c, k) for i, (c, k) in enumerate(zip(cols, kinds, strict=True))], HALF_NAMES)
 
-    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = []
         for batch in batches:
             held += zip(*(c.to_pylist() for c in batch.columns), strict=True)
@@ -271,11 +333,27 @@ def _hashed(rows: DataFrame, length: int) -> DataFrame:
         if held:
             yield one(held)
 
-    got = save(rows.select("doc", "tie", "lo", "n", "data").mapInArrow(explode, "h1 long, h2 long, doc long, tie long, lo long, hi long"), "windows")
-    windows = got.where("hi = 0").drop("hi")
-    first = windows.groupBy("h1", "h2").agg(F.min(F.struct("doc", "tie", "lo")).alias("first"), F.count("*").alias("c")).where("c > 1").drop("c")
-    gone = windows.join(first, ["h1", "h2"]).where(F.struct("doc", "tie", "lo") != F.col("first"))
-    return got.where("hi > 0").select("doc", "tie", "lo", "hi").union(gone.select("doc", "tie", "lo", (F.col("lo") + length).alias("hi")))
+    return rows.select("side", "at", "doc", "tie", "lo", "n", "data").mapInArrow(run, HALF)
+
+
+def _split(hot: DataFrame, length: int) -> list[DataFrame]:
+    """Spans that are copies, of contexts whose anchor has more than GROUP of them."""
+    spans, rows, bounds = [], hot.select(F.lit(0).alias("side"), F.lit(None).cast("int").alias("at"), "doc", "tie", "lo", "n", "data"), [(0, length - GRAM)]
+    while not rows.isEmpty():
+        got = save(_halved(rows, length, bounds), "halves")
+        bounds = [x for a, b in bounds for x in ((a, (a + b) // 2), ((a + b) // 2 + 1, b))]
+        known = got.where("n < 0").select("doc", "tie", "lo", (F.col("lo") - F.col("n") + (length - 1)).alias("hi"))
+        whole = F.struct("doc", "tie", "lo")
+        # Equal halves meet here by their hash, one of each task.
+        firsts = got.where("n > 0").groupBy("key", "hull").agg(F.min(whole).alias("first"), F.count("*").alias("c"))
+        copies = got.where("n > 0").drop("data").join(firsts.where("c > 1"), ["key", "hull"]).where(whole != F.col("first"))
+        spans += [known, copies.select("doc", "tie", "lo", (F.col("lo") + F.col("n") + (length - 1)).alias("hi"))]
+        sizes = firsts.groupBy("key").agg(F.count("*").alias("groups")).where("groups > 1")
+        alone = got.where("n > 0").join(firsts.select("key", "hull", "first"), ["key", "hull"]).where(whole == F.col("first")).drop("hull", "first")
+        left = save(alone.join(sizes, "key"), "groups")
+        spans.append(_ordered(left.where(F.col("groups") <= GROUP), length))
+        rows = left.where(F.col("groups") > GROUP)
+    return spans
 
 
 def kept_ranges(spans: list[tuple[int, int]], size: int) -> tuple[int, int, list[tuple[int, int]]]:
@@ -314,7 +392,9 @@ def drop_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     texts = save(_texts(unique, marks, length), "contexts")
     tidy(spark)
     whole = marks.where("kind = 0").select("doc", "tie", "lo", (F.col("lo") + F.col("n") + (length - 1)).alias("hi"))
-    spans = whole.union(_ordered(texts.where("kind = 1"), length)).union(_hashed(texts.where("kind = 2"), length))
+    spans = whole.union(_ordered(texts.where("kind = 1").withColumnRenamed("anchor", "key"), length))
+    for more in _split(texts.where("kind = 2"), length):
+        spans = spans.union(more)
     by_doc = save(spans.groupBy("doc", "tie").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")), "spans")
     tidy(spark)
 
