@@ -25,6 +25,71 @@ def test_vectors(spark, command, want):
     assert got == want.split(" ")
 
 
+MORE = [
+    ("seq=7 aggregate: head=3 next sum end", ["0", "1", "2", "18"]), ("seq=2 aggregate: head=3 next count end", ["0", "1", "1"]),
+    ("seq=2 fe: aggregate: nop next str=x end end", ["0", "x", "1", "x"]), ("seq=6 aggregate: enum=2 next head=1 next count end", ["0", "1", "2", "3"]),
+    ("seq=2 fe: seq=4 chunks=2: forkcat: nop next str=x end end end", "0 1 x x 2 3 x x 0 1 x x 2 3 x x".split()),
+    ("v=9223372036854775807 dup=5 sum", [str(5 * (2**63 - 1))]), ("v=inf dup=2 sum", ["inf"]), ("v=3e-15 dup=2 sum", ["6.0E-15"]),
+    ("v=4e300 dup=2 sum", ["8.0E300"]), ("fc: v=inf next v=-inf end sum", ["nan"]), ("v=9223372036854775807 c='_*_'", [str((2**63 - 1) ** 2)]),
+    ("v=99999999999999999999999999999999999999 c='_+1'", ["ERROR: integer of more than 38 digits"]), ("v=7 c='_**40'", [str(7**40)]),
+    ("v='[4, \"q\", 1.5, null]' flatten c='_+1' ee max", ["5"]), ("v='[4, \"q\", 1.5, null, true]' flatten typename", "int str float null bool".split()),
+    ("v='[2,0.25]' flatten sum", ["2.25"]), ("v='{p: {q: 6}}' c='_.p.q * 7'", ["42"]), ("v='{p: 1}' c='_.z'", ["null"]),
+    ("seq=2 c='[_, [7, \"z\"]]' flatten", ["0", '[7, "z"]', "1", '[7, "z"]']), ("v='{k: 8, j: \"b\"}' flatten f='{:?}'", ['["k", 8]', '["j", "b"]']),
+    ("str=bcd r='(?<x>a*)(b|c)' f='<{x}>'", ["<>"]), ("str=bcd r='(?<x>a)?(b|c)' f='<{x:?}>'", ["<null>"]), ("str=aab r-m='(?<x>a)?(?<y>b)?' f='{x:?}{y:?}'", ['"a"null', '"a""b"', "nullnull"]),
+    ("seq=7 [ join . -n=3 ]", ["0.1.2", "3.4.5", "6"]), ("seq=7 join -n=3 -d", ["012", "345"]), ("seq=0 [ join . -n=3 ]", []),
+    ("primes c='_*2' head=3", ["4", "6", "10"]), ("v=1500 f='{:e}|{:#x}|{:b}'", ["1.5e3|0x5dc|10111011100"]), ("v=0.00123 f='{:E}'", ["1.23E-3"]),
+    ("v=2 key=p v=3.14159 f='{:.p$}'", ["3.14"]), ("v='{a: [1,2]}' f='{:##?}'", ["{a:[1,2]}"]), ("[ atom town Oslo ] f='{%town}'", ["Oslo"]),
+    ("fc: v=1 next str=a next v=2.5 end c='_+1' f='{:?}'", ["2", '(error)"invalid operands for binary op: `str` + `int`"', "3.5"]),
+    ("macro:=triple v=\"[['dup', 3], ['join']]\" end str=ab triple", ["ababab"]), ("str='<p>a<b id=\"k\">c</b><br>d</p>' xpath=//b/@id", ["k"]),
+    ("str='<p>a<b>c</b>d</p>' xpath=//p/text()", ["ad"]), ("v=9007199254740993 c='_ == 9007199254740992.0'", ["false"]),
+]
+
+
+@pytest.mark.parametrize("command, want", MORE)
+def test_more_vectors(spark, command, want):
+    assert run(spark, command).strings() == want
+
+
+def test_sums_do_not_depend_on_order_or_partitions(spark):
+    from fractions import Fraction
+
+    values = [(-1) ** k * 1.1 ** (k * 37 % 1400 - 700) for k in range(3000)] + [0.1] * 50
+    want = float(sum(map(Fraction, values)))
+    got = set()
+    for n in (1, 5):
+        df = spark.createDataFrame(list(enumerate(values)), "id long, v double").repartition(n)
+        got.add(Pipeline.from_dataframe(df, "id", "v").sum().collect()[0])
+    assert len(got) == 1 and abs(got.pop() - want) <= abs(want) * 1e-15
+
+
+def test_sources_keep_order_without_one_partition(spark, tmp_path):
+    text = "\n".join(f"line {k}" for k in range(5000))
+    (tmp_path / "a.txt").write_text(text)
+    (tmp_path / "b.txt").write_text("last\r\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    try:
+        p = Pipeline.text_lines(spark, str(tmp_path))
+        assert p.stream.df.rdd.getNumPartitions() > 4
+        assert p.strings() == [*text.split("\n"), "last"]
+        assert "SinglePartition" not in p.stream.df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    (tmp_path / "q.csv").write_text('k,v\n1,"two\nlines"\n2,"a ""b"", c"\n')
+    assert [tuple(r) for r in Pipeline.csv(spark, str(tmp_path / "q.csv"), header=True).to_dataframe().select("k", "v").collect()] == [(1, "two\nlines"), (2, 'a "b", c')]
+    (tmp_path / "m.jsonl").write_text('"x"\n7\n{\n\n[1, "z"]\n')
+    assert Pipeline.jsonl(spark, str(tmp_path / "m.jsonl")).strings() == ["x", "7", "ERROR: invalid JSON: {", '[1, "z"]']
+
+
+def test_print_fork_and_stdin(spark, tmp_path, capsys):
+    from weirflow.plans.command import run_fork
+
+    assert run(spark, "seq=3 print").strings() == ["null"] * 3 and capsys.readouterr().out == "0\n1\n2\n"
+    assert [p.strings() for p in run_fork(spark, "seq=4 fork: sum next count end")] == [["6"], ["4"]]
+    assert Pipeline.stdin(spark, "a\nb\n").lines().strings() == ["a", "b"]
+    with pytest.raises(ValueError):
+        run(spark, "fork: nop end sum")
+
+
 def test_empty_matches_and_padding(spark):
     assert run(spark, "str=babab r-m='a*'").strings() == ["", "a", "", "a", "", ""]
     assert run(spark, "str=foo r-o='o*'").strings() == ["", "oo", "o", ""]

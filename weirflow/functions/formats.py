@@ -9,9 +9,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from weirflow.functions.expressions import Value
+from weirflow.functions.expressions import Value, dynamic_kind
 
-_SPEC = re.compile(r"(?:(?P<fill>.)?(?P<align>[<^>]))?(?P<sign>\+)?(?P<pretty>\#{1,2})?(?P<zero>0)?(?P<width>\d+|[A-Za-z_%@][\w@]*\$)?(?:\.(?P<prec>\d+|[A-Za-z_%@][\w@]*\$))?(?P<kind>\?\?|\?|0b|0o|0x|0X|b|o|x|X|e|E)?", re.S)
+_SPEC = re.compile(r"(?:(?P<fill>.)?(?P<align>[<^>]))?(?P<sign>\+)?(?P<pretty>\#{1,2})?(?P<zero>0(?![boxX]))?(?P<width>[1-9]\d*|[A-Za-z_%@][\w@]*\$)?(?:\.(?P<prec>\d+|[A-Za-z_%@][\w@]*\$))?_?(?P<kind>\?\?|\?|0b|0o|0x|0X|b|o|x|X|e|E)?", re.S)
 
 
 @dataclass
@@ -49,6 +49,9 @@ def split_format(text: str) -> list[str | Key]:
 
 def show(v: Value) -> Column:
     """Plain text of a value, null where it has none. Whole doubles have no fraction part."""
+    if v.kind == "any":
+        kind, text = dynamic_kind(v.col), F.try_variant_get(v.col, "$", "string")
+        return F.when(kind == "float", show(Value(F.try_variant_get(v.col, "$", "double"), "float"))).when(kind.isin("array", "object"), _nested(F.to_json(v.col), None)).otherwise(text)
     if v.kind == "float":
         d = v.col.cast("double")
         whole = (F.floor(d) == d) & (F.abs(d) < 1e15)
@@ -58,21 +61,54 @@ def show(v: Value) -> Column:
     return v.col.cast("string")
 
 
-def typed(v: Value) -> Column:
-    """The value in literal notation."""
+def _quoted(s: Column) -> Column:
+    for a, b in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\t", "\\t"), ("\r", "\\r")):
+        s = F.replace(s, F.lit(a), F.lit(b))
+    return F.concat(F.lit('"'), s, F.lit('"'))
+
+
+def typed(v: Value, layout: str | None = None) -> Column:
+    """The value in literal notation. layout: `#` puts the members of arrays and objects on lines of their own, `##` leaves out blanks."""
+    if v.kind == "any":
+        kind = dynamic_kind(v.col)
+        whole = _nested(F.to_json(v.col), layout)
+        return F.when(kind == "str", _quoted(F.try_variant_get(v.col, "$", "string"))).when(kind.isin("array", "object"), whole).otherwise(F.coalesce(show(v), F.lit("null")))
     if v.kind == "str":
-        s = v.col
-        for a, b in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\t", "\\t"), ("\r", "\\r")):
-            s = F.replace(s, F.lit(a), F.lit(b))
-        return F.coalesce(F.concat(F.lit('"'), s, F.lit('"')), F.lit("null"))
+        return F.coalesce(_quoted(v.col), F.lit("null"))
     if v.kind in ("array", "object"):
-        spaced = F.regexp_replace(F.to_json(v.col), r'("(?:[^"\\]|\\.)*")|([,:])', "$1$2 ")
-        return F.coalesce(F.regexp_replace(F.regexp_replace(spaced, r'"([A-Za-z_][A-Za-z0-9_]*)" ?: ', "$1: "), r'" (?=[\],}])', '"'), F.lit("null"))
+        options = {"ignoreNullFields": "false"} | ({"pretty": "true"} if layout == "#" else {})
+        return F.coalesce(_nested(F.to_json(v.col, options), layout), F.lit("null"))
     return F.coalesce(show(v), F.lit("null"))
 
 
+def _nested(text: Column, layout: str | None) -> Column:
+    """JSON text in literal notation: bare keys, a blank after each comma and colon unless the layout says otherwise."""
+    if layout == "#":
+        return F.regexp_replace(text, r'"([A-Za-z_][A-Za-z0-9_]*)" : ', "$1: ")
+    if layout is None:
+        text = F.regexp_replace(text, r'("(?:[^"\\]|\\.)*")|([,:])', "$1$2 ")
+        text = F.regexp_replace(text, r'" (?=[:,\],}])', '"')
+        return F.regexp_replace(text, r'("(?:[^"\\]|\\.)*"(?!:))|"([A-Za-z_][A-Za-z0-9_]*)"(?=: )', "$1$2")
+    return F.regexp_replace(text, r'("(?:[^"\\]|\\.)*"(?!:))|"([A-Za-z_][A-Za-z0-9_]*)"(?=:)', "$1$2")
+
+
+def _scientific(v: Value, upper: bool) -> Column:
+    """One digit, the others after a point, and the power of ten: 4.2e1."""
+    s = v.col.cast("double").cast("string") if v.kind == "float" else v.col.cast("string")
+    mantissa = F.regexp_extract(s, r"^-?([0-9.]+)", 1)
+    power = F.coalesce(F.regexp_extract(s, r"E(-?[0-9]+)$", 1).try_cast("int"), F.lit(0))
+    digits = F.replace(mantissa, F.lit("."), F.lit(""))
+    lead = F.length(F.regexp_extract(digits, "^0*", 0))
+    point = F.locate(".", mantissa)
+    whole = F.when(point > 0, point - 1).otherwise(F.length(mantissa))
+    kept = F.regexp_replace(F.regexp_replace(digits, "^0+", ""), "0+$", "")
+    rest = F.substring(kept, F.lit(2), F.length(kept))
+    text = F.concat(F.when(s.startswith("-"), F.lit("-")).otherwise(F.lit("")), F.substring(kept, 1, 1), F.when(rest != "", F.concat(F.lit("."), rest)).otherwise(F.lit("")), F.lit("E" if upper else "e"), (power + whole - 1 - lead).cast("string"))
+    return F.when(s.rlike("^-?(NaN|Infinity)$"), show(v)).when(kept == "", F.lit("0E0" if upper else "0e0")).otherwise(text)
+
+
 def _based(v: Value, kind: str) -> Column:
-    base, n = {"b": 2, "o": 8, "x": 16, "X": 16}[kind[-1]], v.col.cast("long")
+    base, n = {"b": 2, "o": 8, "x": 16, "X": 16}[kind[-1]], (F.try_variant_get(v.col, "$", "bigint") if v.kind == "any" else v.col.cast("long"))
     digits = F.conv(F.abs(n).cast("string"), 10, base)
     digits = F.lower(digits) if kind[-1] != "X" else F.upper(digits)
     return F.concat(F.when(n < 0, F.lit("-")).otherwise(F.lit("")), F.lit(kind if len(kind) == 2 else "").substr(1, 2) if len(kind) == 2 else F.lit(""), digits)
@@ -101,25 +137,37 @@ def compile_format(text: str, lookup: Callable[[str], Value | None], atoms: dict
         if part.name.startswith("%"):
             if part.name[1:] not in atoms:
                 raise ValueError(f"unknown atom {part.name}")
-            v = Value(F.lit(atoms[part.name[1:]]), "int" if isinstance(atoms[part.name[1:]], int) else "str")
+            const = atoms[part.name[1:]]
+            v = Value(F.lit(const), "bool" if isinstance(const, bool) else "int" if isinstance(const, int) else "float" if isinstance(const, float) else "str")
         else:
             v = lookup(part.name.removeprefix("@") or "_") or Value(F.lit(None), "undefined")
         s, kind = part.spec, part.spec["kind"] or ""
         if kind in ("?", "??"):
-            shown = typed(v) if v.err is None else F.when(v.err.isNotNull(), F.concat(F.lit('(error)"'), v.err, F.lit('"'))).otherwise(typed(v))
+            whole = F.lit("undefined") if v.kind == "undefined" else typed(v, s["pretty"])
+            shown = whole if v.err is None else F.when(v.err.isNotNull(), F.concat(F.lit('(error)"'), v.err, F.lit('"'))).otherwise(whole)
         else:
             if v.err is not None:
                 errs.append(v.err)
             name = "undefined" if v.kind == "undefined" else "null"
             errs.append(F.when(v.col.isNull(), F.lit(f"unexpected type '{name}' in format key '{part.name}'")))
-            shown = _based(v, kind) if kind and kind[-1] in "boxX" else F.format_string(f"%{kind}", v.col.cast("double")) if kind else show(v)
+            if kind in ("x", "X") and s["pretty"] == "#":
+                kind = f"0{kind}"
+            if kind in ("e", "E"):
+                shown = _scientific(v, kind == "E")
+            elif kind:
+                shown = _based(v, kind)
+            else:
+                shown = typed(v, s["pretty"]) if s["pretty"] and v.kind in ("array", "object") else show(v)
             prec = number(s["prec"])
             if prec is not None and v.kind == "float":
-                shown = F.format_string(f"%.{s['prec']}f", v.col) if s["prec"].isdigit() else F.round(v.col, 6).cast("string")
+                fixed = F.call_function("printf", F.concat(F.lit("%."), prec.cast("string"), F.lit("f")), v.col.cast("double"))
+                shown = F.when(F.isnan(v.col) | (F.abs(v.col) == float("inf")), shown).otherwise(fixed)
             elif prec is not None and v.kind == "str":
                 shown = F.substring(shown, F.lit(1), prec)
             if s["sign"] and v.kind in ("int", "float", "big"):
                 shown = F.when(v.col >= 0, F.concat(F.lit("+"), shown)).otherwise(shown)
+            elif s["sign"] and v.kind == "any":
+                shown = F.when(F.try_variant_get(v.col, "$", "double") >= 0, F.concat(F.lit("+"), shown)).otherwise(shown)
         width = number(s["width"])
         if width is not None:
             gap = F.greatest(width - F.length(shown), F.lit(0))

@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from weirflow import operators as O
 from weirflow.builder import Pipeline
-from weirflow.plans.command import run
+from weirflow.plans.command import Session, run, run_fork
+from weirflow.storage import new_path
+from weirflow.streaming import on_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -36,6 +38,11 @@ def _out(p: Pipeline, value: str, *cols: str) -> DataFrame:
     return p.to_dataframe(value).select(*cols, value)
 
 
+def _long(df: DataFrame, *cols: str) -> DataFrame:
+    """Whole numbers that are known to fit 64 bits, which sums and products are not held to."""
+    return df.withColumns({c: F.col(c).cast("long") for c in cols})
+
+
 def _calibrated(spark: SparkSession, d: str) -> Pipeline:
     """By line of text with a digit: its first and last digit as one number. The digits are an array in the line's own record,
     so there is no shuffle for the groups."""
@@ -55,14 +62,14 @@ def calibration_by_doc(spark: SparkSession, d: str) -> DataFrame:
 
 @_query(f"SELECT CAST(sum(n) AS BIGINT) total FROM ({_DIGITS})")
 def calibration_total(spark: SparkSession, d: str) -> DataFrame:
-    return _out(_calibrated(spark, d).sum(), "total")
+    return _long(_out(_calibrated(spark, d).sum(), "total"), "total")
 
 
 @_query("SELECT CAST(sum(try_cast(concat(d[1], d[-1]) AS BIGINT)) AS BIGINT) total FROM (SELECT regexp_extract_all(l, '[0-9]') d FROM (SELECT unnest(string_split(text, chr(10))) l FROM documents)) WHERE len(d) > 0")
 def calibration_operators(spark: SparkSession, d: str) -> DataFrame:
     """The same, written with foreach, regex, forkcat, head, tail and join."""
     body = O.chain(O.regex("[0-9]", multi=True), O.forkcat(O.head(1), O.tail(1)), O.join(""))
-    return _out(_p(spark, d, "documents", "doc_id", "text").lines().filter().regex("[0-9]", full=True).foreach(body).to_int().sum(), "total")
+    return _long(_out(_p(spark, d, "documents", "doc_id", "text").lines().filter().regex("[0-9]", full=True).foreach(body).to_int().sum(), "total"), "total")
 
 
 @_query("SELECT (r // 100)::BIGINT chunk, CAST(sum(CAST(value AS DECIMAL(38,12))) AS DOUBLE) total, min(event_id) first_id FROM (SELECT *, row_number() OVER (ORDER BY event_id) - 1 r FROM events) GROUP BY 1")
@@ -83,7 +90,7 @@ def sum_floating(spark: SparkSession, d: str) -> DataFrame:
 
 @_query("SELECT CAST(sum(user_id) AS BIGINT) total FROM events")
 def sum_int(spark: SparkSession, d: str) -> DataFrame:
-    return _out(_p(spark, d, "events", "event_id", "user_id").sum(), "total")
+    return _long(_out(_p(spark, d, "events", "event_id", "user_id").sum(), "total"), "total")
 
 
 @_query("SELECT avg(user_id) mean FROM events")
@@ -153,13 +160,7 @@ def collect_values(spark: SparkSession, d: str) -> DataFrame:
 @_query(_grouped("SELECT k, count(*) FILTER (WHERE value > 190) n FROM g GROUP BY k").replace("SELECT k, count", "SELECT CAST(k AS BIGINT) AS k, count"))
 def empty_groups_count(spark: SparkSession, d: str) -> DataFrame:
     p = _p(spark, d, "events", "event_id", "value").chunks(50, O.compute("_ > 190.0"), O.filter_(), O.count())
-    return p.to_dataframe("n", order=True).select((F.row_number().over(_by_order()) - 1).cast("long").alias("k"), "n")
-
-
-def _by_order():  # noqa: ANN202 - one row a chunk
-    from pyspark.sql import Window
-
-    return Window.orderBy("order")
+    return _out(p.key("n").enum(), "k", "n")
 
 
 @_query("SELECT event_id, concat(lpad(CAST(event_id AS VARCHAR), CAST(greatest(8, length(CAST(event_id AS VARCHAR))) AS INTEGER), '0'), ':', event_type) label FROM events")
@@ -309,7 +310,7 @@ def aggregate_append(spark: SparkSession, d: str) -> DataFrame:
 @_query("SELECT event_id, event_type, user_id * 2 AS twice FROM events")
 def transparent_key(spark: SparkSession, d: str) -> DataFrame:
     p = _p(spark, d, "events", "event_id", "event_type", "user_id").transparent(O.chain(O.compute("user_id * 2"), O.key("twice")))
-    return p.to_dataframe("v").select("event_id", F.col("v").alias("event_type"), "twice")
+    return _long(p.to_dataframe("v").select("event_id", F.col("v").alias("event_type"), "twice"), "twice")
 
 
 @_query("SELECT event_id, 'int' AS a, 'str' AS b, 'float' AS c FROM events")
@@ -325,12 +326,12 @@ def python_function(spark: SparkSession, d: str) -> DataFrame:
 
 @_query("SELECT CAST(sum(length(role)) AS BIGINT) AS total FROM conversations")
 def chars_of_roles(spark: SparkSession, d: str) -> DataFrame:
-    return _out(_p(spark, d, "conversations", ["conv_id", "turn"], "role").foreach(O.chars(), O.count()).sum(), "total")
+    return _long(_out(_p(spark, d, "conversations", ["conv_id", "turn"], "role").foreach(O.chars(), O.count()).sum(), "total"), "total")
 
 
 @_query("SELECT CAST(sum(i) AS BIGINT) total FROM range(0, 100000) t(i) WHERE contains(CAST(i AS VARCHAR), '7')")
 def command_line(spark: SparkSession, d: str) -> DataFrame:
-    return _out(run(spark, "seq=100k r-f=7 to_int sum"), "total")
+    return _long(_out(run(spark, "seq=100k r-f=7 to_int sum"), "total"), "total")
 
 
 @_query("SELECT count(*) n FROM events WHERE false")
@@ -345,7 +346,7 @@ def object_literal(spark: SparkSession, d: str) -> DataFrame:
 
 @_query("SELECT event_id, user_id + 5 AS v FROM events")
 def parse_literals(spark: SparkSession, d: str) -> DataFrame:
-    return _out(_p(spark, d, "events", "event_id", "user_id").format("{}").from_literal("bigint").compute("_ + 5"), "v", "event_id")
+    return _long(_out(_p(spark, d, "events", "event_id", "user_id").format("{}").from_literal("bigint").compute("_ + 5"), "v", "event_id"), "v")
 
 
 @_query("SELECT event_id, CAST(event_id AS DOUBLE) / 4 AS v FROM events")
@@ -353,6 +354,397 @@ def to_float_text(spark: SparkSession, d: str) -> DataFrame:
     return _out(_p(spark, d, "events", "event_id", "event_id").to_str().to_float().compute("_ / 4.0"), "v", "event_id")
 
 
+# Generators and literals
+
+
+@_query("SELECT c_custkey, i FROM customer, (SELECT unnest(range(1, 4)) i)")
+def seqn_cross(spark: SparkSession, d: str) -> DataFrame:
+    return _out(_p(spark, d, "customer", "c_custkey", None).seqn(3), "i", "c_custkey")
+
+
+@_query(_grouped("SELECT event_id, row_number() OVER (PARTITION BY k ORDER BY event_id) i FROM g QUALIFY i <= 7"))
+def enumn_groups(spark: SparkSession, d: str) -> DataFrame:
+    return _out(_p(spark, d, "events", "event_id", "event_id").chunks(50, O.enumn(7)), "i", "event_id")
+
+
+@_query("SELECT i, CASE WHEN i < 5 THEN i END n_nationkey FROM (SELECT unnest(range(0, 8)) i)")
+def enum_past_input(spark: SparkSession, d: str) -> DataFrame:
+    return _out(_p(spark, d, "nation", "n_nationkey", None).head(5).enum_unbounded(8), "i", "n_nationkey")
+
+
+@_query("SELECT CAST(p AS BIGINT) p FROM (SELECT unnest(range(2, 1000)) p) WHERE NOT EXISTS (SELECT 1 FROM (SELECT unnest(range(2, 32)) q) WHERE q < p AND p % q = 0)")
+def primes_head(spark: SparkSession, d: str) -> DataFrame:
+    return _out(run(spark, "primes nop head=168"), "p")
+
+
+@_query("SELECT * FROM (VALUES (0, 'null'), (1, 'undefined'), (2, 'error'), (3, 'bytes'), (4, 'float'), (5, 'bool'), (6, 'array'), (7, 'object'), (8, 'int'), (9, 'str')) t(i, kind)")
+def literal_kinds(spark: SparkSession, d: str) -> DataFrame:
+    words = "null next undefined next error=x next bytes=ab next v=1.5 next v=true next v=[1] next v={a:1} next int=3 next str=q".split(" next ")
+    return _out(run(spark, f"fc: {' typename next '.join(words)} typename end key=kind enum"), "i", "kind")
+
+
+@_query("SELECT n_nationkey, 'v' v FROM nation UNION ALL SELECT n_nationkey, 'v' FROM nation UNION ALL SELECT n_nationkey, 'v' FROM nation")
+def literal_copies(spark: SparkSession, d: str) -> DataFrame:
+    return _out(_p(spark, d, "nation", "n_nationkey", None).literal("v", 3), "v", "n_nationkey")
+
+
+# Naming and scope
+
+
+@_query("SELECT n_nationkey, n_name || ' in Rome' AS v FROM nation")
+def atom_format(spark: SparkSession, d: str) -> DataFrame:
+    return _out(_p(spark, d, "nation", "n_nationkey", "n_name").atom("city", "Rome").format("{} in {%city}"), "v", "n_nationkey")
+
+
+@_query("SELECT * FROM (VALUES ('bs', '42'), ('sbs', '8192'), ('city', 'Rome')) t(name, v)")
+def settings_read(spark: SparkSession, d: str) -> DataFrame:
+    each = ["%bs=42 str=bs key=name f={%bs}", "str=sbs key=name f={%sbs}", "[ atom city Rome ] str=city key=name f={%city}"]
+    frames = [_out(run(spark, c), "v", "name") for c in each]
+    return frames[0].union(frames[1]).union(frames[2])
+
+
+@_query("SELECT * FROM (VALUES ('text', CAST(90 AS BIGINT)), ('calls', 45)) t(name, v)")
+def macros(spark: SparkSession, d: str) -> DataFrame:
+    text = run(spark, "macro: doubled seq={arg} c=_*2 sum end str=text key=name doubled=10")
+    made = run(spark, ["macro:=ten", "v=[['seq', 10], ['sum']]", "end", "str=calls", "key=name", "ten"])
+    return _long(_out(text, "v", "name").union(_out(made, "v", "name")), "v")
+
+
+@_query("SELECT CAST(sum(n_nationkey * 2) AS BIGINT) v FROM nation")
+def call_label(spark: SparkSession, d: str) -> DataFrame:
+    return _long(_out(_p(spark, d, "nation", "n_nationkey", "n_nationkey").define("twice", O.compute("_ * 2"), O.sum_()).call("twice"), "v"), "v")
+
+
+@_query("SELECT CAST(10 + 45 AS BIGINT) v")
+def session_last(spark: SparkSession, d: str) -> DataFrame:
+    s = Session(spark)
+    s.run("seq=10 sum")
+    return _long(_out(s.run("_ c='_+10'"), "v"), "v")
+
+
+@_query("SELECT event_id, 'undefined' AS a, 'int' AS b FROM events")
+def select_unknown(spark: SparkSession, d: str) -> DataFrame:
+    return _out(_p(spark, d, "events", "event_id", None, "user_id").select("nothing").typename().key("a").select("user_id").nop().typename(), "b", "event_id", "a")
+
+
+@_query("SELECT 'sum' AS what, CAST(sum(user_id) AS BIGINT) v FROM events UNION ALL SELECT 'count', count(*) FROM events UNION ALL SELECT 'max', max(user_id) FROM events")
+def fork_three(spark: SparkSession, d: str) -> DataFrame:
+    start = _p(spark, d, "events", "event_id", "user_id")
+    got = [_long(_out(p, "v"), "v").select(F.lit(n).alias("what"), "v") for n, p in zip(("sum", "count", "max"), run_fork(spark, "fork: sum next count next max end", start), strict=True)]
+    return got[0].union(got[1]).union(got[2])
+
+
+# Fan-in in groups
+
+
+@_query("SELECT * FROM (VALUES (0, CAST(0 AS BIGINT)), (1, 1), (2, 9)) t(i, v)")
+def aggregate_head_sum(spark: SparkSession, d: str) -> DataFrame:
+    return _long(_out(run(spark, "seq=5 aggregate: head=2 next sum end key=v enum"), "i", "v"), "v")
+
+
+@_query(_grouped("SELECT min(event_id) event_id, CAST(coalesce(sum(user_id) FILTER (WHERE r >= 3), max(user_id) FILTER (WHERE r = n - 1)) AS BIGINT) v FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY event_id) - 1 r, count(*) OVER (PARTITION BY k) n FROM g) GROUP BY k"))
+def aggregate_in_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Of each chunk the sum of what is left after three; the last record again where nothing is."""
+    p = _p(spark, d, "events", "event_id", "user_id").chunks(50, O.key("u"), O.aggregate(O.chain(O.head(3), O.drop()), O.sum_()), O.key("v"), O.head(1))
+    firsts = _p(spark, d, "events", "event_id", "event_id").chunks(50, O.head(1)).enum().to_dataframe("k")
+    return _long(p.enum().to_dataframe("k").select("k", "v").join(firsts.select("k", "event_id"), "k").select("event_id", "v"), "v")
+
+
+@_query("SELECT CAST(row_number() OVER (ORDER BY c, b, i) - 1 AS BIGINT) AS at, v FROM (SELECT n_nationkey // 4 c, 0 b, n_nationkey i, n_name v FROM nation UNION ALL SELECT n_nationkey // 4, 1, n_nationkey, '-' FROM nation)")
+def forkcat_in_groups(spark: SparkSession, d: str) -> DataFrame:
+    p = _p(spark, d, "nation", "n_nationkey", "n_name").chunks(4, O.forkcat(O.nop(), O.literal("-")))
+    return _out(p.key("v").enum(), "at", "v")
+
+
+@_query("SELECT CAST(i AS BIGINT) AS at, v FROM (VALUES (0, '0'), (1, '1'), (2, 'x'), (3, 'x'), (4, '2'), (5, 'x'), (6, '0'), (7, '1'), (8, 'x'), (9, 'x'), (10, '2'), (11, 'x')) t(i, v)")
+def forkcat_nested(spark: SparkSession, d: str) -> DataFrame:
+    return _out(run(spark, "seq=2 fe: seq=3 chunks=2: forkcat: nop next str=x end end end key=v enum"), "at", "v")
+
+
+@_query(_grouped("SELECT min(event_id) event_id, string_agg(event_type, ',' ORDER BY event_id) types FROM (SELECT *, (row_number() OVER (PARTITION BY k ORDER BY event_id) - 1) // 7 j FROM g) GROUP BY k, j"))
+def join_bounded(spark: SparkSession, d: str) -> DataFrame:
+    return _out(_p(spark, d, "events", "event_id", "event_type").chunks(50, O.join(",", 7)), "types", "event_id")
+
+
+@_query(_grouped("SELECT min(event_id) event_id, string_agg(event_type, '' ORDER BY event_id) types FROM (SELECT *, (row_number() OVER (PARTITION BY k ORDER BY event_id) - 1) // 7 j FROM g) GROUP BY k, j HAVING count(*) = 7"))
+def join_drop_incomplete(spark: SparkSession, d: str) -> DataFrame:
+    return _out(_p(spark, d, "events", "event_id", "event_type").chunks(50, O.join("", 7, drop_incomplete=True)), "types", "event_id")
+
+
+# Regular expressions
+
+
+def _matches(flags: str, pattern: str) -> str:
+    return f"SELECT doc_id, count(*) n FROM (SELECT doc_id, unnest(regexp_extract_all(text, '{flags}{pattern}')) m FROM documents) GROUP BY doc_id"
+
+
+def _counted(spark: SparkSession, d: str, pattern: str, **flags: bool) -> DataFrame:
+    return _p(spark, d, "documents", "doc_id", "text").regex(pattern, multi=True, **flags).to_dataframe("m").groupBy("doc_id").agg(F.count("*").alias("n"))
+
+
+@_query(_matches("(?m)", "^[A-Z][a-z]+"))
+def regex_line_mode(spark: SparkSession, d: str) -> DataFrame:
+    return _counted(spark, d, "^[A-Z][a-z]+", lines=True)
+
+
+@_query(_matches("(?s)", "[.].[A-Z]"))
+def regex_dot_all(spark: SparkSession, d: str) -> DataFrame:
+    return _counted(spark, d, "[.].[A-Z]", dot_all=True)
+
+
+@_query(_matches("", r"\w+"))
+def regex_ascii(spark: SparkSession, d: str) -> DataFrame:
+    return _counted(spark, d, r"\w+", ascii_only=True)
+
+
+@_query(_matches("", r"[\p{L}\p{M}\p{Nd}\p{Pc}]+"))
+def regex_unicode(spark: SparkSession, d: str) -> DataFrame:
+    return _counted(spark, d, r"\w+")
+
+
+@_query("SELECT event_id, CASE WHEN event_type[1] = 'c' THEN 'c' END AS first, '' AS none, substr(event_type, CASE WHEN event_type[1] = 'c' THEN 2 ELSE 1 END, 1) AS next FROM events")
+def regex_unmatched_groups(spark: SparkSession, d: str) -> DataFrame:
+    p = _p(spark, d, "events", "event_id", "event_type").regex("^(?<first>c)?(?<none>0*)(?<next>[a-z])")
+    return p.to_dataframe("m").select("event_id", "first", "none", "next")
+
+
+# Formats
+
+
+@_query("SELECT event_id, s[1] || CASE WHEN rtrim(s[2:], '0') <> '' THEN '.' || rtrim(s[2:], '0') ELSE '' END || 'e' || (length(s) - 1) AS a, s[1] || CASE WHEN rtrim(s[2:], '0') <> '' THEN '.' || rtrim(s[2:], '0') ELSE '' END || 'E' || (length(s) - 1) AS b FROM (SELECT event_id, CAST(event_id + 1 AS VARCHAR) s FROM events)")
+def format_scientific(spark: SparkSession, d: str) -> DataFrame:
+    return _out(_p(spark, d, "events", "event_id", "event_id").compute("event_id + 1").key("n").format("{n:e}").key("a").format("{n:E}"), "b", "event_id", "a")
+
+
+@_query("SELECT event_id, bin(user_id) AS a, '0b' || bin(user_id) AS b FROM events")
+def format_binary(spark: SparkSession, d: str) -> DataFrame:
+    return _out(_p(spark, d, "events", "event_id", "user_id").format("{user_id:b}").key("a").format("{user_id:0b}"), "b", "event_id", "a")
+
+
+@_query("SELECT event_id, printf('%.3f', value) AS a, CASE WHEN user_id % 2 = 0 THEN printf('%.2f', value) ELSE printf('%.3f', value) END AS b FROM events")
+def format_precision(spark: SparkSession, d: str) -> DataFrame:
+    p = _p(spark, d, "events", "event_id", None, "value", "user_id").compute("2 + user_id % 2").key("p").format("{value:.3}").key("a").format("{value:.p$}")
+    return _out(p, "b", "event_id", "a")
+
+
+@_query("SELECT event_id, CASE WHEN user_id % 2 = 0 THEN NULL ELSE 'n=' || (1000 // (user_id % 2)) END AS v, CASE WHEN user_id % 2 = 0 THEN 'Division by Zero' END AS error FROM events")
+def format_errors(spark: SparkSession, d: str) -> DataFrame:
+    p = _p(spark, d, "events", "event_id", "user_id").compute("1000 / (_ % 2)").format("n={}")
+    return p.to_dataframe("v", error=True).select("event_id", "v", "error")
+
+
+@_query("SELECT event_id, '{a:' || user_id || ',b:[1,2]}' AS a, '{a: ' || user_id || ', b: [1, 2]}' AS b FROM events")
+def format_compact(spark: SparkSession, d: str) -> DataFrame:
+    return _out(_p(spark, d, "events", "event_id", None, "user_id").compute("{a: user_id, b: [1, 2]}").key("o").format("{o:##?}").key("a").format("{o:??}"), "b", "event_id", "a")
+
+
+# Expressions
+
+
+@_query("SELECT event_id, user_id & 7 AS a, user_id | 8 AS o, xor(user_id, 5) AS x, user_id << 2 AS l, user_id >> 1 AS r FROM events")
+def compute_bits(spark: SparkSession, d: str) -> DataFrame:
+    p = _p(spark, d, "events", "event_id", None, "user_id")
+    for name, e in (("a", "user_id & 7"), ("o", "user_id | 8"), ("x", "user_id ^ 5"), ("l", "user_id << 2")):
+        p = p.compute(e).key(name)
+    return _out(p.compute("user_id >> 1"), "r", "event_id", "a", "o", "x", "l")
+
+
+@_query("SELECT event_id, event_id > 0 AS more, event_id = 0 AS same FROM events")
+def compute_exact_comparison(spark: SparkSession, d: str) -> DataFrame:
+    """Past 2^53, where a double can't tell neighbours apart."""
+    p = _p(spark, d, "events", "event_id", "event_id").compute("event_id + 9007199254740992").key("n").compute("n > 9007199254740992.0").key("more")
+    return _out(p.compute("n == 9007199254740992.0"), "same", "event_id", "more")
+
+
+@_query("SELECT event_id, CAST(CAST(user_id AS HUGEINT) * 9223372036854775807 AS VARCHAR) v FROM events")
+def compute_promote(spark: SparkSession, d: str) -> DataFrame:
+    return _out(_p(spark, d, "events", "event_id", "user_id").compute("_ * 9223372036854775807").to_str(), "v", "event_id")
+
+
+@_query(f"SELECT p_partkey, CAST({' * '.join(['CAST(p_size AS HUGEINT)'] * 19)} AS VARCHAR) v FROM part")
+def compute_power(spark: SparkSession, d: str) -> DataFrame:
+    return _out(_p(spark, d, "part", "p_partkey", "p_size").compute("_ ** 19").to_str(), "v", "p_partkey")
+
+
+@_query("SELECT event_id, CAST(user_id AS HUGEINT) * 9223372036854775807 // 1000 % 1000003 AS v FROM events")
+def compute_big_division(spark: SparkSession, d: str) -> DataFrame:
+    return _long(_out(_p(spark, d, "events", "event_id", "user_id").compute("(_ * 9223372036854775807) / 1000 % 1000003"), "v", "event_id"), "v")
+
+
+@_query("SELECT event_id, user_id + 1 AS a, user_id + 5 AS b FROM events")
+def compute_member(spark: SparkSession, d: str) -> DataFrame:
+    p = _p(spark, d, "events", "event_id", None, "user_id").compute("{a: {b: user_id}}").compute("_.a.b + 1").key("a").compute("[user_id, 5][1] + user_id")
+    return _long(_out(p, "b", "event_id", "a"), "a", "b")
+
+
+@_query("SELECT event_id, '[null, ' || user_id || ']' AS a, '[\"' || event_type || '\", ' || user_id || ']' AS b FROM events")
+def compute_mixed_array(spark: SparkSession, d: str) -> DataFrame:
+    p = _p(spark, d, "events", "event_id", None, "user_id", "event_type").compute("[null, user_id]").to_str().key("a").compute("[event_type, user_id]")
+    return _out(p.to_str(), "b", "event_id", "a")
+
+
+@_query("SELECT event_id, user_id AS v FROM events")
+def compute_dynamic_key(spark: SparkSession, d: str) -> DataFrame:
+    return _out(_p(spark, d, "events", "event_id", None, "user_id", "event_type").compute("{[event_type]: user_id, 'other': 0}[event_type]"), "v", "event_id")
+
+
+@_query("SELECT event_id, 'invalid operands for binary op: `str` * `int`' AS error FROM events")
+def compute_wrong_operand(spark: SparkSession, d: str) -> DataFrame:
+    return _p(spark, d, "events", "event_id", "event_type").compute("_ * 2").to_dataframe("v", error=True).select("event_id", "error")
+
+
+@_query("SELECT event_id, -value AS f, NOT (user_id > 5) AS b, CAST(-CAST(user_id AS HUGEINT) * 9223372036854775807 AS VARCHAR) AS big, ~user_id AS bits FROM events")
+def compute_unary(spark: SparkSession, d: str) -> DataFrame:
+    p = _p(spark, d, "events", "event_id", None, "value", "user_id").compute("-value").key("f").compute("!(user_id > 5)").key("b")
+    return _out(p.compute("-(user_id * 9223372036854775807)").to_str().key("big").compute("~user_id"), "bits", "event_id", "f", "b", "big")
+
+
+@_query("SELECT * FROM (VALUES ('nope(1)', 'unknown function nope()'), ('int(1, 2)', 'int() takes one argument, got 2')) t(code, refused)")
+def compute_refusals(spark: SparkSession, d: str) -> DataFrame:
+    """An unknown function and a wrong number of arguments are refused before anything runs."""
+    rows = []
+    for code in ("nope(1)", "int(1, 2)"):
+        try:
+            Pipeline(spark).compute(code)
+        except ValueError as e:
+            rows.append((code, str(e)))
+    return spark.createDataFrame(rows, "code string, refused string")
+
+
+# Values of several kinds
+
+
+@_query("SELECT greatest(max(user_id + 1), max(value + 1)) AS v FROM events")
+def flatten_mixed_max(spark: SparkSession, d: str) -> DataFrame:
+    p = _p(spark, d, "events", "event_id", None, "user_id", "event_type", "value").compute("[user_id, event_type, value]").flatten()
+    return _out(p.compute("_ + 1").eliminate_errors().max().to_float(), "v")
+
+
+@_query("SELECT * FROM (VALUES (0, 'int', '1'), (1, 'str', 'a'), (2, 'float', '2.5'), (3, 'null', 'null'), (4, 'bool', 'true'), (5, 'array', '[1, \"b\"]')) t(i, kind, v)")
+def typename_by_value(spark: SparkSession, d: str) -> DataFrame:
+    p = run(spark, ["v=[1, 'a', 2.5, null, true, [1, 'b']]", "flatten", "key=x", "typename@kind", "select=x", "f={:?}", "key=y", "enum"])
+    return _out(p, "i", "kind", "y").select("i", "kind", F.regexp_replace("y", '^"(.*)"$', "$1").alias("v"))
+
+
+@_query("SELECT CAST(sum(CAST(value AS DECIMAL(38,12))) + sum(user_id) AS DOUBLE) AS v FROM events")
+def sum_mixed(spark: SparkSession, d: str) -> DataFrame:
+    return _out(_p(spark, d, "events", "event_id", None, "user_id", "value").compute("[user_id, 0.5]").forkcat(O.chain(O.select("user_id")), O.select("value")).sum().to_float(), "v")
+
+
+# Sums and means at the edges
+
+
+@_query("SELECT CAST(sum(CAST(user_id AS HUGEINT) * 9223372036854775807) AS VARCHAR) v FROM events")
+def sum_overflow(spark: SparkSession, d: str) -> DataFrame:
+    return _out(_p(spark, d, "events", "event_id", "user_id").compute("_ * 9223372036854775807").sum().to_str(), "v")
+
+
+@_query("SELECT * FROM (VALUES ('huge', 2e300), ('tiny', 2e-15), ('cancelled', 1.0), ('infinite', CAST('inf' AS DOUBLE)), ('least', 1.5e-323), ('wide', 1e17 + 2)) t(name, v)")
+def sum_edges(spark: SparkSession, d: str) -> DataFrame:
+    cases = {"huge": [1e300, 1e300], "tiny": [1e-15, 1e-15], "cancelled": [1e300, 1.0, -1e300], "infinite": [1.0, float("inf")], "least": [5e-324, 5e-324, 5e-324], "wide": [1e17, 1.0, 1.0]}
+    frames = [Pipeline.from_values(spark, v).sum().to_dataframe("v").select(F.lit(n).alias("name"), "v") for n, v in cases.items()]
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.union(f)
+    return out
+
+
+@_query("SELECT CAST(s // n AS DOUBLE) + CAST(s % n AS DOUBLE) / n AS v FROM (SELECT sum(CAST(user_id AS HUGEINT) * 1000000007) s, count(*) n FROM events)")
+def avg_exact(spark: SparkSession, d: str) -> DataFrame:
+    return _out(_p(spark, d, "events", "event_id", "user_id").compute("_ * 1000000007").avg(), "v")
+
+
+@_query(_grouped("SELECT min(event_id) event_id, CAST(sum(CAST(value AS DECIMAL(38,12))) AS DOUBLE) / count(*) AS v FROM g GROUP BY k"))
+def avg_in_groups(spark: SparkSession, d: str) -> DataFrame:
+    return _out(_p(spark, d, "events", "event_id", "value").chunks(50, O.avg()), "v", "event_id")
+
+
+# Sources and sinks
+
+
+def _events(spark: SparkSession, d: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/events.parquet").select("event_id", "user_id", "event_type", "value")
+
+
+@_query("SELECT event_id, user_id, event_type, CAST(value AS VARCHAR) v FROM events")
+def csv_scan(spark: SparkSession, d: str) -> DataFrame:
+    path = new_path(spark, "csv")
+    _events(spark, d).select("event_id", "user_id", "event_type", F.col("value").cast("string").alias("v")).repartition(3).write.option("header", True).csv(path)
+    return Pipeline.csv(spark, path, header=True).to_dataframe("none").select("event_id", "user_id", "event_type", "v")
+
+
+@_query("SELECT n_nationkey, n_name || chr(10) || '\"' || n_name || '\", x' AS cell FROM nation")
+def csv_quoted(spark: SparkSession, d: str) -> DataFrame:
+    """Cells with line feeds, quotes and separators."""
+    path = new_path(spark, "csv")
+    cell = F.concat("n_name", F.lit('\n"'), "n_name", F.lit('", x'))
+    spark.read.parquet(f"{d}/nation.parquet").select("n_nationkey", cell.alias("cell")).coalesce(1).write.option("escape", '"').csv(path)
+    return Pipeline.csv(spark, path).to_dataframe("none").select(F.col("0").alias("n_nationkey"), F.col("1").alias("cell"))
+
+
+@_query("SELECT event_id, '\"' || event_type || '\"' AS a, user_id AS b FROM events")
+def csv_raw(spark: SparkSession, d: str) -> DataFrame:
+    path = new_path(spark, "csv")
+    line = F.concat_ws(";", F.col("event_id"), F.concat(F.lit('"'), "event_type", F.lit('"')), F.col("user_id"))
+    _events(spark, d).select(line.alias("line")).write.text(path)
+    p = Pipeline.csv(spark, path, raw=True, sep=";").to_dataframe("none")
+    return p.select(F.col("0").alias("event_id"), F.col("1").alias("a"), F.col("2").alias("b"))
+
+
+@_query("SELECT event_id, user_id, event_type, value FROM events")
+def jsonl_scan(spark: SparkSession, d: str) -> DataFrame:
+    path = new_path(spark, "jsonl")
+    _events(spark, d).repartition(3).write.json(path)
+    return Pipeline.jsonl(spark, path).to_dataframe("none").select("event_id", "user_id", "event_type", F.col("value").cast("double").alias("value"))
+
+
+@_query("SELECT * FROM (VALUES (0, 'str', 'a'), (1, 'int', '42'), (2, 'error', 'ERROR'), (3, 'null', 'null')) t(i, kind, v)")
+def jsonl_kinds(spark: SparkSession, d: str) -> DataFrame:
+    path = new_path(spark, "jsonl")
+    spark.createDataFrame([('"a"',), ("42",), ("{",), ("null",)], "line string").coalesce(1).write.text(path)
+    p = Pipeline.jsonl(spark, path, use_null=True).key("x").typename().key("kind").select("x").format("{:?}").key("v").enum()
+    return _out(p, "i", "kind", "v").select("i", "kind", F.when(F.col("kind") == "error", F.lit("ERROR")).otherwise(F.regexp_replace("v", '"', "")).alias("v"))
+
+
+@_query("SELECT CAST(event_id AS BIGINT) AS i, event_type AS line FROM events")
+def file_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Lines keep their order over the files of a folder."""
+    path = new_path(spark, "lines")
+    _events(spark, d).repartitionByRange(4, "event_id").sortWithinPartitions("event_id").select("event_type").write.text(path)
+    return _out(Pipeline.text_lines(spark, path).key("line").enum(), "i", "line")
+
+
+@_query("SELECT string_agg(event_type || chr(10), '' ORDER BY event_id) AS v FROM events")
+def file_whole(spark: SparkSession, d: str) -> DataFrame:
+    path = new_path(spark, "lines")
+    _events(spark, d).coalesce(1).sortWithinPartitions("event_id").select("event_type").write.text(path)
+    return _out(run(spark, f"file={path}"), "v")
+
+
+@_query("SELECT i, CAST(i * i AS VARCHAR) v FROM (SELECT unnest(range(0, 20)) i) WHERE i % 5 <> 0")
+def print_file(spark: SparkSession, d: str) -> DataFrame:
+    path = new_path(spark, "printed")
+    run(spark, ["seq=20", "c=if _ % 5 != 0 { _ * _ }", f"[", "print", path, "-n", "]"])
+    return spark.read.text(path).select(F.sqrt(F.col("value").cast("double")).cast("long").alias("i"), F.col("value").alias("v"))
+
+
+@_query("SELECT page_id, unnest(regexp_extract_all(html, '<a [^>]*href=\"([^\"]*)\"', 1)) link FROM pages")
+def xpath_links(spark: SparkSession, d: str) -> DataFrame:
+    return _out(_p(spark, d, "pages", "page_id", "html").xpath("//a/@href"), "link", "page_id")
+
+
+@_query("SELECT event_id, user_id * 2 AS v FROM events WHERE regexp_matches(CAST(user_id AS VARCHAR), '[13579]$')")
+def stream_chain(spark: SparkSession, d: str) -> DataFrame:
+    """A stateless chain over a stream of the table's files."""
+    folder, path = new_path(spark, "stream-in"), new_path(spark, "stream-out")
+    _events(spark, d).write.parquet(folder)
+    src = spark.readStream.schema("event_id long, user_id long, event_type string, value double").parquet(folder)
+    out = on_stream(src, "event_id", "user_id", O.regex("[13579]$", full=True), O.to_int_(), O.compute("_ * 2"))
+    writing = out.select(F.element_at("order", 1).alias("event_id"), F.col("value").cast("long").alias("v")).writeStream.format("parquet")
+    writing.option("path", path).option("checkpointLocation", f"{path}-state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("event_id long, v long").parquet(path)
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 

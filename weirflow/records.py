@@ -7,6 +7,7 @@ order key (children append to their parent's); `_g1`, `_g2`, ... the key of each
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 from typing import Any
@@ -15,9 +16,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weirflow.functions.expressions import Value, kind_of
+from weirflow.functions.expressions import Value, as_variant, typed_value
 
 ORDER, VALUE, ERROR = "_o", "_v", "_e"
+#: Order keys sampled for each piece that the root stream is cut into for ranking.
+SAMPLED = 64
+#: Pieces at most, as their cuts are part of the plan.
+MOST_PIECES = 512
 
 
 @dataclass(frozen=True)
@@ -47,9 +52,9 @@ class Stream:
     def lookup(self, name: str) -> Value | None:
         """A column by name; `_` is the current one."""
         if name == "_":
-            return Value(F.col(VALUE), "undefined" if self.undefined else kind_of(self.type_of(VALUE)), F.col(ERROR))
+            return Value(F.col(VALUE), "undefined", F.col(ERROR)) if self.undefined else typed_value(F.col(VALUE), self.type_of(VALUE), F.col(ERROR))
         col = self.names.get(name)
-        return None if col is None else Value(F.col(f"`{col}`"), kind_of(self.type_of(col)))
+        return None if col is None else typed_value(F.col(f"`{col}`"), self.type_of(col))
 
     def with_value(self, value: Column, error: Column | None = None, keep_error: bool = True) -> Stream:
         """A new current value. Errors of the old one pass on."""
@@ -79,17 +84,30 @@ class Stream:
         order = F.col(ORDER).desc() if descending else F.col(ORDER)
         return Window.partitionBy(*self.groups).orderBy(order)
 
+    def starts(self) -> Column:
+        """What leads the order key of records that a body makes for a group: the keys of all open groups, outermost first."""
+        return F.concat(F.array().cast("array<bigint>"), *[F.col(g) for g in self.groups])
+
     def ranked(self, name: str, descending: bool = False) -> Stream:
-        """Adds the place of each record in its group, from 0. The root group is cut at quantiles of its first order key, ranked
-        piece by piece, and shifted by the counts of the pieces before, so no task sees the whole stream. The cuts are
-        literals: every evaluation of the plan, in whichever task, cuts alike."""
+        """Adds the place of each record in its group, from 0. The root group is cut at quantiles of its order key, taken from a
+        bounded sample by hash, ranked piece by piece, and shifted by the counts of the pieces before, so no task sees the whole
+        stream. The cuts are literals: every evaluation of the plan, in whichever task, cuts alike. The sample is a job that runs
+        when the plan is built."""
         if self.groups:
             return replace(self, df=self.df.withColumn(name, (F.row_number().over(self.window(descending)) - 1).cast("long")))
-        first, pieces = F.element_at(ORDER, 1), int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        at = [(i + 1) / pieces for i in range(pieces - 1)]
-        cuts = self.df.agg(F.percentile_approx(first, at or [0.5]).alias("c")).collect()[0]["c"] or [0]
-        literals = F.array(*[F.lit(c).cast("long") for c in sorted(set(cuts))])
-        cut = self.df.withColumn("_p", F.size(F.filter(literals, lambda c: c < first)))
+        pieces = min(MOST_PIECES, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
+        seen = [r[ORDER] for r in self.df.select(ORDER).orderBy(F.xxhash64(ORDER)).limit(SAMPLED * pieces).collect()]
+        seen.sort()
+        cuts = sorted({tuple(seen[len(seen) * (i + 1) // pieces]) for i in range(pieces - 1)}) if seen else []
+
+        def piece(low: int, high: int) -> Column:
+            """The number of cuts before a record, by halving."""
+            if low == high:
+                return F.lit(low)
+            mid = (low + high) // 2
+            return F.when(F.array(*[F.lit(x).cast("long") for x in cuts[mid]]) < F.col(ORDER), piece(mid + 1, high)).otherwise(piece(low, mid))
+
+        cut = self.df.withColumn("_p", piece(0, len(cuts)))
         order = Window.orderBy(F.col("_p").desc() if descending else F.col("_p")).rowsBetween(Window.unboundedPreceding, -1)
         before = F.coalesce(F.sum("_n").over(order), F.lit(0))
         starts = cut.groupBy("_p").agg(F.count("*").alias("_n")).withColumn("_before", before).drop("_n")
@@ -119,17 +137,21 @@ def empty_start(spark: SparkSession) -> Stream:
 
 
 def from_values(spark: SparkSession, values: list, kind: str | None = None) -> Stream:
-    """A stream of Python values of one type (null values allowed)."""
+    """A stream of Python values (null values allowed); values of several types keep their kinds, as VARIANT."""
     types = {bool: "boolean", int: "bigint", float: "double", str: "string", bytes: "binary"}
-    some = next((v for v in values if v is not None), "")
-    kind = kind or (types.get(type(some)) or "string")
-    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], f"_i bigint, {VALUE} {kind}")
+    kinds = {type(v) for v in values if v is not None}
+    if kind is None and (len(kinds) > 1 or kinds & {list, dict}):
+        rows = spark.createDataFrame([(i, None if v is None else json.dumps(v)) for i, v in enumerate(values)], "_i bigint, _j string")
+        df = rows.select("_i", F.parse_json("_j").alias(VALUE))
+    else:
+        kind = kind or types.get(next(iter(kinds), str), "string")
+        df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], f"_i bigint, {VALUE} {kind}")
     return Stream(df.select(F.array("_i").alias(ORDER), VALUE, F.lit(None).cast("string").alias(ERROR)))
 
 
 def union(streams: list[Stream], key: Callable[[int, Stream], Column]) -> Stream:
     """Streams one after another, by the order key that `key` gives. Where current values or named columns differ in type
-    they become strings; a column that a stream lacks is null there."""
+    they become VARIANT, which keeps the kind of each; a column that a stream lacks is null there."""
     names: dict[str, str] = {}
     for s in streams:
         for n in s.names:
@@ -137,20 +159,20 @@ def union(streams: list[Stream], key: Callable[[int, Stream], Column]) -> Stream
     frames, groups = streams[0].frames, streams[0].groups
     kinds = {c: {s.type_of(s.names[n]) for s in streams if n in s.names} for n, c in names.items()}
     values = {s.type_of(VALUE) for s in streams if not isinstance(s.type_of(VALUE), T.NullType) and not s.undefined}
-    as_text = len(values) > 1
+    mixed = len(values) > 1
     out = None
     for i, s in enumerate(streams):
         v = F.col(VALUE)
-        if as_text:
-            from weirflow.functions.formats import show
-
-            v = show(Value(v, kind_of(s.type_of(VALUE)))) if not s.undefined else v.cast("string")
+        if mixed:
+            v = as_variant(typed_value(v, s.type_of(VALUE))) if not s.undefined else F.lit(None).cast("variant")
         elif values and s.undefined:
             v = F.lit(None).cast(next(iter(values)))
         cols = []
         for n, c in names.items():
             x = F.col(f"`{s.names[n]}`") if n in s.names else F.lit(None)
-            cols.append((x.cast("string") if len(kinds[c]) > 1 else x.cast(next(iter(kinds[c])))).alias(c))
+            if len(kinds[c]) > 1:
+                x = as_variant(typed_value(x, s.type_of(s.names[n]))) if n in s.names else x.cast("variant")
+            cols.append((x if len(kinds[c]) > 1 else x.cast(next(iter(kinds[c])))).alias(c))
         df = s.df.select(key(i, s).alias(ORDER), *groups, v.alias(VALUE), ERROR, *cols)
         out = df if out is None else out.unionByName(df)
     return Stream(out, names, frames, streams[0].atoms, all(s.undefined for s in streams))
