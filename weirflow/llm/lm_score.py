@@ -2,8 +2,9 @@
 
 Word counts of all training documents make the vocabulary: the HEAD most frequent words are predicted one by one, in
 classes of CLASS by frequency; all others by their orthographic bucket and, in that, by their smoothed share of its count.
-A GRU carries its state through a whole document; it is trained by truncated backpropagation in numpy, each task on its
-own documents, and the tasks' weights are averaged after each round.
+A GRU carries its state through a whole document; it is trained by truncated backpropagation in numpy. Training documents are
+dealt to groups by a hash of their text, so what the model learns doesn't follow the partitions of its input; each group's
+weights and optimiser sums are averaged with the others' after each round.
 """
 
 from __future__ import annotations
@@ -21,13 +22,15 @@ from pyspark.sql import functions as F
 
 from weirflow.llm.common import save, session, table, tidy
 
-HEAD, CLASS, BUCKETS = 2048, 32, 32
+HEAD, CLASS, BUCKETS = 2048, 64, 32
 EMBED, HIDDEN = 24, 32
 CLASSES = HEAD // CLASS + BUCKETS
 #: Words whose counts are broadcast; the counts of rarer ones are joined.
 KNOWN = 1 << 16
-#: Lanes and steps of a training window, and rounds, which deal all of a task's documents among them.
-LANES, STEPS, ROUNDS, RATE = 128, 16, 2, 0.07
+#: Lanes and steps of a training window, and rounds, which deal all of a group's documents among them.
+LANES, STEPS, ROUNDS, RATE = 256, 16, 4, 0.05
+#: Bytes of text of a training group, about.
+GROUP_BYTES = 1 << 24
 #: Tokens after which training starts a long document's next piece with a fresh state, so that no lane outlasts the others.
 PIECE = 1024
 #: Lanes and steps when scoring, and tokens that a task scores together.
@@ -143,85 +146,126 @@ def unpack_weights(data: bytes) -> dict[str, np.ndarray]:
     return out
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
-
-
-def forward(p: dict, table_: np.ndarray, ids: np.ndarray, fresh: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, list]:
+def forward(p: dict, table_: np.ndarray, ids: np.ndarray, fresh: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, tuple]:
     """States after each step, (steps, lanes, HIDDEN), and what backward needs. ids: inputs; fresh: where a document starts."""
-    n, out, tape = HIDDEN, np.empty((*ids.shape, HIDDEN), dtype=np.float32), []
-    wh = p["Wh"]
+    n, wh, x = HIDDEN, p["Wh"], table_[ids]
+    was = np.empty((*ids.shape, n), dtype=x.dtype)
+    out, us = np.empty_like(was), np.empty_like(was)
+    starts = fresh.any(axis=1)
     for t in range(len(ids)):
-        h = h * ~fresh[t][:, None]
-        x, u = table_[ids[t]], h @ wh
-        zr = _sigmoid(x[:, : 2 * n] + u[:, : 2 * n])
-        z, r = zr[:, :n], zr[:, n:]
-        c = np.tanh(x[:, 2 * n :] + r * u[:, 2 * n :])
-        tape.append((h, z, r, c, u[:, 2 * n :]))
-        h = c + z * (h - c)
+        if starts[t]:
+            h = h * ~fresh[t][:, None]
+        was[t] = h
+        u = h @ wh
+        gates, c = x[t][:, : 2 * n], x[t][:, 2 * n :]
+        gates += u[:, : 2 * n]
+        np.negative(gates, out=gates)
+        np.exp(gates, out=gates)
+        gates += 1
+        np.reciprocal(gates, out=gates)
+        us[t] = u[:, 2 * n :]
+        c += gates[:, n:] * us[t]
+        np.tanh(c, out=c)
+        h = c + gates[:, :n] * (h - c)
         out[t] = h
-    return out, tape
-
-
-def log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(axis=1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
+    return out, (was, us, x, starts)
 
 
 def class_of(ids: np.ndarray) -> np.ndarray:
     return np.where(ids < HEAD, ids // CLASS, ids - HEAD + HEAD // CLASS)
 
 
+def _by_class(k: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, slice]]]:
+    """(places of head words in order of their class k, for each class found its range of that order and its rows of O)."""
+    order = np.argsort(k, kind="stable")
+    ends = np.searchsorted(k[order], np.arange(HEAD // CLASS + 1))
+    found = np.flatnonzero(np.diff(ends))
+    return order[: ends[-1]], [(ends[c], ends[c + 1], slice(c * CLASS, (c + 1) * CLASS)) for c in found]
+
+
+def _log_chosen(x: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Log softmax of each row at its chosen place; x is used up."""
+    x -= x.max(axis=1, keepdims=True)
+    chosen = x[np.arange(len(at)), at]
+    np.exp(x, out=x)
+    return chosen - np.log(x.sum(axis=1))
+
+
 def log_probs(p: dict, hs: np.ndarray, target: np.ndarray) -> np.ndarray:
     """Natural log of P(class) x P(word | class) of head words, of P(bucket) of others. hs: (n, HIDDEN)."""
     k = class_of(target)
-    out = log_softmax(hs @ p["C"] + p["cb"])[np.arange(len(k)), k]
-    order = np.argsort(k, kind="stable")
-    ends = np.searchsorted(k[order], np.arange(HEAD // CLASS + 1))
-    for c in np.flatnonzero(np.diff(ends)):
-        at, rows = order[ends[c] : ends[c + 1]], slice(c * CLASS, (c + 1) * CLASS)
-        out[at] += log_softmax(hs[at] @ p["O"][rows].T + p["ob"][rows])[np.arange(len(at)), target[at] - c * CLASS]
+    x = hs @ p["C"]
+    x += p["cb"]
+    out = _log_chosen(x, k)
+    order, found = _by_class(k)
+    hso, to, more = hs[order], target[order] % CLASS, np.empty(len(order), dtype=out.dtype)
+    for a, b, rows in found:
+        e = hso[a:b] @ p["O"][rows].T
+        e += p["ob"][rows]
+        more[a:b] = _log_chosen(e, to[a:b])
+    out[order] += more
     return out
 
 
+def _softmax(x: np.ndarray) -> np.ndarray:
+    x -= x.max(axis=1, keepdims=True)
+    np.exp(x, out=x)
+    x /= x.sum(axis=1, keepdims=True)
+    return x
+
+
 def gradients(p: dict, ids: np.ndarray, target: np.ndarray, fresh: np.ndarray, live: np.ndarray, h: np.ndarray) -> tuple[dict, np.ndarray]:
-    """Gradients of the mean cross-entropy of one window, and the state after it."""
-    n = HIDDEN
-    g = {k: np.zeros(s, dtype=np.float32) for k, s in SHAPES.items()}
-    out, tape = forward(p, p["E"] @ p["Wx"] + p["b"], ids, fresh, h)
-    hs, tg, on = out.reshape(-1, n), target.ravel(), live.ravel().astype(np.float32) / max(1, live.sum())
+    """Gradients of the mean cross-entropy of one window, and the state after it. "E" is (words, gradients of their rows)."""
+    n, g, kind = HIDDEN, {}, p["E"].dtype
+    out, (was, us, dx, starts) = forward(p, p["E"] @ p["Wx"] + p["b"], ids, fresh, h)
+    hs, tg, on = out.reshape(-1, n), target.ravel(), live.ravel().astype(kind) / max(1, live.sum())
+    on = on.astype(kind)
     k = class_of(tg)
-    d = np.exp(log_softmax(hs @ p["C"] + p["cb"]))
+    d = hs @ p["C"]
+    d += p["cb"]
+    _softmax(d)
     d[np.arange(len(k)), k] -= 1
     d *= on[:, None]
     g["C"], g["cb"], dh = hs.T @ d, d.sum(axis=0), d @ p["C"].T
-    order = np.argsort(k, kind="stable")
-    ends = np.searchsorted(k[order], np.arange(HEAD // CLASS + 1))
-    for c in np.flatnonzero(np.diff(ends)):
-        at, rows = order[ends[c] : ends[c + 1]], slice(c * CLASS, (c + 1) * CLASS)
-        e = np.exp(log_softmax(hs[at] @ p["O"][rows].T + p["ob"][rows]))
-        e[np.arange(len(at)), tg[at] - c * CLASS] -= 1
-        e *= on[at][:, None]
-        g["O"][rows], g["ob"][rows] = e.T @ hs[at], e.sum(axis=0)
-        dh[at] += e @ p["O"][rows]
+    g["O"], g["ob"] = np.zeros(SHAPES["O"], dtype=kind), np.zeros(HEAD, dtype=kind)
+    order, found = _by_class(k)
+    hso, to, ono = hs[order], tg[order] % CLASS, on[order]
+    dho = np.empty_like(hso)
+    for a, b, rows in found:
+        one, weights = hso[a:b], p["O"][rows]
+        e = one @ weights.T
+        e += p["ob"][rows]
+        _softmax(e)
+        e[np.arange(b - a), to[a:b]] -= 1
+        e *= ono[a:b, None]
+        g["O"][rows], g["ob"][rows] = e.T @ one, e.sum(axis=0)
+        np.matmul(e, weights, out=dho[a:b])
+    dh[order] += dho
     dh = dh.reshape(out.shape)
-    dx, back = np.empty((*ids.shape, 3 * n), dtype=np.float32), np.zeros_like(h)
+    du, back, back_wh = np.empty((*ids.shape, 3 * n), dtype=kind), np.zeros_like(out[0]), np.ascontiguousarray(p["Wh"].T)
     for t in range(len(ids) - 1, -1, -1):
-        was, z, r, c, u = tape[t]
-        s = dh[t] + back
-        dz, dc = s * (was - c) * z * (1 - z), s * (1 - z) * (1 - c * c)
-        dr = dc * u * r * (1 - r)
-        dx[t, :, :n], dx[t, :, n : 2 * n], dx[t, :, 2 * n :] = dz, dr, dc
-        du = np.concatenate([dz, dr, dc * r], axis=1)
-        g["Wh"] += was.T @ du
-        back = (s * z + du @ p["Wh"].T) * ~fresh[t][:, None]
+        # dx holds the gates and the candidate, and from here on their gradients.
+        z, r, c = dx[t][:, :n], dx[t][:, n : 2 * n], dx[t][:, 2 * n :]
+        s = dh[t]
+        s += back
+        kept = s * z
+        dz = (was[t] - c) * kept * (1 - z)
+        dc = (s - kept) * (1 - c * c)
+        through = dc * r
+        dr = dc * us[t] * r * (1 - r)
+        du[t][:, :n], du[t][:, n : 2 * n], du[t][:, 2 * n :] = dz, dr, through
+        z[:], r[:], c[:] = dz, dr, dc
+        back = du[t] @ back_wh
+        back += kept
+        if starts[t]:
+            back *= ~fresh[t][:, None]
+    g["Wh"] = was.reshape(-1, n).T @ du.reshape(-1, 3 * n)
     flat = dx.reshape(-1, 3 * n)
     g["b"] = flat.sum(axis=0)
-    by_word = np.zeros((HEAD + BUCKETS, 3 * n), dtype=np.float32)
     order = np.argsort(ids.ravel(), kind="stable")
     word, first = np.unique(ids.ravel()[order], return_index=True)
-    by_word[word] = np.add.reduceat(flat[order], first, axis=0)
-    g["Wx"], g["E"] = p["E"].T @ by_word, by_word @ p["Wx"].T
+    by_word = np.add.reduceat(flat[order], first, axis=0)
+    g["Wx"], g["E"] = p["E"][word].T @ by_word, (word, by_word @ p["Wx"].T)
     return g, out[-1]
 
 
@@ -246,25 +290,31 @@ def lanes(docs: list[np.ndarray], count: int) -> tuple[np.ndarray, np.ndarray, n
     return ids, who, fresh
 
 
-def inputs(ids: np.ndarray, fresh: np.ndarray, end: int) -> np.ndarray:
-    """What is read before each symbol: the one before it, an end where a document starts."""
-    out = np.vstack([np.full((1, ids.shape[1]), end, dtype=ids.dtype), ids[:-1]])
-    out[fresh] = end
+def inputs(ids: np.ndarray, fresh: np.ndarray, before: int | np.ndarray) -> np.ndarray:
+    """What is read before each symbol: the one before it; where a document starts an end, or what `before` holds for each start."""
+    out = np.vstack([np.zeros((1, ids.shape[1]), dtype=ids.dtype), ids[:-1]])
+    out[fresh] = before
     return out
 
 
-def train_on(p: dict, docs: list[np.ndarray], end: int) -> int:
-    """AdaGrad over one pass of the documents, window by window with the state carried on; returns the number of tokens."""
-    ids, who, fresh = lanes([d[k : k + PIECE] for d in docs for k in range(0, len(d), PIECE)], LANES)
-    read, h = inputs(ids, fresh, end), np.zeros((ids.shape[1], HIDDEN), dtype=np.float32)
-    seen = {k: np.full(s, 1e-8, dtype=np.float32) for k, s in SHAPES.items()}
+def train_on(p: dict, seen: dict, docs: list[np.ndarray], end: int) -> int:
+    """AdaGrad over one pass of the documents, window by window with the state carried on; p and seen, the sums of squares, are
+    changed in place. Returns the number of tokens."""
+    pieces = [(d[k : k + PIECE], int(d[k - 1]) if k else end) for d in docs for k in range(0, len(d), PIECE)]
+    ids, who, fresh = lanes([d for d, _ in pieces], LANES)
+    read = inputs(ids, fresh, np.array([x for _, x in pieces], dtype=ids.dtype)[who[fresh]])
+    h = np.zeros((ids.shape[1], HIDDEN), dtype=np.float32)
     for t in range(0, len(ids), STEPS):
         w = slice(t, t + STEPS)
         g, h = gradients(p, read[w], ids[w], fresh[w], who[w] >= 0, h)
         for k, x in g.items():
+            rows = slice(None)
+            if k == "E":
+                rows, x = x
             np.clip(x, -1, 1, out=x)
-            seen[k] += x * x
-            p[k] -= RATE * x / np.sqrt(seen[k])
+            total = seen[k][rows] + x * x
+            seen[k][rows] = total
+            p[k][rows] -= RATE * x / np.sqrt(total)
     return int((who >= 0).sum())
 
 
@@ -287,8 +337,8 @@ def score_docs(p: dict, docs: list[np.ndarray], end: int) -> np.ndarray:
     return out
 
 
-def _averaged(weights: DataFrame) -> dict[str, np.ndarray] | None:
-    """Mean of the tasks' weights by their tokens. weights: (task, n, data); means of FAN_IN at a time, until few are left."""
+def _averaged(weights: DataFrame) -> np.ndarray | None:
+    """Mean of the groups' numbers by their tokens. weights: (task, n, data); means of FAN_IN at a time, until few are left."""
 
     def mean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, total, n = None, None, 0
@@ -309,40 +359,73 @@ def _averaged(weights: DataFrame) -> dict[str, np.ndarray] | None:
 
     while weights.count() > FAN_IN:
         weights = save(weights.repartition(F.floor(F.col("task") / FAN_IN)).sortWithinPartitions("task").mapInArrow(mean, "task long, n long, data binary"), "mean")
-    rows = weights.orderBy("task").collect()
-    if not rows:
-        return None
-    return unpack_weights((sum(r["n"] * np.frombuffer(r["data"], dtype="<f4").astype(np.float64) for r in rows) / sum(r["n"] for r in rows)).astype("<f4").tobytes())
+    total, n = 0, 0
+    for r in weights.orderBy("task").toLocalIterator():
+        total, n = total + r["n"] * np.frombuffer(r["data"], dtype="<f4").astype(np.float64), n + r["n"]
+    return (total / n).astype("<f4") if n else None
 
 
-def train(docs: DataFrame, hashes: np.ndarray, p: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-    """docs (text): in each round every task trains on its next share of its documents, starting from the last round's weights; the
-    rounds' shares are disjoint and together all documents."""
+def dealt(docs: DataFrame, hashes: np.ndarray, size: int) -> DataFrame:
+    """docs (text), of `size` bytes together -> (g, turn, lens, symbols): by group and round the symbols of its documents. A document's
+    group, round and place there follow from a hash of its text alone, whatever the partitions."""
+    groups = max(1, -(-size // GROUP_BYTES))
+    shared = docs.sparkSession.sparkContext.broadcast(hashes[:HEAD])
+    h = F.xxhash64("text")
+    keyed = docs.select("text", F.pmod(h, F.lit(groups)).alias("g"), F.pmod(F.shiftright(h, 40), F.lit(ROUNDS)).cast("int").alias("turn"), h.alias("h"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rank = {x: i for i, x in enumerate(shared.value.tolist())}
+
+        class Symbols(dict):
+            def __missing__(self, w: bytes) -> int:
+                h = word_hash(w)
+                s = self[w] = rank.get(h, HEAD + (h & (BUCKETS - 1)))
+                return s
+
+        known, at, held = Symbols(), None, []
+
+        def out() -> pa.RecordBatch:
+            lens = np.array([len(x) for x in held], dtype="<i4")
+            return pa.RecordBatch.from_arrays([pa.array([at[0]], pa.int64()), pa.array([at[1]], pa.int32()), pa.array([lens.tobytes()], pa.binary()), pa.array([np.concatenate(held).tobytes()], pa.binary())], ["g", "turn", "lens", "symbols"])
+
+        for b in batches:
+            for text, g, turn in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if held and at != (g, turn):
+                    yield out()
+                    held = []
+                    if len(known) > REMEMBERED:
+                        known.clear()
+                at, ws = (g, turn), words(text)
+                held.append(np.fromiter(map(known.__getitem__, ws), dtype="<u2", count=len(ws)))
+        if held:
+            yield out()
+
+    sorted_ = keyed.repartition("g").sortWithinPartitions("g", "turn", "h").select("text", "g", "turn")
+    return save(sorted_.mapInArrow(run, "g long, turn int, lens binary, symbols binary"), "dealt")
+
+
+def train(docs: DataFrame, hashes: np.ndarray, p: dict[str, np.ndarray], size: int) -> dict[str, np.ndarray]:
+    """docs (text), of `size` bytes together: in each round every group trains on its next share of its documents, starting from the
+    last round's mean weights and optimiser sums; the rounds' shares are disjoint and together all documents."""
     spark, end = docs.sparkSession, hashes[:HEAD].tolist().index(end_hash())
+    work = dealt(docs, hashes, size)
+    state = np.concatenate([np.frombuffer(pack_weights(p), dtype="<f4"), np.full(sum(int(np.prod(s)) for s in SHAPES.values()), 1e-8, dtype="<f4")])
     for turn in range(ROUNDS):
-        shared = spark.sparkContext.broadcast((hashes, pack_weights(p)))
+        shared = spark.sparkContext.broadcast(state.tobytes())
 
-        def run(batches: Iterator[pa.RecordBatch], turn: int = turn, shared: object = shared) -> Iterator[pa.RecordBatch]:
-            hashes, data = shared.value
-            vocab, p, total, n = Vocabulary(hashes[:HEAD]), unpack_weights(data), 0, 0
-            held, size = [], 0
+        def run(batches: Iterator[pa.RecordBatch], shared: object = shared) -> Iterator[pa.RecordBatch]:
+            half = len(shared.value) // 2
             for b in batches:
-                for text in b.column(0).to_pylist():
-                    if n % ROUNDS == turn:
-                        held.append(vocab.symbols(vocab.codes(text))[0])
-                        vocab.forget()
-                        size += len(held[-1])
-                        if size >= TOGETHER:
-                            total += train_on(p, held, end)
-                            held, size = [], 0
-                    n += 1
-            if held:
-                total += train_on(p, held, end)
-            if total:
-                yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([total], pa.int64()), pa.array([pack_weights(p)], pa.binary())], ["task", "n", "data"])
-
-        p = _averaged(save(docs.mapInArrow(run, "task long, n long, data binary"), "weights")) or p
-    return p
+                for g, lens, symbols in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                    p, seen = unpack_weights(shared.value[:half]), unpack_weights(shared.value[half:])
+                    ends = np.cumsum(np.frombuffer(lens, dtype="<i4"))
+                    n = train_on(p, seen, np.split(np.frombuffer(symbols, dtype="<u2").astype(np.int32), ends[:-1]), end)
+                    yield pa.RecordBatch.from_arrays([pa.array([g], pa.int64()), pa.array([n], pa.int64()), pa.array([pack_weights(p) + pack_weights(seen)], pa.binary())], ["task", "n", "data"])
+
+        mine = work.where(F.col("turn") == turn).select("g", "lens", "symbols").repartition("g")
+        got = _averaged(save(mine.mapInArrow(run, "task long, n long, data binary"), "weights"))
+        state = state if got is None else got
+    return unpack_weights(state[: len(state) // 2].astype("<f4").tobytes())
 
 
 def score_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", mod: int = 7, rest: int = 2) -> DataFrame:
@@ -351,7 +434,9 @@ def score_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Returns one row per row of df: id_col, held_out, n_tokens (words and one end), n_known (tokens seen in training),
     train_tokens, base_score (log10 of the add-one unigram probability) and score (log10 of the model's probability; an
     unknown word is one outcome of its bucket). Null texts are empty: an end alone. Rows with a null id are
-    learned from; repeated rows count and are scored once each; extra columns are ignored; an empty table gives no rows.
+    learned from; repeated rows count and are scored once each; texts of any length are scored whole, with the state carried from
+    their first word to their end; words of equal count are ranked by their hash; extra columns are ignored; an empty table gives no
+    rows. The partitions of df don't matter but for the rounding of sums.
     """
     spark = session(df.sparkSession)
     out_ = F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % mod == rest, F.lit(False))
@@ -372,7 +457,8 @@ def score_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     head = freq[:HEAD]
     np.subtract.at(bucket[0], hashes[:HEAD] & (BUCKETS - 1), head)
     np.subtract.at(bucket[1], hashes[:HEAD] & (BUCKETS - 1), (head > 0).astype(np.int64))
-    p = train(learn, hashes, start_weights(head, bucket[0]))
+    size = learn.agg(F.sum(F.octet_length("text"))).collect()[0][0] or 0
+    p = train(learn, hashes, start_weights(head, bucket[0]), size)
     base_log = np.log10(tokens + kinds + 1)
     shared = spark.sparkContext.broadcast((hashes, freq, np.log10(bucket[0] + bucket[1] + 1), pack_weights(p)))
 
@@ -423,4 +509,5 @@ def score_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """score_documents of the whole table `documents`."""
     return score_documents(table(spark, sf_dir, "documents"))
