@@ -5,8 +5,8 @@ from weirflow.llm import embedding_dedup as E
 
 def brute(rows, cosine=0.95):
     n = len(rows)
-    x, ok = E.unit_vectors([v for _, v in rows])
-    link = (x @ x.T >= cosine) & ok[:, None] & ok[None, :]
+    x, ok, size = E.unit_vectors([v for _, v in rows])
+    link = (x @ x.T >= cosine) & ok[:, None] & ok[None, :] & (size[:, None] == size[None, :])
     np.fill_diagonal(link, False)
     comp = np.arange(n)
     changed = True
@@ -88,3 +88,43 @@ def test_passes_follow_the_size():
     assert [E.run_bits(n, 24) for n in (0, 24, 25, 1_600_000)] == [0, 0, 1, 17]
     for bits in (0, 5, 14, 22):
         assert (1 - (1 - np.arccos(0.95) / np.pi) ** bits) ** E.passes_for(bits, 0.95) <= E.MISSED
+
+
+def test_lengths_are_kept_apart(spark):
+    """Vectors of several lengths link within their length, whatever stands beside them."""
+    rows = vectors(seed=2, dim=32)[:200]
+    more = [(20_000 + d, v) for d, v in vectors(seed=3, dim=16)[-60:] if v]
+    more += [(30_000, rows[0][1][:16]), (30_001, rows[0][1][:16] + [0.0] * 16)]
+    both = brute(rows + more)
+    assert run(spark, rows + more, window=4) == both
+    assert run(spark, more) == brute(more)
+
+
+def test_links_are_thinned_to_a_forest():
+    rng = np.random.default_rng(4)
+    a, b = rng.integers(0, 200, (2, 400))
+    c, d = E.forest(a, b, 200)
+    label = lambda x, y: [min(g) for g in closure(x, y, 200)]
+    assert len(c) == 200 - len(set(label(a, b))) and label(a, b) == label(c, d)
+
+
+def closure(a, b, n):
+    groups = [{i} for i in range(n)]
+    for x, y in zip(a.tolist(), b.tolist(), strict=True):
+        if groups[x] is not groups[y]:
+            groups[x] |= groups[y]
+            for z in groups[x]:
+                groups[z] = groups[x]
+    return groups
+
+
+def test_sql_agrees(spark, tmp_path):
+    """The SQL on vectors that do link."""
+    import duckdb
+
+    rows = vectors(seed=6, dim=16)
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").coalesce(1).write.parquet(str(tmp_path / "embeddings.parquet"))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    got = con.sql(f"SELECT vec_id, n_links, component_id, kept FROM ({E.OP3_SQL.strip()})").fetchall()
+    assert sorted(got) == brute(rows)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -21,22 +22,37 @@ MISSED = 0.001
 BLOCK = 1024
 
 
-def unit_vectors(vs: list) -> tuple[np.ndarray, np.ndarray]:
-    """(unit rows in double precision, which rows are usable). Null, zero and ragged vectors and such with null or non-finite
-    components are not usable; the length that most have is the right one."""
-    sizes = np.array([len(v) if v is not None else 0 for v in vs])
-    dim = int(np.bincount(sizes[sizes > 0]).argmax()) if (sizes > 0).any() else 1
-    ok = np.array([v is not None and len(v) == dim and None not in v for v in vs], dtype=bool)
-    out = np.zeros((len(vs), dim))
-    if ok.any():
-        out[ok] = np.array([v for v, k in zip(vs, ok, strict=True) if k], dtype=float)
+def unit_vectors(vs: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(unit rows in double precision, which rows are usable, their lengths). Null, empty and zero vectors and such with null or
+    non-finite components are not usable. Shorter vectors are filled up with zeros; vectors of unlike length have no cosine."""
+    size = np.array([len(v) if v is not None else 0 for v in vs], dtype=np.int64)
+    ok = np.array([bool(v) and None not in v for v in vs], dtype=bool)
+    out = np.zeros((len(vs), max(1, size.max(initial=0))))
+    for n in np.unique(size[ok]):
+        at = np.flatnonzero(ok & (size == n))
+        out[at, :n] = np.array([vs[i] for i in at], dtype=float)
     ok &= np.isfinite(out).all(axis=1)
     out[~ok] = 0
     big = np.abs(out).max(axis=1, initial=0)
     out /= np.where(big > 0, big, 1)[:, None]  # squares of very large or small components stay finite
     norm = np.sqrt((out * out).sum(axis=1))
     ok &= norm > 0
-    return out / np.where(norm > 0, norm, 1)[:, None], ok
+    return out / np.where(norm > 0, norm, 1)[:, None], ok, size
+
+
+def forest(a: np.ndarray, b: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of links between numbers below n as few as connect what they connect: each number that isn't the least of its component
+    with one that is."""
+    label = np.arange(n)
+    while len(a):
+        least = np.minimum(label[a], label[b])
+        if (label[a] == least).all() and (label[b] == least).all():
+            break
+        np.minimum.at(label, a, least)
+        np.minimum.at(label, b, least)
+        label = label[label]
+    joined = np.flatnonzero(label != np.arange(n))
+    return label[joined], joined
 
 
 def sort_keys(x: np.ndarray, passes: int, seed: int = 5) -> np.ndarray:
@@ -68,9 +84,10 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embed
     between them; passes grow with the input, so that this stays rare (MISSED). `passes` is the least number of them.
 
     Returns one row per row of df: id_col, n_links (other rows linked directly), component_id (the least id that links
-    reach, itself included) and kept (id = component_id). Null, zero and ragged vectors and such with null or non-finite components link
-    with nothing; rows of equal id and vector count as distinct rows; a null id is never kept, and takes part otherwise.
-    Extra columns are ignored; an empty table gives no rows.
+    reach, itself included) and kept (id = component_id). Null, empty and zero vectors and such with null or non-finite components link
+    with nothing, and vectors of unlike length never with each other; rows of equal id and vector count as distinct rows; a null id is
+    never kept, and takes part otherwise. Cosines are ties with the threshold if they equal it, and link. Extra columns are ignored;
+    an empty table gives no rows.
     """
     spark = session(df.sparkSession)
     vec = F.transform(F.col(vec_col), lambda v: v.cast("double"))
@@ -85,36 +102,43 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embed
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x, _ = unit_vectors(b.column(1).to_pylist())
-            k = sort_keys(x, passes)
+            x, _, size = unit_vectors(b.column(1).to_pylist())
+            k = np.zeros((len(x), passes), dtype=np.int64)
+            for n in np.unique(size):
+                k[size == n] = sort_keys(x[size == n, :n], passes)
             for p in range(passes):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), p, dtype=np.int32)), pa.array(k[:, p]), b.column(0), b.column(1)], ["pass", "key", "h", "v"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), p, dtype=np.int32)), pa.array(size), pa.array(k[:, p]), b.column(0), b.column(1)], ["pass", "dim", "key", "h", "v"])
 
-    schema = "pass int, key long, h long, v array<double>"
+    schema = "pass int, dim long, key long, h long, v array<double>"
     keyed = save(classes.select("h", "v").mapInArrow(keys, schema), "keys")
-    placed = save(keyed.repartitionByRange("pass", "key", "h").sortWithinPartitions("pass", "key", "h").withColumn("part", F.spark_partition_id()).withColumn("row", F.monotonically_increasing_id()), "order")
-    # The first rows of a partition also go to the one before it, at its end.
-    start = placed.groupBy("part").agg(F.min("row").alias("start"))
-    parts = sorted(r["part"] for r in start.select("part").collect())
-    before = spark.createDataFrame([(b, a) for a, b in zip(parts, parts[1:], strict=False)], "part int, before int")
-    heads = placed.join(F.broadcast(start), "part").where(F.col("row") < F.col("start") + window).join(F.broadcast(before), "part")
+    order = ["pass", "dim", "key", "h"]
+    placed = save(keyed.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id()).withColumn("row", F.monotonically_increasing_id()), "order")
+    # The rows that follow a partition's last ones also go to it, at its end; where the next partition is short, from those after it too.
+    start = placed.groupBy("part").agg(F.min("row").alias("start"), F.count("*").alias("n"))
+    parts = sorted((r["part"], r["n"]) for r in start.collect())
+    ends = np.cumsum([n for _, n in parts]).tolist()
+    reach = [(q, p, ends[i] + window - ends[j - 1]) for i, (p, _) in enumerate(parts) for j, (q, _) in itertools.takewhile(lambda x: ends[x[0] - 1] < ends[i] + window, enumerate(parts[i + 1 :], i + 1))]
+    before = spark.createDataFrame(reach, "part int, before int, most long")
+    heads = placed.join(F.broadcast(start.drop("n")), "part").join(F.broadcast(before), "part").where(F.col("row") < F.col("start") + F.col("most"))
     both = placed.select("part", "row", "pass", "h", "v", F.lit(False).alias("head")).union(heads.select("before", "row", "pass", "h", "v", F.lit(True)))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(part: list, p: list, h: list, v: list, head: list) -> Iterator[pa.RecordBatch]:
-            x, _ = unit_vectors(v)
+            x, _, size = unit_vectors(v)
             part, p, h, head = np.array(part), np.array(p), np.array(h), np.array(head)
             left, right = [], []
             for d in range(1, window + 1):
                 if d >= len(h):
                     break
-                same = (part[d:] == part[:-d]) & (p[d:] == p[:-d]) & ~head[:-d]
+                same = (part[d:] == part[:-d]) & (p[d:] == p[:-d]) & (size[d:] == size[:-d]) & ~head[:-d]
                 at = np.flatnonzero(same)
                 hit = at[np.einsum("ij,ij->i", x[at], x[at + d]) >= cosine]
-                left.append(h[hit])
-                right.append(h[hit + d])
+                left.append(hit)
+                right.append(hit + d)
             if left and sum(map(len, left)):
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (left, right)], ["a", "b"])
+                # Links are counted later, inside components: here those are enough that connect them.
+                a, b = forest(np.concatenate(left), np.concatenate(right), len(h))
+                yield pa.RecordBatch.from_arrays([pa.array(h[a]), pa.array(h[b])], ["a", "b"])
 
         held: list[list] = [[], [], [], [], []]
         for b in batches:
@@ -127,7 +151,7 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embed
             yield from out(*held)
 
     links = both.repartition("part").sortWithinPartitions("part", "row").mapInArrow(compare, "a long, b long").distinct()
-    run = F.shiftrightunsigned("key", KEY_BITS - lead) * passes + F.col("pass") if lead else F.col("pass").cast("long")
+    run = F.xxhash64("pass", "dim", F.shiftrightunsigned("key", KEY_BITS - lead) if lead else F.lit(0))
     in_runs = placed.select(run.alias("root"), "h", "v", F.lit(1).cast("long").alias("copies"))
     long_runs = save(in_runs.groupBy("root").count().where(F.col("count") > window + 1).select("root"), "runs")
     if not long_runs.isEmpty():
@@ -146,37 +170,29 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embed
 def _links_inside(member: DataFrame, cosine: float) -> DataFrame:
     """(h, links): copies of other classes of its component that each class links with."""
 
-    def piece(one: np.ndarray, two: np.ndarray | None, h: np.ndarray, copies: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        hit = x[one] @ x[one if two is None else two].T >= cosine
+    def piece(one: np.ndarray, two: np.ndarray | None, h: np.ndarray, copies: np.ndarray, near: Callable) -> tuple[np.ndarray, np.ndarray]:
+        hit = near(one, one if two is None else two)
         if two is None:
             np.fill_diagonal(hit, False)
             return h, (hit * copies[None, :]).sum(axis=1)
         return np.r_[h[one], h[two]], np.r_[hit @ copies[two], hit.T @ copies[one]]
 
-    return _by_blocks(member, piece, ["h", "links"]).groupBy("h").agg(F.sum("links").alias("links"))
+    return _by_blocks(member, piece, cosine, ["h", "links"]).groupBy("h").agg(F.sum("links").alias("links"))
 
 
 def _spanning(member: DataFrame, cosine: float) -> DataFrame:
     """Pairs (a, b) that connect all that links connect within each root; a piece sends fewer than it has classes."""
 
-    def piece(one: np.ndarray, two: np.ndarray | None, h: np.ndarray, copies: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def piece(one: np.ndarray, two: np.ndarray | None, h: np.ndarray, copies: np.ndarray, near: Callable) -> tuple[np.ndarray, np.ndarray]:
         other = one if two is None else two
-        i, j = np.nonzero(x[one] @ x[other].T >= cosine)
-        a, b, label = one[i], other[j], np.arange(len(h))
-        while True:
-            least = np.minimum(label[a], label[b])
-            if (label[a] == least).all() and (label[b] == least).all():
-                break
-            np.minimum.at(label, a, least)
-            np.minimum.at(label, b, least)
-            label = label[label]
-        joined = np.flatnonzero(label != np.arange(len(h)))
-        return h[label[joined]], h[joined]
-
-    return _by_blocks(member, piece, ["a", "b"])
-
-
-def _by_blocks(member: DataFrame, piece: Callable, names: list[str]) -> DataFrame:
+        i, j = np.nonzero(near(one, other))
+        a, b = forest(one[i], other[j], len(h))
+        return h[a], h[b]
+
+    return _by_blocks(member, piece, cosine, ["a", "b"])
+
+
+def _by_blocks(member: DataFrame, piece: Callable, cosine: float, names: list[str]) -> DataFrame:
     """What piece gives for each pair of blocks of the classes (root, h, v, copies) of one root, as two columns of longs. Roots
     are cut into blocks of BLOCK classes, and each pair of blocks is one piece of work: no task holds more, and no pair is sent."""
     size = member.groupBy("root").agg(F.count("*").alias("n"))
@@ -190,8 +206,12 @@ def _by_blocks(member: DataFrame, piece: Callable, names: list[str]) -> DataFram
         def of(held: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
             _, i, j, *_ = held[0]
             block, h, copies = (np.array([x[k] for x in held]) for k in (3, 4, 6))
-            x, _ = unit_vectors([t[5] for t in held])
-            return piece(np.flatnonzero(block == i), None if i == j else np.flatnonzero(block == j), h, copies, x)
+            x, _, size = unit_vectors([t[5] for t in held])
+
+            def near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+                return (x[a] @ x[b].T >= cosine) & (size[a][:, None] == size[b][None, :])
+
+            return piece(np.flatnonzero(block == i), None if i == j else np.flatnonzero(block == j), h, copies, near)
 
         def out(done: list) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in zip(*done, strict=True)], names)
@@ -215,5 +235,19 @@ def _by_blocks(member: DataFrame, piece: Callable, names: list[str]) -> DataFram
     return pieces.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j").mapInArrow(run, f"{names[0]} long, {names[1]} long")
 
 
+#: The same by all pairs; components by closure of the links.
+OP3_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (SELECT a.vec_id a, b.vec_id b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.95),
+reach AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b),
+n AS (SELECT a, count(*) n FROM links GROUP BY a), c AS (SELECT a, min(b) c FROM reach GROUP BY a)
+SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) n_links, coalesce(c, vec_id) component_id, vec_id = coalesce(c, vec_id) kept
+FROM embeddings LEFT JOIN n ON n.a = vec_id LEFT JOIN c ON c.a = vec_id
+"""
+
+
 def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """near_duplicates of the whole table `embeddings`, whatever its labels."""
     return near_duplicates(table(spark, sf_dir, "embeddings"))

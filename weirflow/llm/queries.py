@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from weirflow.llm.decontaminate import op4_decontaminate
-from weirflow.llm.embedding_dedup import op3_embedding_dedup
+from weirflow.llm.embedding_dedup import OP3_SQL, op3_embedding_dedup
 from weirflow.llm.langid import op2_langid
 from weirflow.llm.licenses import op5_licenses
 from weirflow.llm.line_dedup import op6_line_dedup
@@ -35,10 +35,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """corpus_pipeline.run: all stages over the whole table `documents`."""
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL by query, where it can say the same on whole tables."""
+    return {"op3_embedding_dedup": OP3_SQL}
