@@ -54,7 +54,7 @@ def test_matches_brute_force(spark):
 
 
 def test_long_runs_lose_no_link(spark, monkeypatch):
-    monkeypatch.setattr(D, "SMALL_RUN", 3)
+    monkeypatch.setattr(D, "RUN", 3)
     rows = corpus(random.Random(6), groups=4, variants=40)
     assert run(spark, rows) == brute(rows)
 

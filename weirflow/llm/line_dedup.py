@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,8 +17,8 @@ from weirflow.llm.common import components, keyed, save, session, table, tidy
 SHINGLE, SIMILAR = 8, 0.8
 #: Signatures are BANDS x ROWS minima: a pair of similarity 0.8 shares a band with probability 1 - (1 - 0.8^4)^12 = 0.998.
 BANDS, ROWS = 12, 4
-#: Runs of lines that share a band are compared by sets up to this length, longer ones by an index of their shingles.
-SMALL_RUN = 32
+#: Lines of a run that are compared in one task; of a longer run, blocks of so many by pairs.
+RUN = 4096
 #: Characters whose signatures are made at once.
 CHUNK = 1 << 17
 U = np.uint64
@@ -170,59 +171,72 @@ def _texts(docs: DataFrame, want: DataFrame) -> DataFrame:
 def spanning(lines: list[str], similar: float, k: int = SHINGLE) -> list[tuple[int, int]]:
     """Links that connect what similar pairs connect among these lines. Each step of the search compares one line with those
     that aren't reached yet, so a group that is alike takes few comparisons and no pairs are kept."""
-    if len(lines) <= SMALL_RUN:
-        sets = [shingles(x, k) for x in lines]
-
-        def near(x: int, rest: np.ndarray) -> np.ndarray:
-            a, out = sets[x], []
-            for y in rest:
-                b = sets[y]
-                small, large = sorted((len(a), len(b)))
-                both = len(a & b) if small >= similar * large else 0
-                out.append(both >= similar * (len(a) + len(b) - both))
-            return np.array(out, dtype=bool)
-    else:
-        hs = [np.unique(shingle_hashes(np.frombuffer((x + "\0" * max(0, k - len(x))).encode("utf-32-le", "surrogatepass"), dtype=np.uint32), k)) for x in lines]
-        size = np.array([len(h) for h in hs])
-        names, ids = np.unique(np.concatenate(hs), return_inverse=True)
-        start = np.cumsum(size) - size
-        mark = np.zeros(len(names), dtype=bool)
-
-        def near(x: int, rest: np.ndarray) -> np.ndarray:
-            own = ids[start[x] : start[x] + size[x]]
-            rest_size = size[rest]
-            first = np.cumsum(rest_size) - rest_size
-            mark[own] = True
-            at = np.arange(rest_size.sum()) + np.repeat(start[rest] - first, rest_size)
-            both = np.add.reduceat(mark[ids[at]].astype(np.int32), first)
-            mark[own] = False
-            return both >= similar * (size[x] + rest_size - both)
-
+    names: dict[str, int] = {}
+    sets = [[names.setdefault(s, len(names)) for s in shingles(x, k)] for x in lines]
+    size = np.array([len(s) for s in sets])
+    ids, start = np.fromiter(itertools.chain.from_iterable(sets), dtype=np.int64, count=size.sum()), np.cumsum(size) - size
+    mark = np.zeros(len(names), dtype=np.int32)
     out, rest, queue = [], np.arange(1, len(lines)), [0]
     while len(rest):
         if not queue:
             queue, rest = [int(rest[0])], rest[1:]
             continue
         x = queue.pop()
-        hit = near(x, rest)
-        out += [(x, int(y)) for y in rest[hit]]
-        queue += rest[hit].tolist()
-        rest = rest[~hit]
+        own, n = ids[start[x] : start[x] + size[x]], size[rest]
+        fit = np.minimum(n, size[x]) >= similar * np.maximum(n, size[x])
+        some, n = rest[fit], n[fit]
+        if not len(some):
+            continue
+        mark[own] = 1
+        first = np.cumsum(n) - n
+        both = np.add.reduceat(mark[ids[np.arange(n.sum()) + np.repeat(start[some] - first, n)]], first)
+        mark[own] = 0
+        hit = some[both >= similar * (size[x] + n - both)]
+        out += [(x, y) for y in hit.tolist()]
+        queue += hit.tolist()
+        fit[fit] = both >= similar * (size[x] + n - both)
+        rest = rest[~fit]
     return out
 
 
+def _pieces(runs: DataFrame, similar: float) -> DataFrame:
+    """runs: (run, h, line) -> (run, i, j, h, line): what is compared together. A run of at most RUN lines is one piece. A longer one is
+    cut by its lines' numbers of characters into classes so wide that only neighbouring ones can hold similar lines, these by hash
+    into blocks, and each pair of blocks of a class or of neighbouring classes is a piece."""
+    sizes = runs.groupBy("run").agg(F.count("*").alias("n"))
+    # A line of n characters has between one and n - SHINGLE + 1 shingles, as they repeat: classes go by the distinct ones.
+    distinct = F.size(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("line") - SHINGLE + 1, F.lit(1))), lambda i: F.substring(F.col("line"), i, F.lit(SHINGLE)))))
+    with_n = runs.join(sizes, "run")
+    short = with_n.where(F.col("n") <= RUN).select("run", F.lit(0).alias("i"), F.lit(0).alias("j"), "h", "line")
+    long = with_n.where(F.col("n") > RUN).withColumn("c", F.floor(F.log(distinct.cast("double")) / float(-np.log(similar)) + 1e-9).cast("int"))
+    blocks = F.ceil(F.col("m") / RUN).cast("int")
+    classes = long.groupBy("run", "c").agg(F.count("*").alias("m")).select("run", "c", blocks.alias("blocks"))
+    above = classes.select("run", (F.col("c") - 1).alias("c"), F.col("blocks").alias("upper"))
+    below = classes.select("run", (F.col("c") + 1).alias("c"), F.col("blocks").alias("lower"))
+    cut = long.join(classes, ["run", "c"]).join(above, ["run", "c"], "left").join(below, ["run", "c"], "left").withColumn("b", F.pmod(F.xxhash64("h"), F.col("blocks")).cast("int"))
+    # Block b of class c is number c * 2^16 + b; it meets all blocks of its class and of the next, and those of the one before meet it.
+    number = lambda c, b: c * 65536 + b
+    upto = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    me = number(F.col("c"), F.col("b"))
+    same = F.transform(upto(F.col("blocks")), lambda x: number(F.col("c"), x))
+    more = F.transform(upto(F.coalesce("upper", F.lit(0))), lambda x: number(F.col("c") + 1, x))
+    less = F.transform(upto(F.coalesce("lower", F.lit(0))), lambda x: number(F.col("c") - 1, x))
+    met = cut.withColumn("other", F.explode(F.concat(same, more, less)))
+    return short.union(met.select("run", F.least(me, F.col("other")).alias("i"), F.greatest(me, F.col("other")).alias("j"), "h", "line"))
+
+
 def _verified(runs: DataFrame, texts: DataFrame, similar: float) -> DataFrame:
-    """Links (a, b) within runs by exact similarity; runs are read one after another."""
+    """Links (a, b) within runs by exact similarity; pieces of runs are read one after another."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(held: list[tuple]) -> list[tuple[int, int]]:
-            return [(held[i][1], held[j][1]) for i, j in spanning([x[2] for x in held], similar)]
+            return [(held[i][3], held[j][3]) for i, j in spanning([x[4] for x in held], similar)]
 
         held: list[tuple] = []
         links: list[tuple[int, int]] = []
         for batch in batches:
             for x in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if held and x[0] != held[0][0]:
+                if held and x[:3] != held[0][:3]:
                     links += out(held)
                     held = []
                 held.append(x)
@@ -233,7 +247,13 @@ def _verified(runs: DataFrame, texts: DataFrame, similar: float) -> DataFrame:
         if links:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*links, strict=True)], ["a", "b"])
 
-    return runs.join(texts, "h").select("run", "h", "line").repartition("run").sortWithinPartitions("run").mapInArrow(run, "a long, b long")
+    sizes = save(runs.groupBy("run").agg(F.count("*").alias("n")).where(F.col("n") > RUN).select("run"), "long")
+    with_text = runs.join(texts, "h").select("run", "h", "line")
+    if sizes.isEmpty():  # no run is cut, so nothing is counted again
+        pieces = with_text.select("run", F.lit(0).alias("i"), F.lit(0).alias("j"), "h", "line")
+    else:
+        pieces = _pieces(save(with_text, "run-lines"), similar)
+    return pieces.repartition("run", "i", "j").sortWithinPartitions("run", "i", "j").mapInArrow(run, "a long, b long")
 
 
 def line_components(docs: DataFrame, occurrences: DataFrame, similar: float = SIMILAR) -> DataFrame:
@@ -270,9 +290,10 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     Lines are what stands between line feeds; lines of white space only stay and are compared with none. Two lines link at
     a Jaccard similarity of at least `similar` of their sets of 8-character shingles (a shorter line is one shingle), groups
     are what links reach, and the first line is that of the least id, then of the least number; null ids come last.
-    Returns the rows of df with text_col replaced (a null text becomes empty) and n_lines and n_removed (of lines that
-    aren't blank), which replace columns of these names. Equal rows are one text and share its result; an empty table gives
-    no rows.
+    Lines that differ by one inner character so link from 79 characters on. Returns the rows of df with text_col replaced (a null
+    text becomes empty) and n_lines and n_removed (of lines that aren't blank), which replace columns of these names; other columns
+    stay, whatever their names. Equal rows are one text and share its result, so a line that only they hold stays in each; texts and
+    lines of any length are compared whole; an empty table gives no rows.
     """
     session(df.sparkSession)
     new = ("n_lines", "n_removed")
@@ -299,5 +320,6 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """dedup_lines of the whole table `documents`, with a digest of each text that is left."""
     out = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"), F.octet_length("text").cast("long").alias("kept_bytes"))
