@@ -1,3 +1,4 @@
+import random
 import zlib
 from collections import defaultdict
 
@@ -32,3 +33,29 @@ def test_hot_keys_nulls_and_clashing_names(spark):
         slots[r.shard].append(r.slot)
     assert len(rows) == 60 and {len(v) for v in slots.values()} == {7, 8} and all(sorted(v) == list(range(len(v))) for v in slots.values())
     assert R.shard_rows(df.where("false")).collect() == []
+
+
+def test_names_of_its_own(spark):
+    names = ["at", "cell", "place", "begin", "n", "to_shard", "to_slot", "_cell", "_at", "Shard"]
+    df = spark.range(50).selectExpr("id as doc_id", "'t' as text", *[f"id * {i + 1} as {n}" for i, n in enumerate(names)])
+    rows = R.shard_rows(df, shards=4).collect()
+    assert len(rows) == 50 and all(r[n] == r.doc_id * (i + 1) for r in rows for i, n in enumerate(names[:-1]))
+
+
+def test_against_a_ring_dealt_row_by_row():
+    """Cells hold so many rows each; every row goes to the first node from its cell on whose shard has room."""
+    rng = random.Random(5)
+    for shards in (3, 8):
+        nodes = R.ring(shards, 16)
+        cells = [(c, rng.choice([1, 2, 40])) for c in rng.sample(range(1 << R.CELL_BITS), 60)]
+        n, width = sum(c for _, c in cells), 1 << R.RING_BITS - R.CELL_BITS
+        room = [n // shards + (k < n % shards) for k in range(shards)]
+        want, used = {}, [0] * shards
+        for cell, count in sorted(cells):
+            for rank in range(count):
+                clockwise = [k for p, k in nodes if p >= cell * width] + [k for p, k in nodes if p < cell * width]
+                k = next(k for k in clockwise if used[k] < room[k])
+                want[cell, rank] = (k, used[k])
+                used[k] += 1
+        got = {(c, r + i): (k, s + i) for c, r, m, k, s in R.allot(cells, nodes, shards) for i in range(m)}
+        assert got == want

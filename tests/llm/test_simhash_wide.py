@@ -1,7 +1,9 @@
 import random
 
+import numpy as np
+
 import corpus_pipeline as C
-from weirflow.llm import near_copies as N
+from weirflow.llm import simhash_wide as N
 
 
 def brute(rows):
@@ -54,3 +56,32 @@ def test_stage_drops_copies_of_similarity_0_8(spark, sf):
     rows = corpus()
     docs = spark.createDataFrame([(d, t, "en", "s", 0) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     assert sorted(str(r.doc_id) for r in C.near_copies(spark, docs, sf).collect()) == sorted(str(d) for d, c in brute(rows) if d == c)
+
+
+def test_long_runs(spark, monkeypatch):
+    monkeypatch.setattr(N, "SHORT_RUN", 3)
+    rows = corpus()
+    assert sorted((tuple(r) for r in N.near_copy_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str) == brute(rows)
+
+
+def test_fingerprints_follow_the_similarity():
+    """Pairs at the threshold share a block as often as the shape promises, and their prints are near; unlike texts aren't."""
+    rng = np.random.default_rng(8)
+    bits, blocks = N.shape(100_000)
+    shared = far = 0
+    for _ in range(150):
+        s = np.unique(rng.integers(0, 1 << 62, 900, dtype=np.uint64))
+        a, b = s[: len(s) * 9 // 10], s[len(s) // 10 :]
+        (pa, ka), (pb, kb) = N.block_keys(a, bits, blocks), N.block_keys(b, bits, blocks)
+        shared += bool((ka == kb).any())
+        assert ((pa ^ pb) & (1 << 64) - 1).bit_count() <= N.DISTANCE
+        far += ((pa ^ N.block_keys(np.unique(rng.integers(0, 1 << 62, 900, dtype=np.uint64)), bits, blocks)[0]) & (1 << 64) - 1).bit_count() > N.DISTANCE
+    assert shared >= 0.95 * 150 and far >= 0.97 * 150
+
+
+def test_fingerprint_bits_are_majorities():
+    s = np.random.default_rng(9).integers(0, 1 << 62, 700, dtype=np.uint64)
+    flip = np.random.default_rng(7).integers(0, 1 << 63, 3, dtype=np.uint64)
+    h = N._mixed((s[:, None] ^ flip) * N._ODD)
+    want = [sum(int(x) >> b & 1 for x in h[:, w]) * 2 > 700 for w in range(3) for b in range(64)]
+    assert N.fingerprint_bits(s, 170).tolist() == want[:170]

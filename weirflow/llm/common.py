@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weirflow.storage import new_path
+
 #: Rows in an Arrow batch sent to a Python worker; texts are long, so batches stay short.
 ARROW_ROWS = 512
 
@@ -22,21 +23,9 @@ def session(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: `spark.checkpoint.dir`. Where the setting is absent, a
-    single-machine session (master local[...]) takes /tmp/checkpoints and any other the warehouse."""
-    conf = spark.sparkContext.getConf()
-    given = conf.get("spark.checkpoint.dir")
-    if given:
-        return given.rstrip("/")
-    if spark.sparkContext.master.startswith("local["):
-        return "file:///tmp/checkpoints"
-    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
-
-
 def save(df: DataFrame, name: str) -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it again: cuts the lineage and survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/weirflow/{name}-{uuid.uuid4().hex}"
+    path = new_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -124,3 +113,14 @@ def keyed(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFra
 def tidy(spark: SparkSession) -> None:
     """Lets Spark drop the shuffle files of steps whose results are saved, which else stay until the driver collects garbage."""
     spark._jvm.System.gc()
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """names, each made longer until df has no column of that name (Spark doesn't tell upper from lower case)."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        taken.add(n.lower())
+        out.append(n)
+    return out

@@ -238,6 +238,7 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 
 
 def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every whole text of `documents`, learned from the labelled rows that aren't held out."""
     docs = table(spark, sf_dir, "documents")
     model = train(docs.select("doc_id", "text", "lang"))
     out = identify(docs.select("doc_id", "text"), model)

@@ -272,4 +272,5 @@ def pack_documents(df: DataFrame, tokenizer: str | None = None, id_col: str = "d
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """pack_documents of the whole table `documents`."""
     return pack_documents(table(spark, sf_dir, "documents"))

@@ -8,7 +8,7 @@ from bisect import bisect_left
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from weirflow.llm.common import session, table
+from weirflow.llm.common import session, table, unused
 
 SHARDS, VIRTUAL = 8, 128
 #: The ring has 2^RING_BITS positions; keys are counted in cells of equal length, and only the counts reach the driver.
@@ -51,20 +51,22 @@ def shard_rows(df: DataFrame, keys: tuple[str, ...] = ("doc_id",), text_col: str
 
     A row's place on the ring is a hash of its keys and text, so rows that share a key, or have none, spread as well.
     Adds shard int and slot long (from 0 without gaps in each shard). Null keys and texts hash as nulls; which of several
-    equal rows takes which slot is arbitrary, and they are alike; an empty table gives no rows; columns named like
-    the new ones are replaced. Only the counts of 2^CELL_BITS ring cells reach the driver.
+    equal rows takes which slot is arbitrary, and they are alike; ties on the ring go by the keys; texts of any length are hashed
+    whole; an empty table gives no rows; columns named like the new ones are replaced, all others stay. Only the counts of 2^CELL_BITS ring cells reach the driver.
     """
     session(df.sparkSession)
     spark = df.sparkSession
-    placed = df.withColumn("_at", F.shiftrightunsigned(F.xxhash64(*keys, text_col), 64 - RING_BITS)).withColumn("_cell", F.shiftrightunsigned("_at", RING_BITS - CELL_BITS))
-    counts = [(r["_cell"], r["count"]) for r in placed.groupBy("_cell").count().collect()]
+    at, cell, place = unused(df, "at", "cell", "place")
+    begin, n, to_shard, to_slot = unused(df, "begin", "n", "to_shard", "to_slot")
+    placed = df.withColumn(at, F.shiftrightunsigned(F.xxhash64(*keys, text_col), 64 - RING_BITS)).withColumn(cell, F.shiftrightunsigned(at, RING_BITS - CELL_BITS))
+    counts = [(r[0], r[1]) for r in placed.groupBy(cell).count().collect()]
     segments = allot(counts, ring(shards, virtual), shards)
-    to = spark.createDataFrame(segments, "_cell long, _from long, _n long, _shard int, _slot long")
-    rank = F.row_number().over(Window.partitionBy("_cell").orderBy("_at", *keys)) - 1
-    ranked = placed.withColumn("_rank", rank.cast("long"))
-    joined = ranked.join(F.broadcast(to), (ranked["_cell"] == to["_cell"]) & (ranked["_rank"] >= to["_from"]) & (ranked["_rank"] < to["_from"] + to["_n"]))
-    kept = [df[c] for c in df.columns if c not in ("shard", "slot")]
-    return joined.select(*kept, to["_shard"].alias("shard"), (to["_slot"] + ranked["_rank"] - to["_from"]).alias("slot"))
+    to = spark.createDataFrame(segments, f"{cell} long, {begin} long, {n} long, {to_shard} int, {to_slot} long")
+    rank = F.row_number().over(Window.partitionBy(cell).orderBy(at, *keys)) - 1
+    ranked = placed.withColumn(place, rank.cast("long"))
+    joined = ranked.join(F.broadcast(to), cell).where((F.col(place) >= F.col(begin)) & (F.col(place) < F.col(begin) + F.col(n)))
+    kept = [F.col(f"`{c}`") for c in df.columns if c.lower() not in ("shard", "slot")]
+    return joined.select(*kept, F.col(to_shard).alias("shard"), (F.col(to_slot) + F.col(place) - F.col(begin)).alias("slot"))
 
 
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -172,4 +172,5 @@ def simhash_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """simhash_groups of the whole table `documents`."""
     return simhash_groups(table(spark, sf_dir, "documents"))

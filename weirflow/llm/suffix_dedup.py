@@ -414,4 +414,5 @@ def drop_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """drop_repeats of the whole table `documents`."""
     return drop_repeats(table(spark, sf_dir, "documents"))
