@@ -72,10 +72,10 @@ def test_fingerprints_follow_the_similarity():
     for _ in range(150):
         s = np.unique(rng.integers(0, 1 << 62, 900, dtype=np.uint64))
         a, b = s[: len(s) * 9 // 10], s[len(s) // 10 :]
-        (pa, ka), (pb, kb) = N.block_keys(a, bits, blocks), N.block_keys(b, bits, blocks)
+        (pa, ka), (pb, kb) = N.block_values(a, bits, blocks), N.block_values(b, bits, blocks)
         shared += bool((ka == kb).any())
         assert ((pa ^ pb) & (1 << 64) - 1).bit_count() <= N.DISTANCE
-        far += ((pa ^ N.block_keys(np.unique(rng.integers(0, 1 << 62, 900, dtype=np.uint64)), bits, blocks)[0]) & (1 << 64) - 1).bit_count() > N.DISTANCE
+        far += ((pa ^ N.block_values(np.unique(rng.integers(0, 1 << 62, 900, dtype=np.uint64)), bits, blocks)[0]) & (1 << 64) - 1).bit_count() > N.DISTANCE
     assert shared >= 0.95 * 150 and far >= 0.97 * 150
 
 

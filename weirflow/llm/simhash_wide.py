@@ -31,6 +31,8 @@ DISTANCE = 20
 SHORT_RUN = 16
 #: Pairs that a task sends at once, and shingles whose bits are counted at once, in bytes.
 SENT, COUNTED = 1 << 16, 255
+#: Block values of long runs that are broadcast, 8 bytes each; more are joined by shuffle.
+BROADCAST = 1_000_000
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -74,12 +76,11 @@ def fingerprint_bits(s: np.ndarray, width: int) -> np.ndarray:
     return (2 * ones > len(s))[:width]
 
 
-def block_keys(s: np.ndarray, bits: int, blocks: int) -> tuple[int, np.ndarray]:
-    """(64 bits to verify with, one value for each block) of a set of shingles."""
+def block_values(s: np.ndarray, bits: int, blocks: int) -> tuple[int, np.ndarray]:
+    """(64 bits to verify with, the value of each block) of a set of shingles."""
     got = fingerprint_bits(s, 64 + bits * blocks)
     value = got[64:].reshape(blocks, bits) @ (1 << np.arange(bits, dtype=np.int64))
-    keys = _mixed(value.astype(np.uint64) + np.arange(1, blocks + 1, dtype=np.uint64) * _ODD)
-    return int(np.packbits(got[:64], bitorder="little").view("<i8")[0]), keys.view(np.int64)
+    return int(np.packbits(got[:64], bitorder="little").view("<i8")[0]), value
 
 
 def similarity_of(a: np.ndarray, b: np.ndarray) -> float:
@@ -183,33 +184,38 @@ def _verified(pairs: DataFrame, texts: DataFrame, ngram: int, similarity: float)
 
 
 def _rooted(df: DataFrame, id_col: str, text_col: str, ngram: int, similarity: float) -> tuple[DataFrame, DataFrame]:
-    """(rows of df as (row, id, c, text, rest), the root of each class c). rest holds all columns; row is a number of the row's own."""
+    """(rows of df as (row, id, c, rest), the root of each class c). rest holds all columns; row is a number of the row's own."""
     session(df.sparkSession)
     bits, blocks = shape(df.count(), similarity)
-    given = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("rest"))
-    names = ["row", "id", "c", "print", "keys", "text", "rest"]
+    given = df.select(F.col(id_col).cast("long").alias("id"), F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("rest"))
+    names, at = ["row", "id", "c", "print", "blocks", "rest"], df.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = TaskContext.get().partitionId() << 33
         for b in batches:
-            sets = [shingles(x, ngram) for x in b.column(1).to_pylist()]
+            sets = [shingles(x, ngram) for x in b.column(1).field(at).to_pylist()]
             c = np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets], dtype=np.uint64).view(np.int64)
-            got = [block_keys(s, bits, blocks) if len(s) else (0, []) for s in sets]
-            cols = [pa.array(row + np.arange(len(sets))), b.column(0), pa.array(c), pa.array([x for x, _ in got], pa.int64()), pa.array([x for _, x in got], pa.list_(pa.int64())), b.column(1), b.column(2)]
+            got = [block_values(s, bits, blocks) if len(s) else (0, []) for s in sets]
+            cols = [pa.array(row + np.arange(len(sets))), b.column(0), pa.array(c), pa.array([x for x, _ in got], pa.int64()), pa.array([x for _, x in got], pa.list_(value)), b.column(1)]
             yield pa.RecordBatch.from_arrays(cols, names)
             row += len(sets)
 
-    kinds = (T.LongType(), T.LongType(), T.LongType(), T.LongType(), T.ArrayType(T.LongType()), given.schema["text"].dataType, given.schema["rest"].dataType)
+    # Values are sent as short as they are: blocks have few bits, and each doubles what there is to compare.
+    value, kind = (pa.int32(), T.IntegerType()) if bits < 32 else (pa.int64(), T.LongType())
+    kinds = (T.LongType(), T.LongType(), T.LongType(), T.LongType(), T.ArrayType(kind), given.schema["rest"].dataType)
     prints = save(given.mapInArrow(run, T.StructType([T.StructField(n, k) for n, k in zip(names, kinds, strict=True)])), "prints")
-    rows = prints.select("c", "print", "keys").dropDuplicates(["c"]).select("c", "print", F.explode("keys").alias("key"))
+    key = F.col("block").cast("long") * (1 << min(56, bits)) + F.col("value") if bits <= 50 else F.xxhash64("block", "value")
+    rows = prints.select("c", "print", "blocks").dropDuplicates(["c"]).select("c", "print", F.posexplode("blocks").alias("block", "value")).select(key.alias("key"), "c", "print")
     found = save(_pairs(rows.withColumn("root", F.col("c")), whole=False), "found")
-    texts = prints.select("c", "text")
+    texts = prints.select("c", F.col("rest").getField(text_col).alias("text"))
     links = _verified(found.where("b is not null"), texts, ngram, similarity)
     comp = components(links)
-    long_runs = found.where("b is null").select(F.col("a").alias("key"))
-    if not long_runs.isEmpty():
+    long_runs = save(found.where("b is null").select(F.col("a").alias("key")), "long")
+    n = long_runs.count()
+    if n:
         # What the leaders have joined needs no further links; all other pairs of long runs are compared as well.
-        left = rows.join(long_runs, "key", "left_semi").join(comp.withColumnRenamed("node", "c"), "c", "left").select("key", "c", "print", F.coalesce("root", "c").alias("root"))
+        wanted = rows.join(F.broadcast(long_runs) if n <= BROADCAST else long_runs, "key", "left_semi")
+        left = wanted.join(comp.withColumnRenamed("node", "c"), "c", "left").select("key", "c", "print", F.coalesce("root", "c").alias("root"))
         comp = components(links.union(_verified(_pairs(left, whole=True), texts, ngram, similarity)))
     classes = prints.select("c").distinct().join(comp.withColumnRenamed("node", "c"), "c", "left")
     return prints, save(classes.select("c", F.coalesce("root", "c").alias("root")), "rooted")
