@@ -1,3 +1,4 @@
+import re
 from collections import defaultdict
 
 import pytest
@@ -66,7 +67,9 @@ def test_variants_and_edges(spark, model):
 def test_cover_holds_a_word_of_every_pair():
     pairs = sorted({f for ts in L.TEMPLATES.values() for x in ts for f in L.features(x) if L.is_pair(f)})
     words = L.cover(pairs)
-    assert all(any(w in p for w in words) for p in pairs) and len(words) < len(pairs) / 2
+    assert all(set(words) & set(p.split(" ")) for p in pairs) and len(words) < len(pairs) / 2
+    some = re.compile(L.word_pattern(words))
+    assert all(some.search(p) for p in pairs) and all(some.search(f"x {w}.") for w in words) and not some.search("xlicensed")
 
 
 def test_held_out_wordings(spark, model):

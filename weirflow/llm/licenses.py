@@ -127,7 +127,7 @@ def is_pair(f: str) -> bool:
 
 
 def cover(pairs: list[str]) -> list[str]:
-    """Words of which each pair holds one, the fewest that greedy search finds; none that contains another."""
+    """Words of which each pair holds one, the fewest that greedy search finds."""
     left, out = [set(p.split(" ")) - STOP for p in pairs], []
     while left:
         count: dict[str, int] = {}
@@ -137,7 +137,16 @@ def cover(pairs: list[str]) -> list[str]:
         best = max(sorted(count), key=lambda w: (count[w], len(w)))
         out.append(best)
         left = [p for p in left if best not in p]
-    return sorted(w for w in out if not any(v != w and v in w for v in out))
+    return sorted(out)
+
+
+def word_pattern(words: list[str]) -> str:
+    """A regular expression that finds any of the words as a whole one, with alternatives by first letter, so that few are tried."""
+    by_letter: dict[str, list[str]] = {}
+    for w in sorted(words, key=lambda w: (-len(w), w)):
+        by_letter.setdefault(w[0], []).append(re.escape(w[1:]))
+    tries = "|".join(f"{re.escape(c)}(?:{'|'.join(ws)})" for c, ws in sorted(by_letter.items()))
+    return f"(?<![a-z0-9])(?:{tries})(?![a-z0-9])"
 
 
 @dataclass
@@ -228,7 +237,7 @@ def scan(df: DataFrame, model: Classifier, id_col: str = "doc_id", text_col: str
     spark = session(df.sparkSession)
     pairs = sorted({f for ts in TEMPLATES.values() for t in ts for f in features(t) if is_pair(f)})
     # A pair of a template takes a word of the cover, so texts and lines that contain none are out before words are made.
-    some = f"(?:{'|'.join(re.escape(w) for w in cover(pairs))})"
+    some = word_pattern(cover(pairs))
     lines = paragraphs(df.where(F.lower(text_col).rlike(some)), id_col, text_col).where(F.lower("line").rlike(some))
     hint = F.array(*[F.lit(p) for p in pairs])
     hits = save(lines.where(F.arrays_overlap(pairs_of(words_of(F.col("line"))), hint)).distinct(), "notices")
