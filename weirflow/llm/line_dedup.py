@@ -256,12 +256,12 @@ def _verified(runs: DataFrame, texts: DataFrame, similar: float) -> DataFrame:
     return pieces.repartition("run", "i", "j").sortWithinPartitions("run", "i", "j").mapInArrow(run, "a long, b long")
 
 
-def line_components(docs: DataFrame, occurrences: DataFrame, similar: float = SIMILAR) -> DataFrame:
-    """(h, root) of all lines that have a similar one. docs: (doc, tie, data)."""
+def line_components(docs: DataFrame, firsts: DataFrame, similar: float = SIMILAR) -> DataFrame:
+    """(h, root) of all lines that have a similar one. docs: (doc, tie, data); firsts: (h, f) of each line, f its first place."""
     spark = docs.sparkSession
     runs = save(_runs(_bands(docs)).distinct(), "runs")
     tidy(spark)
-    first = occurrences.groupBy("h").agg(F.min(F.struct("doc", "tie", "no")).alias("f")).join(runs.select("h").distinct(), "h").select("h", "f.doc", "f.tie", "f.no")
+    first = firsts.join(runs.select("h").distinct(), "h").select("h", "f.doc", "f.tie", "f.no")
     texts = save(_texts(docs, first), "lines")
     tidy(spark)
     links = save(_verified(runs, texts, similar), "similar")
@@ -273,9 +273,10 @@ def dropped_lines(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """(doc, tie, gone): by text that loses lines, their numbers from 0. Of each component of lines the first stays: the one of
     the least (doc, tie), then number. docs: (doc, tie, data)."""
     seen = save(_occurrences(docs), "occurrences")
-    comp = line_components(docs, seen, similar)
-    first = seen.groupBy("h").agg(F.min(F.struct("doc", "tie", "no")).alias("f"))
-    rooted = save(first.join(comp, "h", "left").select("h", F.coalesce("root", "h").alias("root"), "f"), "rooted")
+    firsts = save(seen.groupBy("h").agg(F.min(F.struct("doc", "tie", "no")).alias("f"), F.count("*").alias("n")), "firsts")
+    comp = line_components(docs, firsts, similar)
+    # Only lines that have a copy or a similar line can go.
+    rooted = save(firsts.join(comp, "h", "left").where("n > 1 or root is not null").select("h", F.coalesce("root", "h").alias("root"), "f"), "rooted")
     best = rooted.groupBy("root").agg(F.min("f").alias("best"))
     keep = rooted.join(best, "root").select("h", "best")
     gone = seen.join(keep, "h").where(F.struct("doc", "tie", "no") != F.col("best"))
