@@ -171,6 +171,10 @@ def _texts(docs: DataFrame, want: DataFrame) -> DataFrame:
 def spanning(lines: list[str], similar: float, k: int = SHINGLE) -> list[tuple[int, int]]:
     """Links that connect what similar pairs connect among these lines. Each step of the search compares one line with those
     that aren't reached yet, so a group that is alike takes few comparisons and no pairs are kept."""
+    if len(lines) == 2:  # nothing to search
+        x, y = shingles(lines[0], k), shingles(lines[1], k)
+        both = len(x & y)
+        return [(0, 1)] if both >= similar * (len(x) + len(y) - both) else []
     names: dict[str, int] = {}
     sets = [[names.setdefault(s, len(names)) for s in shingles(x, k)] for x in lines]
     size = np.array([len(s) for s in sets])
