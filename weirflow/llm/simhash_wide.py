@@ -31,8 +31,6 @@ DISTANCE = 20
 SHORT_RUN = 16
 #: Pairs that a task sends at once, and shingles whose bits are counted at once, in bytes.
 SENT, COUNTED = 1 << 16, 255
-#: Block values of long runs that are broadcast, 8 bytes each; more are joined by shuffle.
-BROADCAST = 1_000_000
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -89,8 +87,9 @@ def similarity_of(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def _pairs(rows: DataFrame, whole: bool) -> DataFrame:
-    """rows: (key, c, print, root). Pairs (a, b) of unlike root that share a key and whose prints are near: all of them if whole; else,
-    of runs longer than SHORT_RUN, each text with a leader, another one for each key, and with the next, and a row (key, null)."""
+    """rows: (key, c, print), with root if whole. Pairs (a, b) of unlike root that share a key and whose prints are near: all of them if
+    whole; else, of runs longer than SHORT_RUN, each text with a leader, another one for each key, and with the next, and all of
+    the run as rows (key, c, print), which in pairs is null."""
 
     def near(x: np.ndarray, y: np.ndarray) -> np.ndarray:
         return np.bitwise_count(x ^ y) <= DISTANCE
@@ -118,7 +117,7 @@ def _pairs(rows: DataFrame, whole: bool) -> DataFrame:
 
             def batch() -> pa.RecordBatch:
                 a, b = np.concatenate(left), np.concatenate(right)
-                return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+                return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.nulls(len(a), pa.int64())], ["a", "b", "print"])
 
             per_row = np.repeat(size, size)
             short = np.flatnonzero((per_row > 1) & (per_row <= SHORT_RUN))
@@ -146,11 +145,13 @@ def _pairs(rows: DataFrame, whole: bool) -> DataFrame:
             if left:
                 yield batch()
             if len(long) and not whole:
-                yield pa.RecordBatch.from_arrays([pa.array(k[start[long]]), pa.nulls(len(long), pa.int64())], ["a", "b"])
+                rest = per_row > SHORT_RUN
+                yield pa.RecordBatch.from_arrays([pa.array(x[rest].view(np.int64)) for x in (k, c, p)], ["a", "b", "print"])
 
         held = [np.empty(0, dtype=np.int64)] * 4
         for b in batches:
-            held = [np.concatenate([x, y.to_numpy(zero_copy_only=False)]) for x, y in zip(held, b.columns, strict=True)]
+            columns = b.columns if whole else [*b.columns, b.column(1)]  # at first each class is its own root
+            held = [np.concatenate([x, y.to_numpy(zero_copy_only=False)]) for x, y in zip(held, columns, strict=True)]
             if len(held[0]) < SENT:
                 continue
             at = int(np.searchsorted(held[0], held[0][-1]))  # the last run may go on in the next batch
@@ -160,7 +161,8 @@ def _pairs(rows: DataFrame, whole: bool) -> DataFrame:
         if len(held[0]):
             yield from cut(*held)
 
-    return rows.select("key", "c", "print", "root").repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long").distinct()
+    out = rows.select("key", "c", "print", *["root"] * whole).repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long, print long")
+    return out.distinct()
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, ngram: int, similarity: float) -> DataFrame:
@@ -206,17 +208,15 @@ def _rooted(df: DataFrame, id_col: str, text_col: str, ngram: int, similarity: f
     prints = save(given.mapInArrow(run, T.StructType([T.StructField(n, k) for n, k in zip(names, kinds, strict=True)])), "prints")
     key = F.col("block").cast("long") * (1 << min(56, bits)) + F.col("value") if bits <= 50 else F.xxhash64("block", "value")
     rows = prints.select("c", "print", "blocks").dropDuplicates(["c"]).select("c", "print", F.posexplode("blocks").alias("block", "value")).select(key.alias("key"), "c", "print")
-    found = save(_pairs(rows.withColumn("root", F.col("c")), whole=False), "found")
+    found = save(_pairs(rows, whole=False), "found")
     texts = prints.select("c", F.col("rest").getField(text_col).alias("text"))
-    links = _verified(found.where("b is not null"), texts, ngram, similarity)
+    links = _verified(found.where("print is null").select("a", "b"), texts, ngram, similarity)
     comp = components(links)
-    long_runs = save(found.where("b is null").select(F.col("a").alias("key")), "long")
-    n = long_runs.count()
-    if n:
+    long_rows = found.where("print is not null").select(F.col("a").alias("key"), F.col("b").alias("c"), "print")
+    if not long_rows.isEmpty():
         # What the leaders have joined needs no further links; all other pairs of long runs are compared as well.
-        wanted = rows.join(F.broadcast(long_runs) if n <= BROADCAST else long_runs, "key", "left_semi")
-        left = wanted.join(comp.withColumnRenamed("node", "c"), "c", "left").select("key", "c", "print", F.coalesce("root", "c").alias("root"))
-        comp = components(links.union(_verified(_pairs(left, whole=True), texts, ngram, similarity)))
+        left = long_rows.join(comp.withColumnRenamed("node", "c"), "c", "left").select("key", "c", "print", F.coalesce("root", "c").alias("root"))
+        comp = components(links.union(_verified(_pairs(left, whole=True).select("a", "b"), texts, ngram, similarity)))
     classes = prints.select("c").distinct().join(comp.withColumnRenamed("node", "c"), "c", "left")
     return prints, save(classes.select("c", F.coalesce("root", "c").alias("root")), "rooted")
 
