@@ -31,6 +31,8 @@ DISTANCE = 20
 SHORT_RUN = 16
 #: Pairs that a task sends at once, and shingles whose bits are counted at once, in bytes.
 SENT, COUNTED = 1 << 16, 255
+#: Classes that are broadcast to pick their texts, 8 bytes each; more are joined by shuffle.
+BROADCAST = 1_000_000
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -179,8 +181,8 @@ def _verified(pairs: DataFrame, texts: DataFrame, ngram: int, similarity: float)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(hit, pa.bool_()))
 
     pairs = save(pairs, "pairs")
-    ends = pairs.select(F.col("a").alias("c")).union(pairs.select("b")).distinct()
-    text = save(texts.join(ends, "c", "left_semi").dropDuplicates(["c"]), "texts")
+    ends = save(pairs.select(F.col("a").alias("c")).union(pairs.select("b")).distinct(), "ends")
+    text = save(texts.join(F.broadcast(ends) if ends.count() <= BROADCAST else ends, "c", "left_semi").dropDuplicates(["c"]), "texts")
     one, two = text.select(F.col("c").alias("a"), F.col("text").alias("x")), text.select(F.col("c").alias("b"), F.col("text").alias("y"))
     return save(pairs.join(two, "b").join(one, "a").select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "verified")
 
