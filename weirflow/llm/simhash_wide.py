@@ -243,5 +243,6 @@ def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     prints, rooted = _rooted(df, id_col, text_col, ngram, similarity)
     place = F.struct(F.col("id").isNull().alias("no_id"), "id", "row")
     first = prints.groupBy("c").agg(F.min(place).alias("p")).join(rooted, "c").groupBy("root").agg(F.min("p").alias("p")).select("p.row")
-    kept = prints.join(save(first, "first"), "row", "left_semi")
+    # The same plan at every size: small tables would be broadcast, and figures taken from them wouldn't hold for large ones.
+    kept = prints.join(save(first, "first").hint("merge"), "row", "left_semi")
     return kept.select(*[F.col("rest").getField(c).alias(c) for c in df.columns])
