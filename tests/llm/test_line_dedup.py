@@ -79,3 +79,26 @@ def test_query(spark, sf):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").orderBy("doc_id").collect()]
     want = {d: (n, m, len(t.encode())) for d, t, n, m in brute(docs)}
     assert {r.doc_id: (r.n_lines, r.n_removed, r.kept_bytes) for r in D.op6_line_dedup(spark, sf).collect()} == want
+
+
+def test_pieces_are_compared_exactly():
+    rnd = random.Random(8)
+    wide = "".join(map(chr, range(0x4E00, 0x4E00 + 500))) + "😀\0ab"
+    pieces = []
+    for k in range(60):
+        base = "".join(rnd.choice(wide if k % 2 else "abc") for _ in range(rnd.choice([0, 1, 7, 8, 40, 200])))
+        pieces.append([base, base + "\0", *["".join(c if rnd.random() > 0.01 else "x" for c in base) + rnd.choice(["", "yz", "\0\0"]) for _ in range(rnd.randrange(8))]])
+    lines, starts = [x for p in pieces for x in p], list(np.cumsum([0, *map(len, pieces)])[:-1].tolist())
+
+    def roots(n, links):
+        up = list(range(n))
+
+        def find(x):
+            return x if up[x] == x else find(up[x])
+
+        for a, b in links:
+            up[find(max(a, b))] = find(min(a, b))
+        return [min(j for j in range(n) if find(j) == find(i)) for i in range(n)]
+
+    every = [(s + i, s + j) for s, p in zip(starts, pieces, strict=True) for j in range(len(p)) for i in range(j) if D.jaccard(p[i], p[j]) >= 0.8]
+    assert roots(len(lines), D.spanning(lines, starts, 0.8)) == roots(len(lines), every)

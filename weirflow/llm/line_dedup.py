@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,7 +18,7 @@ SHINGLE, SIMILAR = 8, 0.8
 BANDS, ROWS = 12, 4
 #: Lines of a run that are compared in one task; of a longer run, blocks of so many by pairs.
 RUN = 4096
-#: Characters whose signatures are made at once.
+#: Characters whose signatures are made at once; also those that small runs are put together to, to be compared at once.
 CHUNK = 1 << 17
 U = np.uint64
 
@@ -168,38 +167,76 @@ def _texts(docs: DataFrame, want: DataFrame) -> DataFrame:
     return docs.join(by_doc, ["doc", "tie"]).select("data", "lines").mapInArrow(run, "h long, line string")
 
 
-def spanning(lines: list[str], similar: float, k: int = SHINGLE) -> list[tuple[int, int]]:
-    """Links that connect what similar pairs connect among these lines. Each step of the search compares one line with those
-    that aren't reached yet, so a group that is alike takes few comparisons and no pairs are kept."""
-    if len(lines) == 2:  # nothing to search
-        x, y = shingles(lines[0], k), shingles(lines[1], k)
-        both = len(x & y)
-        return [(0, 1)] if both >= similar * (len(x) + len(y) - both) else []
-    names: dict[str, int] = {}
-    sets = [[names.setdefault(s, len(names)) for s in shingles(x, k)] for x in lines]
-    size = np.array([len(s) for s in sets])
-    ids, start = np.fromiter(itertools.chain.from_iterable(sets), dtype=np.int64, count=size.sum()), np.cumsum(size) - size
-    mark = np.zeros(len(names), dtype=np.int32)
-    out, rest, queue = [], np.arange(1, len(lines)), [0]
-    while len(rest):
-        if not queue:
-            queue, rest = [int(rest[0])], rest[1:]
-            continue
-        x = queue.pop()
-        own, n = ids[start[x] : start[x] + size[x]], size[rest]
-        fit = np.minimum(n, size[x]) >= similar * np.maximum(n, size[x])
-        some, n = rest[fit], n[fit]
-        if not len(some):
-            continue
-        mark[own] = 1
-        first = np.cumsum(n) - n
-        both = np.add.reduceat(mark[ids[np.arange(n.sum()) + np.repeat(start[some] - first, n)]], first)
-        mark[own] = 0
-        hit = some[both >= similar * (size[x] + n - both)]
-        out += [(x, y) for y in hit.tolist()]
-        queue += hit.tolist()
-        fit[fit] = both >= similar * (size[x] + n - both)
-        rest = rest[~fit]
+def shingle_numbers(codes: np.ndarray, k: int = SHINGLE) -> np.ndarray:
+    """By position, a number of the k code points from there on, equal where all of them are equal and only there (k a power of two)."""
+    used = np.zeros(int(codes.max()) + 1, dtype=U)
+    used[codes] = 1
+    h, most, n = (np.cumsum(used) - U(1))[codes], int(used.sum()), 1
+    while n < k:
+        if most > 1 << 32:  # two numbers wouldn't fit 64 bits
+            names, h = np.unique(h, return_inverse=True)
+            h, most = h.astype(U), len(names)
+        h, most, n = h[:-n] * U(most) + h[n:], most * most, 2 * n
+    return h
+
+
+def line_sets(lines: list[str], k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, sizes): the distinct shingles of each line as ascending numbers, one line's after the other's, and how many each has.
+    A line shorter than k characters is one shingle, padded by what no text holds."""
+    padded = [x.ljust(k, "\udfff") for x in lines]
+    size = np.array([len(x) for x in padded])
+    h = shingle_numbers(np.frombuffer("".join(padded).encode("utf-32-le", "surrogatepass"), dtype=np.uint32), k)
+    n = size - k + 1
+    first = np.cumsum(n) - n
+    h = h[np.arange(n.sum()) + np.repeat(np.cumsum(size) - size - first, n)]
+    order = np.argsort(h)
+    ids = np.empty(len(h), dtype=np.int64)
+    ids[order] = np.cumsum(np.r_[False, h[order[1:]] != h[order[:-1]]])
+    key = np.repeat(np.arange(len(lines)) << 32, n) | ids
+    key.sort()
+    key = key[np.r_[True, key[1:] != key[:-1]]]
+    return key & 0xFFFFFFFF, np.bincount(key >> 32, minlength=len(lines))
+
+
+def spanning(lines: list[str], starts: list[int], similar: float, k: int = SHINGLE) -> list[tuple[int, int]]:
+    """Links that connect what similar pairs connect within each piece; a piece reaches from its place in starts to the next one's.
+    First all lines are compared with the first of their piece; where that leaves some, each step of the search compares one line
+    with those that aren't reached yet. So a group that is alike takes few comparisons and no pairs are kept."""
+    ids, size = line_sets(lines, k)
+    begin = np.cumsum(size) - size
+    head = np.repeat(np.array(starts), np.diff([*starts, len(lines)]))
+    line = np.repeat(np.arange(len(lines)), size)
+    key = head[line] << 32 | ids
+    known = key[line == head[line]]
+    found = known[np.minimum(np.searchsorted(known, key), len(known) - 1)] == key
+    both = np.add.reduceat(found.astype(np.int64), begin)
+    linked = both >= similar * (size + size[head] - both)
+    mine = np.flatnonzero(linked & (head != np.arange(len(lines))))
+    out = list(zip(head[mine].tolist(), mine.tolist(), strict=True))
+    mark = np.zeros(int(ids.max()) + 1, dtype=np.int32)
+    for s in np.unique(head[~linked]).tolist():
+        piece = np.arange(s, np.searchsorted(head, s, "right"))
+        queue, rest = piece[linked[piece]][1:].tolist(), piece[~linked[piece]]
+        while len(rest):
+            if not queue:
+                queue, rest = [int(rest[0])], rest[1:]
+                continue
+            x = queue.pop()
+            own, n = ids[begin[x] : begin[x] + size[x]], size[rest]
+            fit = np.minimum(n, size[x]) >= similar * np.maximum(n, size[x])
+            some, n = rest[fit], n[fit]
+            if not len(some):
+                continue
+            mark[own] = 1
+            first = np.cumsum(n) - n
+            both = np.add.reduceat(mark[ids[np.arange(n.sum()) + np.repeat(begin[some] - first, n)]], first)
+            mark[own] = 0
+            near = both >= similar * (size[x] + n - both)
+            hit = some[near].tolist()
+            out += [(x, y) for y in hit]
+            queue += hit
+            fit[fit] = near
+            rest = rest[~fit]
     return out
 
 
@@ -230,26 +267,28 @@ def _pieces(runs: DataFrame, similar: float) -> DataFrame:
 
 
 def _verified(runs: DataFrame, texts: DataFrame, similar: float) -> DataFrame:
-    """Links (a, b) within runs by exact similarity; pieces of runs are read one after another."""
+    """Links (a, b) within runs by exact similarity; pieces of runs are read one after another, and small ones compared at once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(held: list[tuple]) -> list[tuple[int, int]]:
-            return [(held[i][3], held[j][3]) for i, j in spanning([x[4] for x in held], similar)]
+        def out() -> Iterator[pa.RecordBatch]:
+            links = spanning(lines, starts, similar)
+            if links:
+                yield pa.RecordBatch.from_arrays([pa.array([hashes[x] for x in c], pa.int64()) for c in zip(*links, strict=True)], ["a", "b"])
 
-        held: list[tuple] = []
-        links: list[tuple[int, int]] = []
+        hashes, lines, starts, last, chars = [], [], [], None, 0
         for batch in batches:
-            for x in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if held and x[:3] != held[0][:3]:
-                    links += out(held)
-                    held = []
-                held.append(x)
-            if links:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*links, strict=True)], ["a", "b"])
-                links = []
-        links = out(held) if held else []
-        if links:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*links, strict=True)], ["a", "b"])
+            for *piece, h, line in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if piece != last:
+                    if chars >= CHUNK:
+                        yield from out()
+                        hashes, lines, starts, chars = [], [], [], 0
+                    starts.append(len(lines))
+                    last = piece
+                hashes.append(h)
+                lines.append(line)
+                chars += len(line)
+        if lines:
+            yield from out()
 
     sizes = save(runs.groupBy("run").agg(F.count("*").alias("n")).where(F.col("n") > RUN).select("run"), "long")
     with_text = runs.join(texts, "h").select("run", "h", "line")
