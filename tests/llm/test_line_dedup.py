@@ -102,3 +102,52 @@ def test_pieces_are_compared_exactly():
 
     every = [(s + i, s + j) for s, p in zip(starts, pieces, strict=True) for j in range(len(p)) for i in range(j) if D.jaccard(p[i], p[j]) >= 0.8]
     assert roots(len(lines), D.spanning(lines, starts, 0.8)) == roots(len(lines), every)
+
+
+def test_large_groups_take_few_comparisons(spark, monkeypatch):
+    """Runs are cut into parts and what these leave is joined: as by brute force, and far from all pairs are compared."""
+    rnd = random.Random(5)
+    words = ["".join(rnd.choice("abcdefghij") for _ in range(rnd.randrange(2, 9))) for _ in range(400)]
+    base = [[rnd.choice(words) for _ in range(60)] for _ in range(3)]
+    pool = []
+    for k in range(120):
+        x = list(base[k % 3])
+        for _ in range(rnd.choice([0, 1, 2, 3, 5, 7])):
+            x[rnd.randrange(60)] = rnd.choice(words)
+        pool.append(" ".join(x))
+    pool += [" ".join(base[0][:30] + base[1][30:]), "short", "short!"]
+    rows = [(k, "\n".join(rnd.choice(pool) for _ in range(4))) for k in range(40)]
+    for size in (4096, 64):
+        monkeypatch.setattr(D, "RUN", size)
+        assert run(spark, rows) == brute(rows)
+
+
+def test_joining_equals_all_pairs(monkeypatch):
+    rnd = random.Random(9)
+    monkeypatch.setattr(D, "AT_ONCE", 8)
+    for _ in range(30):
+        base = "".join(rnd.choice("abcdefgh ") for _ in range(rnd.choice([3, 40, 150])))
+        lines = list({"".join(c if rnd.random() > rnd.choice([0, 0.01, 0.02]) else "x" for c in base) + rnd.choice(["", "y", "zz" * 9]) for _ in range(25)})
+        roots = [rnd.randrange(8) for _ in lines]
+
+        def parts(links):
+            up = list(range(8))
+            for a, b in links:
+                up = [up[a] if r == up[b] else r for r in up]
+            return [up.index(r) for r in up]
+
+        every = [(a, b) for x, a in zip(lines, roots, strict=True) for y, b in zip(lines, roots, strict=True) if a != b and D.jaccard(x, y) >= 0.8]
+        assert parts(D.joining(lines, roots, 0.8)) == parts(every)
+
+
+def test_parts_that_are_connected_are_not_compared_again(spark, monkeypatch):
+    """Of long runs only lines of different components meet again; all pairs of blocks of them did before."""
+    monkeypatch.setattr(D, "RUN", 16)
+    runs = spark.createDataFrame([(1, h) for h in range(200)] + [(2, h) for h in range(300, 500)], "run long, h long")
+    labels = spark.createDataFrame([(h, 0) for h in range(200)] + [(h, 300) for h in range(300, 490)], "node long, root long")
+    long = spark.createDataFrame([(1, 200, 0), (2, 200, 300)], "run long, n long, first long")
+    got = D._left(runs, long, labels).collect()
+    assert {r.run for r in got} == {2} and {r.h for r in got} == set(range(300, 500))
+    meet = {(a.h, b.h) for a in got if a.h >= 490 for b in got if (a.i, a.j) == (b.i, b.j)}
+    assert meet == {(a, b) for a in range(490, 500) for b in range(300, 500)}
+    assert len(got) <= 2 * 190 + 10 * 26

@@ -16,8 +16,10 @@ from weirflow.llm.common import components, keyed, save, session, table, tidy
 SHINGLE, SIMILAR = 8, 0.8
 #: Signatures are BANDS x ROWS minima: a pair of similarity 0.8 shares a band with probability 1 - (1 - 0.8^4)^12 = 0.998.
 BANDS, ROWS = 12, 4
-#: Lines of a run that are compared in one task; of a longer run, blocks of so many by pairs.
+#: Lines that are compared in one task at most; an eighth of it are compared by search, more are cut.
 RUN = 4096
+#: Lines that hold a line's rare shingles and are looked up at once.
+AT_ONCE = 1 << 12
 #: Characters whose signatures are made at once; also those that small runs are put together to, to be compared at once.
 CHUNK = 1 << 17
 U = np.uint64
@@ -240,46 +242,73 @@ def spanning(lines: list[str], starts: list[int], similar: float, k: int = SHING
     return out
 
 
-def _pieces(runs: DataFrame, similar: float) -> DataFrame:
-    """runs: (run, h, line) -> (run, i, j, h, line): what is compared together. A run of at most RUN lines is one piece. A longer one is
-    cut by its lines' numbers of characters into classes so wide that only neighbouring ones can hold similar lines, these by hash
-    into blocks, and each pair of blocks of a class or of neighbouring classes is a piece."""
-    sizes = runs.groupBy("run").agg(F.count("*").alias("n"))
-    # A line of n characters has between one and n - SHINGLE + 1 shingles, as they repeat: classes go by the distinct ones.
-    distinct = F.size(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("line") - SHINGLE + 1, F.lit(1))), lambda i: F.substring(F.col("line"), i, F.lit(SHINGLE)))))
-    with_n = runs.join(sizes, "run")
-    short = with_n.where(F.col("n") <= RUN).select("run", F.lit(0).alias("i"), F.lit(0).alias("j"), "h", "line")
-    long = with_n.where(F.col("n") > RUN).withColumn("c", F.floor(F.log(distinct.cast("double")) / float(-np.log(similar)) + 1e-9).cast("int"))
-    blocks = F.ceil(F.col("m") / RUN).cast("int")
-    classes = long.groupBy("run", "c").agg(F.count("*").alias("m")).select("run", "c", blocks.alias("blocks"))
-    above = classes.select("run", (F.col("c") - 1).alias("c"), F.col("blocks").alias("upper"))
-    below = classes.select("run", (F.col("c") + 1).alias("c"), F.col("blocks").alias("lower"))
-    cut = long.join(classes, ["run", "c"]).join(above, ["run", "c"], "left").join(below, ["run", "c"], "left").withColumn("b", F.pmod(F.xxhash64("h"), F.col("blocks")).cast("int"))
-    # Block b of class c is number c * 2^16 + b; it meets all blocks of its class and of the next, and those of the one before meet it.
-    number = lambda c, b: c * 65536 + b
-    upto = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-    me = number(F.col("c"), F.col("b"))
-    same = F.transform(upto(F.col("blocks")), lambda x: number(F.col("c"), x))
-    more = F.transform(upto(F.coalesce("upper", F.lit(0))), lambda x: number(F.col("c") + 1, x))
-    less = F.transform(upto(F.coalesce("lower", F.lit(0))), lambda x: number(F.col("c") - 1, x))
-    met = cut.withColumn("other", F.explode(F.concat(same, more, less)))
-    return short.union(met.select("run", F.least(me, F.col("other")).alias("i"), F.greatest(me, F.col("other")).alias("j"), "h", "line"))
-
-
-def _verified(runs: DataFrame, texts: DataFrame, similar: float) -> DataFrame:
-    """Links (a, b) within runs by exact similarity; pieces of runs are read one after another, and small ones compared at once."""
+def places(begin: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The n places from each begin on, one after the other."""
+    return np.arange(n.sum()) + np.repeat(begin - (np.cumsum(n) - n), n)
+
+
+def joining(lines: list[str], roots: list[int], similar: float) -> list[tuple[int, int]]:
+    """Links (of roots) that connect what similar pairs of lines of different roots connect. Of two sets as similar as that, the rarest
+    shingles, one more than may be missing from the other set, have one in common, so only lines that share one of these are compared,
+    each with those that no link reaches yet. The lines of the most frequent root are only compared with."""
+    names, label, held = np.unique(np.array(roots, dtype=np.int64), return_inverse=True, return_counts=True)
+    order = np.argsort(held[label], kind="stable")
+    order = np.r_[order[label[order] != np.argmax(held)], order[label[order] == np.argmax(held)]]
+    label = label[order]
+    ids, n = line_sets([lines[i] for i in order.tolist()])
+    begin = np.cumsum(n) - n
+    rank = np.empty(int(ids.max()) + 1, dtype=np.int64)
+    rank[np.argsort(np.bincount(ids), kind="stable")] = np.arange(len(rank))
+    key = np.repeat(np.arange(len(n)) << 32, n) | rank[ids]
+    key.sort()
+    most = n - np.ceil(similar * n - 1e-6).astype(np.int64) + 1
+    token = key[places(begin, most)] & 0xFFFFFFFF
+    del key
+    mine = np.cumsum(most) - most
+    holder = np.repeat(np.arange(len(n)), most)[np.argsort(token, kind="stable")]
+    at = np.r_[0, np.cumsum(np.bincount(token, minlength=len(rank)))]
+    out, seen, mark, own_label = [], np.zeros(len(n), dtype=bool), np.zeros(len(rank), dtype=np.int32), label.copy()
+    for x in range(len(n) - int(held.max())):
+        own = token[mine[x] : mine[x] + most[x]]  # the rarest first, as what they find makes others needless
+        size = at[own + 1] - at[own]
+        cuts = np.flatnonzero(np.diff(np.cumsum(size) // AT_ONCE, prepend=0)).tolist()
+        mark[ids[begin[x] : begin[x] + n[x]]] = 1
+        tried = []
+        for i, j in zip([0, *cuts], [*cuts, len(own)], strict=True):
+            some = holder[places(at[own[i:j]], size[i:j])]
+            some = np.unique(some[(label[some] != label[x]) & ~seen[some]])
+            seen[some] = True
+            tried.append(some)
+            some = some[np.minimum(n[some], n[x]) >= similar * np.maximum(n[some], n[x])]
+            while len(some):
+                part, some = some[:64], some[64:]
+                m = n[part]
+                both = np.add.reduceat(mark[ids[places(begin[part], m)]], np.cumsum(m) - m)
+                for y in part[both >= similar * (n[x] + m - both)].tolist():
+                    if label[y] != label[x]:
+                        out.append((int(names[own_label[x]]), int(names[own_label[y]])))
+                        label[label == label[x]] = label[y]
+                some = some[label[some] != label[x]]
+        mark[ids[begin[x] : begin[x] + n[x]]] = 0
+        seen[np.concatenate(tried)] = False
+    return out
+
+
+def _compared(pieces: DataFrame, texts: DataFrame, similar: float, joins: bool = False) -> DataFrame:
+    """Links (a, b) of lines within pieces (run, i, j, h) by exact similarity, or of roots if pieces have these too and `joins`. Pieces are
+    read one after another, and small ones compared at once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out() -> Iterator[pa.RecordBatch]:
-            links = spanning(lines, starts, similar)
+            links = joining(lines, hashes, similar) if joins else [(hashes[x], hashes[y]) for x, y in spanning(lines, starts, similar)]
             if links:
-                yield pa.RecordBatch.from_arrays([pa.array([hashes[x] for x in c], pa.int64()) for c in zip(*links, strict=True)], ["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*links, strict=True)], ["a", "b"])
 
         hashes, lines, starts, last, chars = [], [], [], None, 0
         for batch in batches:
             for *piece, h, line in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if piece != last:
-                    if chars >= CHUNK:
+                    if lines and (joins or chars >= CHUNK):
                         yield from out()
                         hashes, lines, starts, chars = [], [], [], 0
                     starts.append(len(lines))
@@ -290,13 +319,46 @@ def _verified(runs: DataFrame, texts: DataFrame, similar: float) -> DataFrame:
         if lines:
             yield from out()
 
-    sizes = save(runs.groupBy("run").agg(F.count("*").alias("n")).where(F.col("n") > RUN).select("run"), "long")
-    with_text = runs.join(texts, "h").select("run", "h", "line")
-    if sizes.isEmpty():  # no run is cut, so nothing is counted again
-        pieces = with_text.select("run", F.lit(0).alias("i"), F.lit(0).alias("j"), "h", "line")
-    else:
-        pieces = _pieces(save(with_text, "run-lines"), similar)
-    return pieces.repartition("run", "i", "j").sortWithinPartitions("run", "i", "j").mapInArrow(run, "a long, b long")
+    with_text = pieces.join(texts, "h").select("run", "i", "j", "root" if joins else "h", "line")
+    return with_text.repartition("run", "i", "j").sortWithinPartitions("run", "i", "j").mapInArrow(run, "a long, b long")
+
+
+def _left(runs: DataFrame, long: DataFrame, labels: DataFrame) -> DataFrame:
+    """(run, i, j, h, root): the pieces of long runs in which lines of different roots meet. Of each run the lines of the most
+    frequent root and the others are dealt to blocks; each block of others meets all other blocks."""
+    half = max(1, RUN // 2)
+    lines = runs.join(F.broadcast(long.select("run")), "run").join(labels.withColumnRenamed("node", "h"), "h", "left")
+    lines = save(lines.select("run", "h", F.coalesce("root", "h").alias("root")), "rooted-lines")
+    roots = lines.groupBy("run", "root").agg(F.count("*").alias("m"))
+    main = roots.groupBy("run").agg(F.max(F.struct("m", "root")).alias("main"), F.sum("m").alias("n")).where("main.m < n")
+    blocks = lambda n: F.ceil(n / half).cast("int")
+    both = lines.join(F.broadcast(main.select("run", F.col("main.root").alias("first"), blocks(F.col("n") - F.col("main.m")).alias("others"), blocks(F.col("main.m")).alias("firsts"))), "run")
+    dealt = lambda n: F.pmod(F.xxhash64("h"), F.col(n)).cast("int")
+    both = both.withColumn("b", F.when(F.col("root") == F.col("first"), F.col("others") + dealt("firsts")).otherwise(dealt("others")))
+    meets = F.when(F.col("b") >= F.col("others"), F.sequence(F.lit(0), F.col("others") - 1)).otherwise(F.array_remove(F.sequence(F.lit(0), F.col("others") + F.col("firsts") - 1), F.col("b")))
+    met = both.withColumn("other", F.explode(meets))
+    return met.select("run", F.least("b", "other").alias("i"), F.greatest("b", "other").alias("j"), "h", "root")
+
+
+def run_components(runs: DataFrame, texts: DataFrame, similar: float) -> DataFrame:
+    """(node, root) of all lines that are linked within runs. A run is compared whole, or, if it is longer than an eighth of RUN, by parts
+    of that size that share its first line. Since most of what such a run connects is then connected, through other runs too, only lines
+    of different components of it are compared again, whatever their parts. So nothing is lost, and no run takes all its pairs."""
+    part = max(2, RUN // 8)
+    long = save(runs.groupBy("run").agg(F.count("*").alias("n"), F.min("h").alias("first")).where(F.col("n") > part), "long")
+    zero = F.lit(0).alias("i")
+    if long.isEmpty():
+        return components(save(_compared(runs.select("run", zero, F.lit(0).alias("j"), "h"), texts, similar), "similar"))
+    parts = F.ceil(F.col("n") / part).cast("int")
+    dealt = runs.join(F.broadcast(long), "run", "left").where("first is null or first <> h")
+    dealt = dealt.select("run", zero, F.coalesce(F.pmod(F.xxhash64("h", "run"), parts).cast("int"), F.lit(0)).alias("j"), "h")
+    firsts = long.select("run", zero, F.explode(F.sequence(F.lit(0), parts - 1)).alias("j"), F.col("first").alias("h"))
+    labels = components(save(_compared(dealt.union(firsts), texts, similar), "similar"))
+    tidy(runs.sparkSession)
+    more = components(save(_compared(_left(runs, long, labels), texts, similar, joins=True), "joins"))
+    tidy(runs.sparkSession)
+    again = labels.join(more.select(F.col("node").alias("root"), F.col("root").alias("next")), "root", "left").select("node", F.coalesce("next", "root").alias("root"))
+    return again.union(more.join(labels.select("node"), "node", "left_anti").select("node", "root"))
 
 
 def line_components(docs: DataFrame, firsts: DataFrame, similar: float = SIMILAR) -> DataFrame:
@@ -307,9 +369,7 @@ def line_components(docs: DataFrame, firsts: DataFrame, similar: float = SIMILAR
     first = firsts.join(runs.select("h").distinct(), "h").select("h", "f.doc", "f.tie", "f.no")
     texts = save(_texts(docs, first), "lines")
     tidy(spark)
-    links = save(_verified(runs, texts, similar), "similar")
-    tidy(spark)
-    return components(links).withColumnRenamed("node", "h")
+    return run_components(runs, texts, similar).withColumnRenamed("node", "h")
 
 
 def dropped_lines(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
