@@ -151,3 +151,32 @@ def test_parts_that_are_connected_are_not_compared_again(spark, monkeypatch):
     meet = {(a.h, b.h) for a in got if a.h >= 490 for b in got if (a.i, a.j) == (b.i, b.j)}
     assert meet == {(a, b) for a in range(490, 500) for b in range(300, 500)}
     assert len(got) <= 2 * 190 + 10 * 26
+
+
+def test_lines_that_stay_alone_are_not_looked_up_one_by_one(monkeypatch):
+    """Lines of a long run that link with none took all their shingles against all lines before."""
+    rnd, looked = random.Random(12), [0]
+    words = ["".join(rnd.choice("abcdefghijklmnop") for _ in range(rnd.randrange(2, 9))) for _ in range(3000)]
+    base = rnd.choices(words, k=50)
+    lines = list({" ".join(w if rnd.random() > (0.02 if k % 2 else 0.2) else rnd.choice(words) for w in base) for k in range(400)})
+    links = D.spanning(lines, [0], 0.8)
+    roots = list(range(len(lines)))
+    for a, b in links:
+        roots = [roots[a] if r == roots[b] else r for r in roots]
+    places = D.places
+
+    def counted(begin, n):
+        looked[0] += int(n.sum())
+        return places(begin, n)
+
+    monkeypatch.setattr(D, "places", counted)
+    assert D.joining(lines, roots, 0.8) == []
+    alone = [x for x, r in zip(lines, roots, strict=True) if roots.count(r) == 1]
+    assert len(alone) > 100 and looked[0] < len(alone) * 50 * 16
+    some = rnd.sample(range(len(lines)), 300)
+    mixed = [r if k in some else 10_000 + k for k, r in enumerate(roots)]
+    up = {r: r for r in mixed}
+    for a, b in D.joining(lines, mixed, 0.8):
+        up = {r: up[a] if x == up[b] else x for r, x in up.items()}
+    found = [up[r] for r in mixed]
+    assert [found.index(r) for r in found] == [roots.index(r) for r in roots]

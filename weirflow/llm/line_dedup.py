@@ -18,8 +18,8 @@ SHINGLE, SIMILAR = 8, 0.8
 BANDS, ROWS = 12, 4
 #: Lines that are compared in one task at most; an eighth of it are compared by search, more are cut.
 RUN = 4096
-#: Lines that hold a line's rare shingles and are looked up at once.
-AT_ONCE = 1 << 12
+#: Lines whose common shingles with all others are counted at once, lines from which a shingle is counted by matrices, and their cells.
+AT_ONCE, OFTEN, CELLS = 1 << 10, 16, 1 << 24
 #: Characters whose signatures are made at once; also those that small runs are put together to, to be compared at once.
 CHUNK = 1 << 17
 U = np.uint64
@@ -248,49 +248,44 @@ def places(begin: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 
 def joining(lines: list[str], roots: list[int], similar: float) -> list[tuple[int, int]]:
-    """Links (of roots) that connect what similar pairs of lines of different roots connect. Of two sets as similar as that, the rarest
-    shingles, one more than may be missing from the other set, have one in common, so only lines that share one of these are compared,
-    each with those that no link reaches yet. The lines of the most frequent root are only compared with."""
+    """Links (of roots) that connect what similar pairs of lines of different roots connect. The shingles that a line has in common with
+    each other one are counted exactly: those of OFTEN lines or more by a product of matrices, rarer ones by the lines that hold them.
+    The lines of the most frequent root are only compared with."""
     names, label, held = np.unique(np.array(roots, dtype=np.int64), return_inverse=True, return_counts=True)
-    order = np.argsort(held[label], kind="stable")
-    order = np.r_[order[label[order] != np.argmax(held)], order[label[order] == np.argmax(held)]]
+    last = label == np.argmax(held)
+    order = np.r_[np.flatnonzero(~last), np.flatnonzero(last)]
     label = label[order]
+    own_label, count = label.copy(), len(order)
     ids, n = line_sets([lines[i] for i in order.tolist()])
-    begin = np.cumsum(n) - n
-    rank = np.empty(int(ids.max()) + 1, dtype=np.int64)
-    rank[np.argsort(np.bincount(ids), kind="stable")] = np.arange(len(rank))
-    key = np.repeat(np.arange(len(n)) << 32, n) | rank[ids]
-    key.sort()
-    most = n - np.ceil(similar * n - 1e-6).astype(np.int64) + 1
-    token = key[places(begin, most)] & 0xFFFFFFFF
-    del key
-    mine = np.cumsum(most) - most
-    holder = np.repeat(np.arange(len(n)), most)[np.argsort(token, kind="stable")]
-    at = np.r_[0, np.cumsum(np.bincount(token, minlength=len(rank)))]
-    out, seen, mark, own_label = [], np.zeros(len(n), dtype=bool), np.zeros(len(rank), dtype=np.int32), label.copy()
-    for x in range(len(n) - int(held.max())):
-        own = token[mine[x] : mine[x] + most[x]]  # the rarest first, as what they find makes others needless
-        size = at[own + 1] - at[own]
-        cuts = np.flatnonzero(np.diff(np.cumsum(size) // AT_ONCE, prepend=0)).tolist()
-        mark[ids[begin[x] : begin[x] + n[x]]] = 1
-        tried = []
-        for i, j in zip([0, *cuts], [*cuts, len(own)], strict=True):
-            some = holder[places(at[own[i:j]], size[i:j])]
-            some = np.unique(some[(label[some] != label[x]) & ~seen[some]])
-            seen[some] = True
-            tried.append(some)
-            some = some[np.minimum(n[some], n[x]) >= similar * np.maximum(n[some], n[x])]
-            while len(some):
-                part, some = some[:64], some[64:]
-                m = n[part]
-                both = np.add.reduceat(mark[ids[places(begin[part], m)]], np.cumsum(m) - m)
-                for y in part[both >= similar * (n[x] + m - both)].tolist():
-                    if label[y] != label[x]:
-                        out.append((int(names[own_label[x]]), int(names[own_label[y]])))
-                        label[label == label[x]] = label[y]
-                some = some[label[some] != label[x]]
-        mark[ids[begin[x] : begin[x] + n[x]]] = 0
-        seen[np.concatenate(tried)] = False
+    line, holders = np.repeat(np.arange(count), n), np.bincount(ids)
+    often = holders >= OFTEN
+    column, wide = np.cumsum(often) - 1, max(1, CELLS // count)
+    full = often[ids]
+    full_line, full_column = line[full], column[ids[full]]
+    rare = (holders[ids] > 1) & ~full
+    rare_line, rare_id = line[rare], ids[rare]
+    mine = np.searchsorted(rare_line, np.arange(count + 1))
+    holder = rare_line[np.argsort(rare_id, kind="stable")]
+    at = np.r_[0, np.cumsum(np.bincount(rare_id, minlength=len(holders)))]
+    out, others = [], int((~last).sum())
+    for start in range(0, others, AT_ONCE):
+        end = min(others, start + AT_ONCE)
+        both = np.zeros((end - start, count), dtype=np.float32)
+        for c in range(0, int(often.sum()), wide):
+            some = (full_column >= c) & (full_column < c + wide)
+            has = np.zeros((count, wide), dtype=np.float32)
+            has[full_line[some], full_column[some] - c] = 1
+            both += has[start:end] @ has.T
+        for x in range(start, end):
+            own = rare_id[mine[x] : mine[x + 1]]
+            more = np.bincount(holder[places(at[own], at[own + 1] - at[own])], minlength=count)
+            common = both[x - start].astype(np.int64) + more
+            near = (label != label[x]) & (common >= similar * (n[x] + n - common))
+            while near.any():
+                y = int(np.argmax(near))
+                out.append((int(names[own_label[x]]), int(names[own_label[y]])))
+                label[label == label[x]] = label[y]
+                near &= label != label[x]
     return out
 
 
@@ -343,7 +338,7 @@ def _left(runs: DataFrame, long: DataFrame, labels: DataFrame) -> DataFrame:
 def run_components(runs: DataFrame, texts: DataFrame, similar: float) -> DataFrame:
     """(node, root) of all lines that are linked within runs. A run is compared whole, or, if it is longer than an eighth of RUN, by parts
     of that size that share its first line. Since most of what such a run connects is then connected, through other runs too, only lines
-    of different components of it are compared again, whatever their parts. So nothing is lost, and no run takes all its pairs."""
+    of different components of it are compared again (`joining`), whatever their parts. So nothing is lost, and no run takes all its pairs."""
     part = max(2, RUN // 8)
     long = save(runs.groupBy("run").agg(F.count("*").alias("n"), F.min("h").alias("first")).where(F.col("n") > part), "long")
     zero = F.lit(0).alias("i")
