@@ -130,3 +130,26 @@ def test_partitions_do_not_change_scores(spark, sf, monkeypatch):
 def test_pieces_of_a_document_follow_one_another():
     ids, fresh = np.array([[5, 7], [6, 8]]), np.array([[True, True], [False, False]])
     assert M.inputs(ids, fresh, np.array([1, 6])).tolist() == [[1, 6], [5, 7]]
+
+
+def test_texts_are_made_into_words_for_counts_and_once_more(spark, sf, monkeypatch):
+    """Training and scoring read symbols; each made words of all texts anew before."""
+    read, save = {}, M.save
+
+    def kept(df, name):
+        read[name] = "text#" in df._jdf.queryExecution().optimizedPlan().toString()
+        return save(df, name)
+
+    monkeypatch.setattr(M, "save", kept)
+    assert M.score_documents(spark.read.parquet(f"{sf}/documents.parquet")).count() > 0
+    assert {k for k, v in read.items() if v} == {"counts", "coded"} and {"dealt", "weights", "scored"} <= read.keys()
+
+
+def test_logits_out_of_range_are_scaled(monkeypatch):
+    p = small(monkeypatch)
+    p = {k: x.astype(np.float32) for k, x in p.items()}
+    hs, target = np.random.default_rng(5).standard_normal((40, 5)).astype(np.float32), np.arange(40) % 10
+    want = M.log_probs(p, hs, target)
+    for shift in (300, -300):
+        far = p | {"cb": p["cb"] + np.float32(shift), "ob": p["ob"] + np.float32(shift)}
+        assert np.allclose(M.log_probs(far, hs, target), want, atol=1e-3)

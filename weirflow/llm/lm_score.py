@@ -12,6 +12,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from heapq import heapify, heapreplace
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +41,8 @@ REMEMBERED = 400_000
 #: Averages are taken of so many tasks' weights at a time.
 FAN_IN = 64
 END = b"\n"
+#: Columns of texts whose words are counted and told apart.
+CODED = "row long, id long, held_out boolean, key long, n_tokens long, n_known long, base double, tails double, rare array<long>, symbols binary"
 
 
 def words(text: str | None) -> list[bytes]:
@@ -146,29 +149,42 @@ def unpack_weights(data: bytes) -> dict[str, np.ndarray]:
     return out
 
 
+ROOM: dict = {}
+
+
+def _room(*shape: int | np.dtype) -> list[np.ndarray]:
+    """Arrays for the steps of a window, the same ones again for the next: memory taken anew each time costs more than filling it."""
+    if shape not in ROOM:
+        ROOM.clear()
+        steps, lanes, n, kind = shape
+        ROOM[shape] = [np.empty((steps, k * n, lanes), dtype=kind) for k in (3, 1, 1, 1, 3)]
+    return ROOM[shape]
+
+
 def forward(p: dict, table_: np.ndarray, ids: np.ndarray, fresh: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, tuple]:
-    """States after each step, (steps, lanes, HIDDEN), and what backward needs. ids: inputs; fresh: where a document starts."""
-    n, wh, x = HIDDEN, p["Wh"], table_[ids]
-    was = np.empty((*ids.shape, n), dtype=x.dtype)
-    out, us = np.empty_like(was), np.empty_like(was)
+    """States after each step, (steps, lanes, HIDDEN), and what backward needs, which the next call overwrites. ids: inputs; fresh: where a document starts.
+    Inside, lanes are the last axis, so that each gate of a step is one block of memory."""
+    n, wh = HIDDEN, np.ascontiguousarray(p["Wh"].T)
+    x, was, out, us, _ = _room(*ids.shape, n, table_.dtype)
+    h = np.ascontiguousarray(h.T)
     starts = fresh.any(axis=1)
     for t in range(len(ids)):
-        if starts[t]:
-            h = h * ~fresh[t][:, None]
-        was[t] = h
-        u = h @ wh
-        gates, c = x[t][:, : 2 * n], x[t][:, 2 * n :]
-        gates += u[:, : 2 * n]
+        np.multiply(h, ~fresh[t], out=was[t]) if starts[t] else np.copyto(was[t], h)
+        u = wh @ was[t]
+        x[t] = table_[ids[t]].T
+        gates, c, h = x[t, : 2 * n], x[t, 2 * n :], out[t]
+        gates += u[: 2 * n]
         np.negative(gates, out=gates)
         np.exp(gates, out=gates)
         gates += 1
         np.reciprocal(gates, out=gates)
-        us[t] = u[:, 2 * n :]
-        c += gates[:, n:] * us[t]
+        us[t] = u[2 * n :]
+        c += gates[n:] * us[t]
         np.tanh(c, out=c)
-        h = c + gates[:, :n] * (h - c)
-        out[t] = h
-    return out, (was, us, x, starts)
+        np.subtract(was[t], c, out=h)
+        h *= gates[:n]
+        h += c
+    return np.ascontiguousarray(out.transpose(0, 2, 1)), (was, us, x, starts)
 
 
 def class_of(ids: np.ndarray) -> np.ndarray:
@@ -183,34 +199,44 @@ def _by_class(k: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, slice]]]:
     return order[: ends[-1]], [(ends[c], ends[c + 1], slice(c * CLASS, (c + 1) * CLASS)) for c in found]
 
 
-def _log_chosen(x: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Log softmax of each row at its chosen place; x is used up."""
-    x -= x.max(axis=1, keepdims=True)
+def _exps(one: np.ndarray, weights: np.ndarray, bias: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(exponentials of each row of one @ weights + bias, their sum, the chosen place's logit); rows whose sum is out of range have
+    their largest logit taken off first."""
+    x = one @ weights
+    x += bias
     chosen = x[np.arange(len(at)), at]
-    np.exp(x, out=x)
-    return chosen - np.log(x.sum(axis=1))
+    with np.errstate(over="ignore"):
+        np.exp(x, out=x)
+        total = x @ np.ones(x.shape[1], dtype=x.dtype)
+    if not (np.minimum.reduce(total) > 1e-30 and np.maximum.reduce(total) < 1e30):
+        far = np.flatnonzero(~((total > 1e-30) & (total < 1e30)))
+        y = one[far] @ weights + bias
+        y -= y.max(axis=1, keepdims=True)
+        chosen[far] = y[np.arange(len(far)), at[far]]
+        x[far] = np.exp(y)
+        total[far] = x[far].sum(axis=1)
+    return x, total, chosen
 
 
 def log_probs(p: dict, hs: np.ndarray, target: np.ndarray) -> np.ndarray:
     """Natural log of P(class) x P(word | class) of head words, of P(bucket) of others. hs: (n, HIDDEN)."""
     k = class_of(target)
-    x = hs @ p["C"]
-    x += p["cb"]
-    out = _log_chosen(x, k)
+    _, total, out = _exps(hs, p["C"], p["cb"], k)
+    out -= np.log(total)
     order, found = _by_class(k)
     hso, to, more = hs[order], target[order] % CLASS, np.empty(len(order), dtype=out.dtype)
     for a, b, rows in found:
-        e = hso[a:b] @ p["O"][rows].T
-        e += p["ob"][rows]
-        more[a:b] = _log_chosen(e, to[a:b])
+        _, total, chosen = _exps(hso[a:b], p["O"][rows].T, p["ob"][rows], to[a:b])
+        more[a:b] = chosen - np.log(total)
     out[order] += more
     return out
 
 
-def _softmax(x: np.ndarray) -> np.ndarray:
-    x -= x.max(axis=1, keepdims=True)
-    np.exp(x, out=x)
-    x /= x.sum(axis=1, keepdims=True)
+def _errors(one: np.ndarray, weights: np.ndarray, bias: np.ndarray, at: np.ndarray, on: np.ndarray) -> np.ndarray:
+    """Softmax of each row less one at its chosen place, times on."""
+    x, total, _ = _exps(one, weights, bias, at)
+    x *= (on / total)[:, None]
+    x[np.arange(len(at)), at] -= on
     return x
 
 
@@ -221,11 +247,7 @@ def gradients(p: dict, ids: np.ndarray, target: np.ndarray, fresh: np.ndarray, l
     hs, tg, on = out.reshape(-1, n), target.ravel(), live.ravel().astype(kind) / max(1, live.sum())
     on = on.astype(kind)
     k = class_of(tg)
-    d = hs @ p["C"]
-    d += p["cb"]
-    _softmax(d)
-    d[np.arange(len(k)), k] -= 1
-    d *= on[:, None]
+    d = _errors(hs, p["C"], p["cb"], k, on)
     g["C"], g["cb"], dh = hs.T @ d, d.sum(axis=0), d @ p["C"].T
     g["O"], g["ob"] = np.zeros(SHAPES["O"], dtype=kind), np.zeros(HEAD, dtype=kind)
     order, found = _by_class(k)
@@ -233,39 +255,35 @@ def gradients(p: dict, ids: np.ndarray, target: np.ndarray, fresh: np.ndarray, l
     dho = np.empty_like(hso)
     for a, b, rows in found:
         one, weights = hso[a:b], p["O"][rows]
-        e = one @ weights.T
-        e += p["ob"][rows]
-        _softmax(e)
-        e[np.arange(b - a), to[a:b]] -= 1
-        e *= ono[a:b, None]
+        e = _errors(one, weights.T, p["ob"][rows], to[a:b], ono[a:b])
         g["O"][rows], g["ob"][rows] = e.T @ one, e.sum(axis=0)
         np.matmul(e, weights, out=dho[a:b])
     dh[order] += dho
-    dh = dh.reshape(out.shape)
-    du, back, back_wh = np.empty((*ids.shape, 3 * n), dtype=kind), np.zeros_like(out[0]), np.ascontiguousarray(p["Wh"].T)
+    dh = np.ascontiguousarray(dh.reshape(out.shape).transpose(0, 2, 1))
+    du, back = _room(*ids.shape, n, kind)[-1], np.zeros_like(dh[0])
     for t in range(len(ids) - 1, -1, -1):
         # dx holds the gates and the candidate, and from here on their gradients.
-        z, r, c = dx[t][:, :n], dx[t][:, n : 2 * n], dx[t][:, 2 * n :]
+        z, r, c = dx[t, :n], dx[t, n : 2 * n], dx[t, 2 * n :]
         s = dh[t]
         s += back
         kept = s * z
-        dz = (was[t] - c) * kept * (1 - z)
         dc = (s - kept) * (1 - c * c)
-        through = dc * r
-        dr = dc * us[t] * r * (1 - r)
-        du[t][:, :n], du[t][:, n : 2 * n], du[t][:, 2 * n :] = dz, dr, through
-        z[:], r[:], c[:] = dz, dr, dc
-        back = du[t] @ back_wh
+        through = np.multiply(dc, r, out=du[t, 2 * n :])
+        np.multiply((was[t] - c) * kept, 1 - z, out=du[t, :n])
+        np.multiply(through * us[t], 1 - r, out=du[t, n : 2 * n])
+        dx[t, : 2 * n], c[:] = du[t, : 2 * n], dc
+        back = p["Wh"] @ du[t]
         back += kept
         if starts[t]:
-            back *= ~fresh[t][:, None]
-    g["Wh"] = was.reshape(-1, n).T @ du.reshape(-1, 3 * n)
-    flat = dx.reshape(-1, 3 * n)
-    g["b"] = flat.sum(axis=0)
-    order = np.argsort(ids.ravel(), kind="stable")
-    word, first = np.unique(ids.ravel()[order], return_index=True)
-    by_word = np.add.reduceat(flat[order], first, axis=0)
-    g["Wx"], g["E"] = p["E"][word].T @ by_word, (word, by_word @ p["Wx"].T)
+            back *= ~fresh[t]
+    g["Wh"] = (was @ du.transpose(0, 2, 1)).sum(axis=0)
+    flat = dx.transpose(1, 0, 2).reshape(3 * n, -1)
+    g["b"] = flat.sum(axis=1)
+    word, place = np.unique(ids, return_inverse=True)
+    place, by_word = place.ravel(), np.empty((3 * n, len(word)), dtype=kind)
+    for f in range(3 * n):
+        by_word[f] = np.bincount(place, flat[f], len(word))
+    g["Wx"], g["E"] = p["E"][word].T @ by_word.T, (word, by_word.T @ p["Wx"].T)
     return g, out[-1]
 
 
@@ -365,50 +383,77 @@ def _averaged(weights: DataFrame) -> np.ndarray | None:
     return (total / n).astype("<f4") if n else None
 
 
-def dealt(docs: DataFrame, hashes: np.ndarray, size: int) -> DataFrame:
-    """docs (text), of `size` bytes together -> (g, turn, lens, symbols): by group and round the symbols of its documents. A document's
-    group, round and place there follow from a hash of its text alone, whatever the partitions."""
-    groups = max(1, -(-size // GROUP_BYTES))
-    shared = docs.sparkSession.sparkContext.broadcast(hashes[:HEAD])
-    h = F.xxhash64("text")
-    keyed = docs.select("text", F.pmod(h, F.lit(groups)).alias("g"), F.pmod(F.shiftright(h, 40), F.lit(ROUNDS)).cast("int").alias("turn"), h.alias("h"))
+def coded(docs: DataFrame, hashes: np.ndarray, freq: np.ndarray, bucket_log: np.ndarray, base_log: float) -> DataFrame:
+    """docs (id, held_out, text) -> CODED: each text is made into words once, and its symbols are kept for training and scoring. base and
+    tails are logs of what is known of counts here, those of rare words are joined; key is a hash of the text."""
+    shared = docs.sparkSession.sparkContext.broadcast((hashes, freq, bucket_log))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rank = {x: i for i, x in enumerate(shared.value.tolist())}
+        hashes, freq, bucket_log = shared.value
+        vocab, log1, known = Vocabulary(hashes), np.log10(freq + 1.0), freq > 0
+        row = TaskContext.get().partitionId() << 32
+        for b in batches:
+            if not b.num_rows:
+                continue
+            each = [vocab.codes(text) for text in b.column(3).to_pylist()]
+            size = np.array([len(x) for x in each])
+            start = np.cumsum(size) - size
+            codes = np.concatenate(each)
+            symbol, h = vocab.symbols(codes)
+            there, tail, rank = codes >= 0, symbol >= HEAD, np.maximum(codes, 0)
+            logs = np.where(there, log1[rank], 0.0)
+            tails = np.where(tail, logs - bucket_log[np.maximum(symbol - HEAD, 0)], 0.0)
+            per_doc = np.add.reduceat((~there).astype(np.int64), start)
+            rare = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(per_doc)].astype(np.int32)), pa.array(h))
+            data, ends = symbol.astype("<u2").tobytes(), [0, *(2 * (start + size)).tolist()]
+            vocab.forget()
+            yield pa.RecordBatch.from_arrays([
+                pa.array(row + np.arange(len(size))), *b.columns[:3], pa.array(size), pa.array(np.add.reduceat((there & known[rank]).astype(np.int64), start)),
+                pa.array(np.add.reduceat(logs, start) - size * base_log), pa.array(np.add.reduceat(tails, start)), rare, pa.array([data[i:j] for i, j in pairwise(ends)], pa.binary()),
+            ], [x.split()[0] for x in CODED.split(", ")])
+            row += len(size)
 
-        class Symbols(dict):
-            def __missing__(self, w: bytes) -> int:
-                h = word_hash(w)
-                s = self[w] = rank.get(h, HEAD + (h & (BUCKETS - 1)))
-                return s
+    return save(docs.select("id", "held_out", F.xxhash64("text").alias("key"), "text").mapInArrow(run, CODED), "coded")
 
-        known, at, held = Symbols(), None, []
+
+def dealt(docs: DataFrame, size: int) -> DataFrame:
+    """docs (key, symbols), of `size` bytes of text together -> (g, turn, lens, symbols): by group and round the symbols of its documents.
+    A document's group, round and place there follow from its key, a hash of its text alone, whatever the partitions."""
+    groups = max(1, -(-size // GROUP_BYTES))
+    keyed = docs.select("symbols", F.pmod("key", F.lit(groups)).alias("g"), F.pmod(F.shiftright("key", 40), F.lit(ROUNDS)).cast("int").alias("turn"), "key")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, []
 
         def out() -> pa.RecordBatch:
-            lens = np.array([len(x) for x in held], dtype="<i4")
-            return pa.RecordBatch.from_arrays([pa.array([at[0]], pa.int64()), pa.array([at[1]], pa.int32()), pa.array([lens.tobytes()], pa.binary()), pa.array([np.concatenate(held).tobytes()], pa.binary())], ["g", "turn", "lens", "symbols"])
+            lens = np.array([len(x) // 2 for x in held], dtype="<i4")
+            return pa.RecordBatch.from_arrays([pa.array([at[0]], pa.int64()), pa.array([at[1]], pa.int32()), pa.array([lens.tobytes()], pa.binary()), pa.array([b"".join(held)], pa.binary())], ["g", "turn", "lens", "symbols"])
 
         for b in batches:
-            for text, g, turn in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for symbols, g, turn in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if held and at != (g, turn):
                     yield out()
                     held = []
-                    if len(known) > REMEMBERED:
-                        known.clear()
-                at, ws = (g, turn), words(text)
-                held.append(np.fromiter(map(known.__getitem__, ws), dtype="<u2", count=len(ws)))
+                at = (g, turn)
+                held.append(symbols)
         if held:
             yield out()
 
-    sorted_ = keyed.repartition("g").sortWithinPartitions("g", "turn", "h").select("text", "g", "turn")
+    sorted_ = keyed.repartition("g").sortWithinPartitions("g", "turn", "key").select("symbols", "g", "turn")
     return save(sorted_.mapInArrow(run, "g long, turn int, lens binary, symbols binary"), "dealt")
 
 
 def train(docs: DataFrame, hashes: np.ndarray, p: dict[str, np.ndarray], size: int) -> dict[str, np.ndarray]:
-    """docs (text), of `size` bytes together: in each round every group trains on its next share of its documents, starting from the
-    last round's mean weights and optimiser sums; the rounds' shares are disjoint and together all documents."""
+    """The weights after training on docs (text), of `size` bytes together."""
+    one = docs.select(F.lit(None).cast("long").alias("id"), F.lit(False).alias("held_out"), "text")
+    return train_coded(coded(one, hashes, np.ones(len(hashes)), np.zeros(BUCKETS), 0.0), hashes, p, size)
+
+
+def train_coded(docs: DataFrame, hashes: np.ndarray, p: dict[str, np.ndarray], size: int) -> dict[str, np.ndarray]:
+    """docs: CODED, of `size` bytes of text together: in each round every group trains on its next share of its documents, starting from
+    the last round's mean weights and optimiser sums; the rounds' shares are disjoint and together all documents."""
     spark, end = docs.sparkSession, hashes[:HEAD].tolist().index(end_hash())
-    work = dealt(docs, hashes, size)
+    work = dealt(docs, size)
     state = np.concatenate([np.frombuffer(pack_weights(p), dtype="<f4"), np.full(sum(int(np.prod(s)) for s in SHAPES.values()), 1e-8, dtype="<f4")])
     for turn in range(ROUNDS):
         shared = spark.sparkContext.broadcast(state.tobytes())
@@ -458,52 +503,37 @@ def score_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     np.subtract.at(bucket[0], hashes[:HEAD] & (BUCKETS - 1), head)
     np.subtract.at(bucket[1], hashes[:HEAD] & (BUCKETS - 1), (head > 0).astype(np.int64))
     size = learn.agg(F.sum(F.octet_length("text"))).collect()[0][0] or 0
-    p = train(learn, hashes, start_weights(head, bucket[0]), size)
-    base_log = np.log10(tokens + kinds + 1)
-    shared = spark.sparkContext.broadcast((hashes, freq, np.log10(bucket[0] + bucket[1] + 1), pack_weights(p)))
+    texts = coded(docs, hashes, freq, np.log10(bucket[0] + bucket[1] + 1), np.log10(tokens + kinds + 1))
+    p = train_coded(texts.where("not held_out"), hashes, start_weights(head, bucket[0]), size)
+    end_symbol = hashes[:HEAD].tolist().index(end)
+    shared = spark.sparkContext.broadcast(pack_weights(p))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, freq, bucket_log, data = shared.value
-        p, vocab = unpack_weights(data), Vocabulary(hashes)
-        end_symbol, log1, known = hashes[:HEAD].tolist().index(end_hash()), np.log10(freq + 1.0), freq > 0
-        first, row = TaskContext.get().partitionId() << 32, 0
+        p = unpack_weights(shared.value)
 
-        def out(held: list[tuple], row: int) -> pa.RecordBatch:
-            size = np.array([len(x[2]) for x in held])
-            start = np.cumsum(size) - size
-            codes = np.concatenate([x[2] for x in held])
-            symbol, h = vocab.symbols(codes)
-            there, tail, rank = codes >= 0, symbol >= HEAD, np.maximum(codes, 0)
-            # Log counts of the words of known count; those of the others are joined.
-            logs = np.where(there, log1[rank], 0.0)
-            tails = np.where(tail, logs - bucket_log[np.maximum(symbol - HEAD, 0)], 0.0)
-            model = score_docs(p, np.split(symbol, start[1:]), end_symbol) / np.log(10)
-            per_doc = np.add.reduceat((~there).astype(np.int64), start)
-            rare = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(per_doc)].astype(np.int32)), pa.array(h))
-            vocab.forget()
-            return pa.RecordBatch.from_arrays([
-                pa.array(first + row + np.arange(len(held))), pa.array([x[0] for x in held], pa.int64()), pa.array([x[1] for x in held], pa.bool_()), pa.array(size),
-                pa.array(np.add.reduceat((there & known[rank]).astype(np.int64), start)), pa.array(np.add.reduceat(logs, start) - size * base_log), pa.array(model + np.add.reduceat(tails, start)), rare,
-            ], NAMES)
+        def out(held: list[tuple]) -> pa.RecordBatch:
+            model = score_docs(p, [x[-1] for x in held], end_symbol) / np.log(10)
+            *same, tails = list(zip(*held, strict=True))[:-1]
+            kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64()]
+            return pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(same, kinds, strict=True)), pa.array(model + np.array(tails))], NAMES)
 
         held, size = [], 0
         for b in batches:
-            for doc, is_out, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                held.append((doc, is_out, vocab.codes(text)))
-                size += len(held[-1][2])
+            for *x, symbols in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                held.append((*x, np.frombuffer(symbols, dtype="<u2")))
+                size += len(held[-1][-1])
                 if size >= TOGETHER:
-                    yield out(held, row)
-                    row += len(held)
+                    yield out(held)
                     held, size = [], 0
         if held:
-            yield out(held, row)
+            yield out(held)
 
-    NAMES = ["row", "id", "held_out", "n_tokens", "n_known", "base", "score", "rare"]
-    scored = save(docs.mapInArrow(run, "row long, id long, held_out boolean, n_tokens long, n_known long, base double, score double, rare array<long>"), "scored")
+    NAMES = ["row", "id", "held_out", "n_tokens", "n_known", "base", "score"]
+    scored = save(texts.select(*NAMES[:-1], "tails", "symbols").mapInArrow(run, "row long, id long, held_out boolean, n_tokens long, n_known long, base double, score double"), "scored")
     tidy(spark)
-    rare = scored.select("row", F.explode("rare").alias("h")).join(counts, "h", "left")
+    rare = texts.select("row", F.explode("rare").alias("h")).join(counts, "h", "left")
     more = rare.groupBy("row").agg(F.sum(F.log10(F.coalesce("n", F.lit(0)) + 1.0)).alias("s"), F.count("n").alias("k"))
-    full = scored.drop("rare").join(more, "row", "left")
+    full = scored.join(more, "row", "left")
     s = F.coalesce("s", F.lit(0.0))
     return full.select(F.col("id").alias(id_col), "held_out", "n_tokens", (F.col("n_known") + F.coalesce("k", F.lit(0))).alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"), (F.col("base") + s).alias("base_score"), (F.col("score") + s).alias("score"))
 
