@@ -3,6 +3,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 
 from weirflow.llm import lm_score as M
 
@@ -153,3 +154,31 @@ def test_logits_out_of_range_are_scaled(monkeypatch):
     for shift in (300, -300):
         far = p | {"cb": p["cb"] + np.float32(shift), "ob": p["ob"] + np.float32(shift)}
         assert np.allclose(M.log_probs(far, hs, target), want, atol=1e-3)
+
+
+def test_words_of_a_batch_are_each_looked_at_once(monkeypatch):
+    """A word of many texts was hashed or looked up again for each token of each text before."""
+    rng, hashed, digest = np.random.default_rng(7), [], M.xxhash.xxh3_64_intdigest
+    odd = ["".join(rng.choice(list(" \t\n\x0b\x0c\r\x1c\x1f\x00aAzZÄß　\x85漢😀"), n)) for n in rng.integers(0, 40, 300)]
+    texts = [None, "", " ", "\n", "  lead", "trail\r\n", "A\x0bB", *odd, *["the same Words the"] * 50]
+    want = [slow_words(t) for t in texts]
+    M.word_hash(M.END)
+    monkeypatch.setattr(M.xxhash, "xxh3_64_intdigest", lambda w: hashed.append(w) or digest(w))
+    for a in (pa.array(texts), pa.array(["zz", *texts]).slice(1), pa.array(texts, pa.large_string())):
+        hashed.clear()
+        size, at, h = M.coded_words(a)
+        assert len(hashed) == len(set(hashed)) == len({w for ws in want for w in ws})
+        assert size.tolist() == [len(ws) for ws in want] and h[at].tolist() == [M.word_hash(w) for ws in want for w in ws]
+
+
+def test_counts_are_whole_when_few_words_are_held(spark, monkeypatch):
+    monkeypatch.setattr(M, "REMEMBERED", 5)
+    monkeypatch.setattr("weirflow.llm.common.ARROW_ROWS", 2)
+    M.session(spark)
+    try:
+        texts = [None, "", *[f"a b{k % 9} c{k} A" for k in range(40)]]
+        got = dict(map(tuple, M.count_words(spark.createDataFrame([(t,) for t in texts], "text string")).collect()))
+    finally:
+        monkeypatch.undo()
+        M.session(spark)
+    assert got == {M.word_hash(w): n for w, n in Counter(w for t in texts for w in slow_words(t)).items()}

@@ -9,13 +9,14 @@ weights and optimiser sums are averaged with the others' after each round.
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import cache, partial
 from heapq import heapify, heapreplace
 from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -36,7 +37,9 @@ GROUP_BYTES = 1 << 24
 PIECE = 1024
 #: Lanes and steps when scoring, and tokens that a task scores together.
 SCORE_LANES, SCORE_STEPS, TOGETHER = 256, 32, 1 << 21
-#: Distinct words that a task counts or remembers at once.
+#: Rows whose class logits are made together, so that they stay in a core's cache.
+ROWS = 1024
+#: Distinct words that a task counts at once.
 REMEMBERED = 400_000
 #: Averages are taken of so many tasks' weights at a time.
 FAN_IN = 64
@@ -62,57 +65,87 @@ def end_hash() -> int:
     return word_hash(END)
 
 
-class Vocabulary(dict):
-    """Word -> its place among the words of known count; of another word -1 minus its place in `others`, a list of hashes."""
+@cache
+def _bucket_of() -> np.ndarray:
+    """Bucket of a word by its last two bytes, a little-endian number; of one byte alone by 65536 and it."""
+    two = [xxhash.xxh32_intdigest(k.to_bytes(2, "little")) % BUCKETS for k in range(1 << 16)]
+    return np.array(two + [xxhash.xxh32_intdigest(bytes([k])) % BUCKETS for k in range(256)], dtype=np.uint64)
+
+
+def word_hashes(ws: pa.Array) -> np.ndarray:
+    """word_hash of each of ws, none of them empty."""
+    if not len(ws):
+        return np.empty(0, dtype=np.int64)
+    ends, data = np.frombuffer(ws.buffers()[1], dtype=np.int32)[ws.offset : ws.offset + len(ws) + 1], ws.buffers()[2].to_pybytes()
+    b = np.frombuffer(data, dtype=np.uint8)
+    last, more = b[ends[1:] - 1].astype(np.intp), np.diff(ends) > 1
+    bucket = _bucket_of()[np.where(more, b[np.maximum(ends[1:] - 2, 0)] + (last << 8), 65536 + last)]
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, [data[i:j] for i, j in pairwise(ends.tolist())]), dtype=np.uint64, count=len(ws))
+    return (h & ~np.uint64(BUCKETS - 1) | bucket).view(np.int64)
+
+
+def coded_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(tokens of each text, its end included; all tokens as places among the distinct ones; the hashes of these). Same as `words`, but
+    a word is looked at in Python once for all texts."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts.cast(pa.string()), "")))
+    tokens, size = lists.flatten(), np.diff(lists.offsets.to_numpy()).astype(np.int64)
+    empty = np.flatnonzero(pc.equal(pc.binary_length(tokens), 0).to_numpy(zero_copy_only=False))
+    if len(empty):  # before leading white space and after trailing one
+        size = size - np.bincount(np.searchsorted(np.cumsum(size), empty, "right"), minlength=len(size))
+        tokens = tokens.filter(pc.not_equal(pc.binary_length(tokens), 0))
+    found = tokens.dictionary_encode()
+    size = size + 1
+    at = np.empty(size.sum(), dtype=np.int32)
+    end = np.zeros(len(at), dtype=bool)
+    end[np.cumsum(size) - 1] = True
+    at[end], at[~end] = len(found.dictionary), found.indices.to_numpy()
+    return size, at, np.r_[word_hashes(found.dictionary), end_hash()]
+
+
+class Vocabulary:
+    """The words of known count by their hashes, the most frequent first."""
 
     def __init__(self, hashes: np.ndarray):
-        super().__init__()
-        self.rank = {h: i for i, h in enumerate(hashes.tolist())}
-        self.hashes, self.others = hashes, []
+        self.order = np.argsort(hashes)
+        self.sorted = hashes[self.order]
         self.symbols_of = np.where(np.arange(len(hashes)) < HEAD, np.arange(len(hashes)), HEAD + (hashes & (BUCKETS - 1))).astype(np.int32)
 
-    def __missing__(self, w: bytes) -> int:
-        h = word_hash(w)
-        k = self.rank.get(h)
-        if k is None:
-            self.others.append(h)
-            k = -len(self.others)
-        self[w] = k
-        return k
+    def codes(self, h: np.ndarray) -> np.ndarray:
+        """The place of each hash among the words of known count; of another word -1 minus its place in h."""
+        at = np.minimum(np.searchsorted(self.sorted, h), len(self.sorted) - 1)
+        return np.where(self.sorted[at] == h, self.order[at], -1 - np.arange(len(h)))
 
-    def codes(self, text: str | None) -> np.ndarray:
-        ws = words(text)
-        return np.fromiter(map(self.__getitem__, ws), dtype=np.int32, count=len(ws))
-
-    def symbols(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def symbols(self, codes: np.ndarray, h: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(symbols of the model, hashes of the other words in order)."""
         out, other = self.symbols_of[np.maximum(codes, 0)], codes < 0
-        h = np.array(self.others, dtype=np.int64)[-1 - codes[other]] if other.any() else np.empty(0, dtype=np.int64)
-        out[other] = HEAD + (h & (BUCKETS - 1))
-        return out, h
-
-    def forget(self) -> None:
-        """Once no codes are held, what is remembered may go."""
-        if len(self) > REMEMBERED:
-            self.clear()
-            self.others = []
+        others = h[-1 - codes[other]] if other.any() else np.empty(0, dtype=np.int64)
+        out[other] = HEAD + (others & (BUCKETS - 1))
+        return out, others
 
 
 def count_words(docs: DataFrame) -> DataFrame:
     """(h, n) of the words of all texts of docs (text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter = Counter()
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def merged() -> tuple[np.ndarray, np.ndarray]:
+            h, at = np.unique(np.concatenate([h for h, _ in held]), return_inverse=True)
+            return h, np.bincount(at, np.concatenate([n for _, n in held]), len(h)).astype(np.int64)
 
         def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([word_hash(w) for w in held], pa.int64()), pa.array(list(held.values()), pa.int64())], ["h", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in merged()], ["h", "n"])
 
         for b in batches:
-            for text in b.column(0).to_pylist():
-                held.update(words(text))
-                if len(held) > REMEMBERED:
+            if not b.num_rows:
+                continue
+            _, at, h = coded_words(b.column(0))
+            held.append((h, np.bincount(at, minlength=len(h))))
+            if sum(len(h) for h, _ in held) > 2 * REMEMBERED:
+                held = [merged()]
+                if len(held[0][0]) > REMEMBERED:
                     yield out()
-                    held = Counter()
+                    held = []
         if held:
             yield out()
 
@@ -157,34 +190,44 @@ def _room(*shape: int | np.dtype) -> list[np.ndarray]:
     if shape not in ROOM:
         ROOM.clear()
         steps, lanes, n, kind = shape
-        ROOM[shape] = [np.empty((steps, k * n, lanes), dtype=kind) for k in (3, 1, 1, 1, 3)]
+        ROOM[shape] = [np.empty((steps, lanes, k * n), dtype=kind) for k in (2, 1, 1, 3, 3, 3, 2)]
     return ROOM[shape]
 
 
-def forward(p: dict, table_: np.ndarray, ids: np.ndarray, fresh: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, tuple]:
-    """States after each step, (steps, lanes, HIDDEN), and what backward needs, which the next call overwrites. ids: inputs; fresh: where a document starts.
-    Inside, lanes are the last axis, so that each gate of a step is one block of memory."""
-    n, wh = HIDDEN, np.ascontiguousarray(p["Wh"].T)
-    x, was, out, us, _ = _room(*ids.shape, n, table_.dtype)
-    h = np.ascontiguousarray(h.T)
-    starts = fresh.any(axis=1)
-    for t in range(len(ids)):
-        np.multiply(h, ~fresh[t], out=was[t]) if starts[t] else np.copyto(was[t], h)
-        u = wh @ was[t]
-        x[t] = table_[ids[t]].T
-        gates, c, h = x[t, : 2 * n], x[t, 2 * n :], out[t]
-        gates += u[: 2 * n]
-        np.negative(gates, out=gates)
-        np.exp(gates, out=gates)
-        gates += 1
-        np.reciprocal(gates, out=gates)
-        us[t] = u[2 * n :]
-        c += gates[n:] * us[t]
-        np.tanh(c, out=c)
-        np.subtract(was[t], c, out=h)
-        h *= gates[:n]
-        h += c
-    return np.ascontiguousarray(out.transpose(0, 2, 1)), (was, us, x, starts)
+def forward(p: dict, table_: np.ndarray, ids: np.ndarray, fresh: np.ndarray, h: np.ndarray, keep: bool = True) -> tuple[np.ndarray, tuple]:
+    """States after each step, (steps, lanes, HIDDEN), and what backward needs, which the next call overwrites; without keep each step
+    overwrites that of the one before. ids: inputs; fresh: where a document starts. The gates and the candidate of a step are each one
+    block of memory, and tanh is made of exp, which numpy has faster."""
+    n, steps, ids = HIDDEN, len(ids), ids.astype(np.intp)
+    gate, candidate = (np.ascontiguousarray(x) for x in np.split(table_, [2 * n], axis=1))
+    gates, cs, was, us, *_ = _room(steps if keep else 1, ids.shape[1], n, table_.dtype)
+    out, starts = np.empty((steps, ids.shape[1], n), dtype=table_.dtype), [np.flatnonzero(f) for f in fresh]
+    with np.errstate(over="ignore"):
+        for t in range(steps):
+            at = t if keep else 0
+            g, c, w, u, new = gates[at], cs[at], was[at], us[at], out[t]
+            np.copyto(w, h)
+            if len(starts[t]):
+                w[starts[t]] = 0
+            np.matmul(w, p["Wh"], out=u)
+            np.take(gate, ids[t], axis=0, out=g, mode="clip")
+            g += u[:, : 2 * n]
+            np.negative(g, out=g)
+            np.exp(g, out=g)
+            g += 1
+            np.reciprocal(g, out=g)
+            np.take(candidate, ids[t], axis=0, out=c, mode="clip")
+            c += np.multiply(g[:, n:], u[:, 2 * n :], out=new)
+            c *= 2
+            np.exp(c, out=c)
+            c += 1
+            np.divide(-2, c, out=c)
+            c += 1
+            np.subtract(w, c, out=new)
+            new *= g[:, :n]
+            new += c
+            h = new
+    return out, (gates, cs, was, us, starts)
 
 
 def class_of(ids: np.ndarray) -> np.ndarray:
@@ -193,48 +236,63 @@ def class_of(ids: np.ndarray) -> np.ndarray:
 
 def _by_class(k: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, slice]]]:
     """(places of head words in order of their class k, for each class found its range of that order and its rows of O)."""
-    order = np.argsort(k, kind="stable")
+    order = np.argsort(k.astype(np.uint16), kind="stable")
     ends = np.searchsorted(k[order], np.arange(HEAD // CLASS + 1))
     found = np.flatnonzero(np.diff(ends))
-    return order[: ends[-1]], [(ends[c], ends[c + 1], slice(c * CLASS, (c + 1) * CLASS)) for c in found]
+    return order[: ends[-1]], [(a, b, slice(c * CLASS, (c + 1) * CLASS)) for a, b, c in zip(ends[found].tolist(), ends[found + 1].tolist(), found.tolist(), strict=True)]
 
 
-def _exps(one: np.ndarray, weights: np.ndarray, bias: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(exponentials of each row of one @ weights + bias, their sum, the chosen place's logit); rows whose sum is out of range have
-    their largest logit taken off first."""
-    x = one @ weights
-    x += bias
-    chosen = x[np.arange(len(at)), at]
-    with np.errstate(over="ignore"):
-        np.exp(x, out=x)
-        total = x @ np.ones(x.shape[1], dtype=x.dtype)
-    if not (np.minimum.reduce(total) > 1e-30 and np.maximum.reduce(total) < 1e30):
-        far = np.flatnonzero(~((total > 1e-30) & (total < 1e30)))
-        y = one[far] @ weights + bias
-        y -= y.max(axis=1, keepdims=True)
-        chosen[far] = y[np.arange(len(far)), at[far]]
-        x[far] = np.exp(y)
-        total[far] = x[far].sum(axis=1)
-    return x, total, chosen
+def _class_logits(p: dict, hs: np.ndarray) -> np.ndarray:
+    x = hs @ p["C"]
+    x += p["cb"]
+    return x
+
+
+def _word_logits(p: dict, hs: np.ndarray, found: list[tuple[int, int, slice]]) -> np.ndarray:
+    """Logits of the words of each row's class; rows in order of their class."""
+    x = np.empty((len(hs), CLASS), dtype=hs.dtype)
+    for a, b, rows in found:
+        np.matmul(hs[a:b], p["O"][rows].T, out=x[a:b])
+        x[a:b] += p["ob"][rows]
+    return x
+
+
+def _exps(logits: Callable[[], np.ndarray], at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(exponentials of each row of logits, their sum, the chosen place's logit); rows whose sum is out of range have their largest
+    logit taken off first."""
+
+    def made(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        chosen = x[np.arange(len(at)), at]
+        with np.errstate(over="ignore"):
+            np.exp(x, out=x)
+            return x, x @ np.ones(x.shape[1], dtype=x.dtype), chosen
+
+    out = made(logits())
+    near = (out[1] > 1e-30) & (out[1] < 1e30)
+    if not near.all():
+        x = logits()
+        x[~near] -= x[~near].max(axis=1, keepdims=True)
+        out = made(x)
+    return out
 
 
 def log_probs(p: dict, hs: np.ndarray, target: np.ndarray) -> np.ndarray:
     """Natural log of P(class) x P(word | class) of head words, of P(bucket) of others. hs: (n, HIDDEN)."""
     k = class_of(target)
-    _, total, out = _exps(hs, p["C"], p["cb"], k)
+    total, out = np.empty((2, len(hs)), dtype=hs.dtype)
+    for a in range(0, len(hs), ROWS):
+        w = slice(a, a + ROWS)
+        _, total[w], out[w] = _exps(partial(_class_logits, p, hs[w]), k[w])
     out -= np.log(total)
     order, found = _by_class(k)
-    hso, to, more = hs[order], target[order] % CLASS, np.empty(len(order), dtype=out.dtype)
-    for a, b, rows in found:
-        _, total, chosen = _exps(hso[a:b], p["O"][rows].T, p["ob"][rows], to[a:b])
-        more[a:b] = chosen - np.log(total)
-    out[order] += more
+    _, total, chosen = _exps(partial(_word_logits, p, hs[order], found), target[order] % CLASS)
+    out[order] += chosen - np.log(total)
     return out
 
 
-def _errors(one: np.ndarray, weights: np.ndarray, bias: np.ndarray, at: np.ndarray, on: np.ndarray) -> np.ndarray:
-    """Softmax of each row less one at its chosen place, times on."""
-    x, total, _ = _exps(one, weights, bias, at)
+def _errors(logits: Callable[[], np.ndarray], at: np.ndarray, on: np.ndarray) -> np.ndarray:
+    """Softmax of each row of logits less one at its chosen place, times on."""
+    x, total, _ = _exps(logits, at)
     x *= (on / total)[:, None]
     x[np.arange(len(at)), at] -= on
     return x
@@ -243,47 +301,46 @@ def _errors(one: np.ndarray, weights: np.ndarray, bias: np.ndarray, at: np.ndarr
 def gradients(p: dict, ids: np.ndarray, target: np.ndarray, fresh: np.ndarray, live: np.ndarray, h: np.ndarray) -> tuple[dict, np.ndarray]:
     """Gradients of the mean cross-entropy of one window, and the state after it. "E" is (words, gradients of their rows)."""
     n, g, kind = HIDDEN, {}, p["E"].dtype
-    out, (was, us, dx, starts) = forward(p, p["E"] @ p["Wx"] + p["b"], ids, fresh, h)
+    out, (gates, cs, was, us, starts) = forward(p, p["E"] @ p["Wx"] + p["b"], ids, fresh, h)
     hs, tg, on = out.reshape(-1, n), target.ravel(), live.ravel().astype(kind) / max(1, live.sum())
     on = on.astype(kind)
     k = class_of(tg)
-    d = _errors(hs, p["C"], p["cb"], k, on)
-    g["C"], g["cb"], dh = hs.T @ d, d.sum(axis=0), d @ p["C"].T
+    d = _errors(partial(_class_logits, p, hs), k, on)
+    ones = np.ones(len(hs), dtype=kind)
+    g["C"], g["cb"], dh = hs.T @ d, ones @ d, d @ p["C"].T
     g["O"], g["ob"] = np.zeros(SHAPES["O"], dtype=kind), np.zeros(HEAD, dtype=kind)
     order, found = _by_class(k)
-    hso, to, ono = hs[order], tg[order] % CLASS, on[order]
-    dho = np.empty_like(hso)
+    hso = hs[order]
+    e, dho = _errors(partial(_word_logits, p, hso, found), tg[order] % CLASS, on[order]), np.empty_like(hso)
     for a, b, rows in found:
-        one, weights = hso[a:b], p["O"][rows]
-        e = _errors(one, weights.T, p["ob"][rows], to[a:b], ono[a:b])
-        g["O"][rows], g["ob"][rows] = e.T @ one, e.sum(axis=0)
-        np.matmul(e, weights, out=dho[a:b])
+        np.matmul(e[a:b].T, hso[a:b], out=g["O"][rows])
+        np.matmul(ones[a:b], e[a:b], out=g["ob"][rows])
+        np.matmul(e[a:b], p["O"][rows], out=dho[a:b])
     dh[order] += dho
-    dh = np.ascontiguousarray(dh.reshape(out.shape).transpose(0, 2, 1))
-    du, back = _room(*ids.shape, n, kind)[-1], np.zeros_like(dh[0])
+    dh = dh.reshape(out.shape)
+    du, dx, (gate, *_) = _room(*ids.shape, n, kind)[4:]
+    back, wh = np.zeros_like(dh[0]), np.ascontiguousarray(p["Wh"].T)
     for t in range(len(ids) - 1, -1, -1):
-        # dx holds the gates and the candidate, and from here on their gradients.
-        z, r, c = dx[t, :n], dx[t, n : 2 * n], dx[t, 2 * n :]
-        s = dh[t]
+        z, r, c, dc, s = gates[t][:, :n], gates[t][:, n:], cs[t], dx[t][:, 2 * n :], dh[t]
         s += back
         kept = s * z
-        dc = (s - kept) * (1 - c * c)
-        through = np.multiply(dc, r, out=du[t, 2 * n :])
-        np.multiply((was[t] - c) * kept, 1 - z, out=du[t, :n])
-        np.multiply(through * us[t], 1 - r, out=du[t, n : 2 * n])
-        dx[t, : 2 * n], c[:] = du[t, : 2 * n], dc
-        back = p["Wh"] @ du[t]
+        np.subtract(s, kept, out=dc)
+        dc -= dc * np.square(c)
+        through = np.multiply(dc, r, out=du[t][:, 2 * n :])
+        np.multiply(was[t] - c, kept, out=gate[:, :n])
+        np.multiply(through, us[t][:, 2 * n :], out=gate[:, n:])
+        gate *= 1 - gates[t]
+        du[t][:, : 2 * n] = dx[t][:, : 2 * n] = gate
+        back = du[t] @ wh
         back += kept
-        if starts[t]:
-            back *= ~fresh[t]
-    g["Wh"] = (was @ du.transpose(0, 2, 1)).sum(axis=0)
-    flat = dx.transpose(1, 0, 2).reshape(3 * n, -1)
-    g["b"] = flat.sum(axis=1)
+        if len(starts[t]):
+            back[starts[t]] = 0
+    du, dx = du.reshape(-1, 3 * n), dx.reshape(-1, 3 * n)
+    g["Wh"], g["b"] = was.reshape(-1, n).T @ du, ones @ dx
     word, place = np.unique(ids, return_inverse=True)
-    place, by_word = place.ravel(), np.empty((3 * n, len(word)), dtype=kind)
-    for f in range(3 * n):
-        by_word[f] = np.bincount(place, flat[f], len(word))
-    g["Wx"], g["E"] = p["E"][word].T @ by_word.T, (word, by_word.T @ p["Wx"].T)
+    place, by_token = place.ravel(), dx @ p["Wx"].T
+    g["Wx"] = p["E"][ids.ravel()].T @ dx
+    g["E"] = word, np.stack([np.bincount(place, x, len(word)) for x in by_token.T], axis=1).astype(kind)
     return g, out[-1]
 
 
@@ -347,7 +404,7 @@ def score_docs(p: dict, docs: list[np.ndarray], end: int) -> np.ndarray:
     for t in range(0, len(ids), SCORE_STEPS):
         on = int((width > t).sum())
         w = (slice(t, t + SCORE_STEPS), slice(0, on))
-        hs, _ = forward(p, table_, read[w], fresh[w], h[:on])
+        hs, _ = forward(p, table_, read[w], fresh[w], h[:on], keep=False)
         h[:on] = hs[-1]
         owner = who[w].ravel()
         lp = log_probs(p, hs.reshape(-1, HIDDEN), ids[w].ravel())
@@ -395,21 +452,19 @@ def coded(docs: DataFrame, hashes: np.ndarray, freq: np.ndarray, bucket_log: np.
         for b in batches:
             if not b.num_rows:
                 continue
-            each = [vocab.codes(text) for text in b.column(3).to_pylist()]
-            size = np.array([len(x) for x in each])
+            size, at, h = coded_words(b.column(3))
             start = np.cumsum(size) - size
-            codes = np.concatenate(each)
-            symbol, h = vocab.symbols(codes)
-            there, tail, rank = codes >= 0, symbol >= HEAD, np.maximum(codes, 0)
+            codes = vocab.codes(h)
+            symbols, _ = vocab.symbols(codes, h)
+            there, rank = codes >= 0, np.maximum(codes, 0)
             logs = np.where(there, log1[rank], 0.0)
-            tails = np.where(tail, logs - bucket_log[np.maximum(symbol - HEAD, 0)], 0.0)
-            per_doc = np.add.reduceat((~there).astype(np.int64), start)
-            rare = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(per_doc)].astype(np.int32)), pa.array(h))
-            data, ends = symbol.astype("<u2").tobytes(), [0, *(2 * (start + size)).tolist()]
-            vocab.forget()
+            tails = np.where(symbols >= HEAD, logs - bucket_log[np.maximum(symbols - HEAD, 0)], 0.0)
+            other, heard = ~there[at], there & known[rank]
+            rare = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(np.add.reduceat(other.astype(np.int64), start))].astype(np.int32)), pa.array(h[at[other]]))
+            data, ends = symbols.astype("<u2")[at].tobytes(), [0, *(2 * (start + size)).tolist()]
             yield pa.RecordBatch.from_arrays([
-                pa.array(row + np.arange(len(size))), *b.columns[:3], pa.array(size), pa.array(np.add.reduceat((there & known[rank]).astype(np.int64), start)),
-                pa.array(np.add.reduceat(logs, start) - size * base_log), pa.array(np.add.reduceat(tails, start)), rare, pa.array([data[i:j] for i, j in pairwise(ends)], pa.binary()),
+                pa.array(row + np.arange(len(size))), *b.columns[:3], pa.array(size), pa.array(np.add.reduceat(heard[at].astype(np.int64), start)),
+                pa.array(np.add.reduceat(logs[at], start) - size * base_log), pa.array(np.add.reduceat(tails[at], start)), rare, pa.array([data[i:j] for i, j in pairwise(ends)], pa.binary()),
             ], [x.split()[0] for x in CODED.split(", ")])
             row += len(size)
 
