@@ -92,19 +92,37 @@ def _nested(text: Column, layout: str | None) -> Column:
     return F.regexp_replace(text, r'("(?:[^"\\]|\\.)*"(?!:))|"([A-Za-z_][A-Za-z0-9_]*)"(?=:)', "$1$2")
 
 
+def _let(x: Column, body: Callable[[Column], Column]) -> Column:
+    """body(x), with x worked out once however often body names it."""
+    return F.transform(F.array(x), body)[0]
+
+
 def _scientific(v: Value, upper: bool) -> Column:
-    """One digit, the others after a point, and the power of ten: 4.2e1."""
+    """One digit, the others after a point, and the power of ten: 4.2e1. Text that is named often in a column is written out and worked
+    out as often, and code of more than 8000 bytes is never compiled by the JVM: so whole numbers take one replacement, and what is
+    named again elsewhere is bound."""
+    e = "E" if upper else "e"
+    if v.kind in ("int", "big"):
+        s = v.col.cast("string")
+        digits = F.replace(F.regexp_replace(s, "^(-?[0-9])([0-9]*?)0*$", f"$1.$2{e}"), F.lit(f".{e}"), F.lit(e))
+        return F.concat(digits, (F.length(s) - F.when(v.col < 0, 2).otherwise(1)).cast("string"))
+
+    def parts(s: Column, mantissa: Column) -> Column:
+        digits = F.replace(mantissa, F.lit("."), F.lit(""))
+        return _let(digits, lambda d: _let(F.regexp_replace(d, "^0+|0+$", ""), lambda kept: text(s, mantissa, d, kept)))
+
+    def text(s: Column, mantissa: Column, digits: Column, kept: Column) -> Column:
+        power = F.when(s.contains("E"), F.coalesce(F.regexp_extract(s, r"E(-?[0-9]+)$", 1).try_cast("int"), F.lit(0))).otherwise(F.lit(0))
+        lead = F.length(digits) - F.length(F.ltrim(digits, F.lit("0")))
+        point = F.locate(".", mantissa)
+        whole = F.when(point > 0, point - 1).otherwise(F.length(mantissa))
+        rest = F.when(F.length(kept) > 1, F.concat(F.lit("."), F.substring(kept, F.lit(2), F.length(kept)))).otherwise(F.lit(""))
+        shown = F.concat(F.when(s.startswith("-"), F.lit("-")).otherwise(F.lit("")), F.substring(kept, 1, 1), rest, F.lit(e), (power + whole - 1 - lead).cast("string"))
+        return F.when(kept == "", F.lit(f"0{e}0")).otherwise(shown)
+
     s = v.col.cast("double").cast("string") if v.kind == "float" else v.col.cast("string")
-    mantissa = F.regexp_extract(s, r"^-?([0-9.]+)", 1)
-    power = F.coalesce(F.regexp_extract(s, r"E(-?[0-9]+)$", 1).try_cast("int"), F.lit(0))
-    digits = F.replace(mantissa, F.lit("."), F.lit(""))
-    lead = F.length(F.regexp_extract(digits, "^0*", 0))
-    point = F.locate(".", mantissa)
-    whole = F.when(point > 0, point - 1).otherwise(F.length(mantissa))
-    kept = F.regexp_replace(F.regexp_replace(digits, "^0+", ""), "0+$", "")
-    rest = F.substring(kept, F.lit(2), F.length(kept))
-    text = F.concat(F.when(s.startswith("-"), F.lit("-")).otherwise(F.lit("")), F.substring(kept, 1, 1), F.when(rest != "", F.concat(F.lit("."), rest)).otherwise(F.lit("")), F.lit("E" if upper else "e"), (power + whole - 1 - lead).cast("string"))
-    return F.when(s.rlike("^-?(NaN|Infinity)$"), show(v)).when(kept == "", F.lit("0E0" if upper else "0e0")).otherwise(text)
+    number = _let(s, lambda s: _let(F.regexp_extract(s, r"^-?([0-9.]+)", 1), lambda mantissa: parts(s, mantissa)))
+    return F.when(s.rlike("^-?(NaN|Infinity)$"), show(v)).otherwise(number)
 
 
 def _based(v: Value, kind: str) -> Column:
